@@ -79,6 +79,15 @@ def safe_div(a, b) -> Column:
     return F.when(b != 0, a / b)
 
 
+def safe_corr(a, b) -> Column:
+    """Pearson correlation as an aggregate; null without spread on both sides."""
+    a, b = _c(a), _c(b)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+
 def signed_log(x) -> Column:
     x = _c(x)
     return F.signum(x) * F.log1p(F.abs(x))
