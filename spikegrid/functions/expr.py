@@ -179,3 +179,9 @@ def modified_zscore(x, median, mad) -> Column:
     """0.6745 (x - median) / MAD with a MAD of zero taken as one."""
     mad = _c(mad)
     return F.lit(0.6745) * (_c(x) - _c(median)) / F.when(mad == 0, F.lit(1.0)).otherwise(mad)
+
+
+def hash_uniform(*cols, seed: int = 0) -> Column:
+    """Uniform [0, 1) number fixed by the row's own key, so a retried task repeats it."""
+    h = F.xxhash64(*[_c(c) for c in cols], F.lit(seed))
+    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
