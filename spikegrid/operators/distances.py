@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikegrid.functions.expr import hypot2, safe_div
+from spikegrid.operators.maps import spread
 from spikegrid.operators.ordered import Ordered, attach
 from spikegrid.settings import DEFAULT, Settings
 
@@ -104,7 +105,7 @@ def map_distance(pairs: DataFrame, keep: Sequence[str], rows: int, cols: int, he
         return pd.Series(out, dtype=float)
 
     d = run("bins_a", "vals_a", "bins_b", "vals_b")
-    return pairs.select(*keep, d.alias(name))
+    return spread(pairs, [c for c in keep if not c.startswith(("bins", "vals"))]).select(*keep, d.alias(name))
 
 
 # -------------------------------------------------------------- spike trains

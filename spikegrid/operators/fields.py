@@ -12,17 +12,10 @@ from pyspark.sql import functions as F
 
 from spikegrid.functions import grid_kernels as gk
 from spikegrid.functions.expr import safe_div
-from spikegrid.operators.maps import unpack
+from spikegrid.operators.maps import spread
 from spikegrid.settings import DEFAULT, Settings
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Even out packed maps before a CPU-heavy kernel; packed rows are small, so
-    the size-based coalescing would put too many of them into one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 def blobs(packed: DataFrame, keys: Sequence[str], column: str, rows: int, cols: int, factor: float,
           no_filter: bool = False, settings: Settings = DEFAULT) -> DataFrame:
     """Labels of the activity blobs as an int array ``labels`` per map."""

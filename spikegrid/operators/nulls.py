@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikegrid.functions.expr import hash_uniform, modified_zscore, safe_div, zscore
-from spikegrid.operators.ordered import Ordered, attach, quantiles
+from spikegrid.operators.ordered import Ordered, attach
 from spikegrid.settings import DEFAULT, Settings
 
 
+MAD_SCALE = 1.482602218505602   # fixed value: makes the MAD of a normal sample its deviation
+
+
 def lattice_shares(n: int) -> list[float]:
     """Low-discrepancy numbers in [0, 1): multiples of the golden ratio."""
     g = (5 ** 0.5 - 1) / 2
@@ -58,31 +61,42 @@ def different_cells(prev: DataFrame, curr: DataFrame, keys: Sequence[str], cell:
     """Pairs of different cells of two sessions; of (p, q) and (q, p) the ascending one stays.
 
     The cells of one recording site carry the few labels of the cutting software,
-    so the pairs per key are bounded; each side's columns get suffix _a / _b.
+    so the pairs per key are bounded.  Pairs are formed on the keys alone; the other
+    columns (suffix _a / _b) are attached afterwards.
     """
-    a = prev.select(*keys, *[F.col(c).alias(c + "_a") for c in prev.columns if c not in keys])
-    b = curr.select(*keys, *[F.col(c).alias(c + "_b") for c in curr.columns if c not in keys])
-    ca, cb = F.col(cell + "_a"), F.col(cell + "_b")
-    ordered = a.join(b, list(keys)).where(ca < cb)
-    # descending pairs count only if the ascending one does not exist: a cell missing on one side
-    missing = a.join(b, list(keys)).where(ca > cb)
-    has = ordered.select(*keys, ca.alias("_hi_b"), cb.alias("_hi_a"))
-    cond = [F.col(cell + "_a") == F.col("_hi_a"), F.col(cell + "_b") == F.col("_hi_b")]
-    m = missing.join(has.withColumnsRenamed({k: f"_k_{k}" for k in keys}),
-                     cond + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_anti")
-    return ordered.unionByName(m)
+    side = lambda d, s: d.select(*keys, *[F.col(c).alias(c + s) for c in d.columns if c not in keys])
+    ca, cb = cell + "_a", cell + "_b"
+    slim = prev.select(*keys, F.col(cell).alias(ca)).join(curr.select(*keys, F.col(cell).alias(cb)), list(keys))
+    slim = slim.where(F.col(ca) != F.col(cb)).groupBy(*keys, F.least(ca, cb).alias("_lo"), F.greatest(ca, cb).alias("_hi")).agg(
+        F.min(F.struct(ca, cb)).alias("_p"))
+    pairs = slim.select(*keys, F.col(f"_p.{ca}").alias(ca), F.col(f"_p.{cb}").alias(cb))
+    return pairs.join(side(prev, "_a"), [*keys, ca]).join(side(curr, "_b"), [*keys, cb])
 
 
 # ---------------------------------------------------------------- statistics
-def null_statistics(nulls: DataFrame, keys: Sequence[str], value: str = "value", settings: Settings = DEFAULT) -> DataFrame:
-    """mean, std, median and (normal-scaled) MAD of each null distribution."""
-    clean = nulls.where(F.col(value).isNotNull())
-    agg = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("null_n"), F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_std"))
-    med = quantiles(clean, keys, value, {"null_median": 0.5}, settings)
-    dev = attach(clean, med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("null_median")))
-    mad = quantiles(dev, keys, "_dev", {"null_mad": 0.5}, settings)
-    out = agg.join(med, list(keys)).join(mad, list(keys))
-    return out.withColumn("null_mad", F.col("null_mad") * F.lit(1.482602218505602))
+def array_quantile(values: Column, p: float) -> Column:
+    """Linear quantile of a sorted array."""
+    pos = (F.size(values) - 1) * F.lit(float(p))
+    lo = F.floor(pos).cast("int")
+    a, b = F.get(values, lo), F.get(values, F.ceil(pos).cast("int"))
+    return a + (b - a) * (pos - lo)
+
+
+def null_statistics(nulls: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """mean, std, median and (normal-scaled) MAD of each null distribution.
+
+    A null holds one value per iteration (or per pair of cells of one site), so the
+    sorted values of a key fit one row; they stay in ``null_values`` for quantiles
+    and the null itself is computed only once.
+    """
+    g = nulls.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(value)).alias("null_values"),
+        F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_std"),
+    )
+    g = g.withColumn("null_n", F.size("null_values").cast("long")).withColumn("null_median", array_quantile(F.col("null_values"), 0.5))
+    dev = F.array_sort(F.transform("null_values", lambda v: F.abs(v - F.col("null_median"))))
+    g = g.withColumn("_dev", dev)
+    return g.withColumn("null_mad", array_quantile(F.col("_dev"), 0.5) * F.lit(MAD_SCALE)).drop("_dev")
 
 
 def with_scores(observed: DataFrame, stats: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -99,35 +113,28 @@ def empirical_p(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], larg
     return j.groupBy(*keys).agg(F.avg(better.cast("double")).alias("p_value"))
 
 
-def ecdf_quantile(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], value: str = "value",
-                  settings: Settings = DEFAULT) -> DataFrame:
-    """Position of an observation in its null: a histogram distribution function with as
-    many bins as null values, interpolated linearly."""
-    per = nulls.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    n = F.col("_n").cast("double")
+def with_quantile(scored: DataFrame, value: str = "value", name: str = "quantile") -> DataFrame:
+    """Position of a value in the null of its row: a histogram distribution function
+    with as many bins as null values, interpolated linearly between its knots."""
+    v = F.col("null_values")
+    n = F.size(v).cast("double")
+    lo, hi = F.get(v, F.lit(0)), F.get(v, F.size(v) - 1)
     # a null without spread is widened by one half on both sides
-    flat = F.col("_hi") == F.col("_lo")
-    pad = F.when(flat, F.lit(0.5)).otherwise((F.col("_hi") - F.col("_lo")) / (2 * (n - 1)))
-    per = per.withColumn("_low", F.col("_lo") - pad).withColumn("_w", (F.col("_hi") - F.col("_lo") + 2 * pad) / n)
-    # the interpolation knots are spread over the whole range by linspace, one per bin
-    knot = F.when(F.col("_n") > 1, F.col("_w") * n / (n - 1)).otherwise(F.lit(1.0))
-    per = per.withColumn("_knot", knot)
-    obs = attach(observed, per, keys).withColumn("_pos", (F.col(value) - F.col("_low")) / F.col("_knot"))
-    obs = obs.withColumn("_k", F.greatest(F.lit(0), F.least(F.floor("_pos"), F.col("_n") - 1)))
-    obs = obs.withColumn("_f", F.greatest(F.lit(0.0), F.least(F.col("_pos") - F.col("_k"), F.lit(1.0))))
-    # cumulative counts up to bins k and k + 1, by comparing bins only
-    nb = nulls.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    slim = obs.select(*keys, "_n", "_low", "_w", "_k", "_f")
-    j = attach(nb, slim, keys)
-    b = F.greatest(F.lit(0), F.least(F.floor((F.col("_v") - F.col("_low")) / F.col("_w")), F.col("_n") - 1))
-    c = j.groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("_f").alias("_f"), F.first("_k").alias("_k"),
-        F.sum((b <= F.col("_k")).cast("long")).alias("_c0"), F.sum((b <= F.col("_k") + 1).cast("long")).alias("_c1"),
-    )
-    q = (F.col("_c0") + (F.col("_c1") - F.col("_c0")) * F.col("_f")) / F.col("_n")
-    return c.select(*keys, q.alias("quantile"))
+    pad = F.when(hi == lo, F.lit(0.5)).otherwise((hi - lo) / (2 * (n - 1)))
+    d = scored.withColumn("_n", n).withColumn("_low", lo - pad).withColumn("_width", (hi - lo + 2 * pad) / n)
+    # the knots are spread evenly over the whole range, one per bin
+    knot = F.when(F.col("_n") > 1, F.col("_width") * F.col("_n") / (F.col("_n") - 1)).otherwise(F.lit(1.0))
+    d = d.withColumn("_pos", (F.col(value) - F.col("_low")) / knot)
+    d = d.withColumn("_k", F.greatest(F.lit(0.0), F.least(F.floor("_pos").cast("double"), F.col("_n") - 1)))
+    share = F.greatest(F.lit(0.0), F.least(F.col("_pos") - F.col("_k"), F.lit(1.0)))
+
+    def below(k):
+        b = lambda x: F.greatest(F.lit(0.0), F.least(F.floor((x - F.col("_low")) / F.col("_width")).cast("double"), F.col("_n") - 1))
+        return F.size(F.filter("null_values", lambda x: b(x) <= k))
+
+    d = d.withColumn("_c0", below(F.col("_k"))).withColumn("_c1", below(F.col("_k") + 1))
+    q = (F.col("_c0") + (F.col("_c1") - F.col("_c0")) * share) / F.col("_n")
+    return d.withColumn(name, q).drop("_n", "_low", "_width", "_pos", "_k", "_c0", "_c1")
 
 
 def tails(q: Column) -> dict[str, Column]:

@@ -238,7 +238,7 @@ def grid_score(packed: DataFrame, keys: Sequence[str], column: str, rows: int, c
         out = [gk.grid_measures(np.asarray(v, dtype=float).reshape(rows, cols)) or {} for v in rate]
         return pd.DataFrame([{k: o.get(k) for k in names} for o in out], columns=names).astype(float)
 
-    g = packed.select(*keys, run(column).alias("_g"))
+    g = M.spread(packed, keys).select(*keys, run(column).alias("_g"))
     clean = lambda f, n: F.when(~F.isnan(f"_g.{f}"), F.col(f"_g.{f}")).alias(n)
     return g.select(
         *keys, clean("score", "grid_score"), clean("spacing", "grid_spacing"), clean("orientation", "grid_orientation"),
@@ -254,4 +254,4 @@ def autocorrelation(packed: DataFrame, keys: Sequence[str], column: str, rows: i
     def run(m: pd.Series) -> pd.Series:
         return pd.Series([gk.autocorrelogram(np.asarray(v, dtype=float).reshape(rows, cols)).ravel() for v in m])
 
-    return M.unpack(packed.select(*keys, run(column).alias("_ac")), keys, "_ac", probe.shape[1])
+    return M.unpack(M.spread(packed, keys).select(*keys, run(column).alias("_ac")), keys, "_ac", probe.shape[1])

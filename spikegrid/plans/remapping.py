@@ -298,7 +298,7 @@ SELECT {_L}, {R('d', 6)} AS whole_wass, n AS null_n, {R('mu')} AS base_mean, {R(
     "nwhole", "whole"))
 def remapping_scores(spark, sf):
     key = ["animal_id", "prev_no", "session_no"]
-    stats = N.null_statistics(_null(spark, sf), key, settings=OPTIONS)
+    stats = N.null_statistics(_null(spark, sf), key)
     s = N.with_scores(_observed(spark, sf), stats, key)
     return s.select(
         *LINK, rd("value", 6).alias("whole_wass"), F.col("null_n"), rd("null_mean").alias("base_mean"), rd("null_std").alias("base_std"),
@@ -318,10 +318,7 @@ SELECT {_L}, {R('(c0 + (c1 - c0) * f) / n')} AS quantile, {R('1 - (c0 + (c1 - c0
   {R('2 * least((c0 + (c1 - c0) * f) / n, 1 - (c0 + (c1 - c0) * f) / n)')} AS p_two FROM cc""", "nwhole", "whole"))
 def ecdf_quantile(spark, sf):
     key = ["animal_id", "prev_no", "session_no"]
-    # every cell of a session pair shares the null of that pair
-    obs, nul = _observed(spark, sf), _null(spark, sf)
-    own = nul.select(*key, "value").join(obs.select(*LINK), key).select(*LINK, "value")
-    q = N.ecdf_quantile(obs, own, LINK, settings=OPTIONS)
+    q = N.with_quantile(N.with_scores(_observed(spark, sf), N.null_statistics(_null(spark, sf), key), key))
     t = N.tails(F.col("quantile"))
     return q.select(*LINK, rd("quantile").alias("quantile"), rd(t["p_higher"]).alias("p_higher"), rd(t["p_two"]).alias("p_two"))
 
