@@ -109,31 +109,24 @@ def map_distance(pairs: DataFrame, keep: Sequence[str], rows: int, cols: int, he
 
 
 # -------------------------------------------------------------- spike trains
-def temporal_distance(trains: DataFrame, pairs: DataFrame, key: str, bin_size: float, settings: Settings = DEFAULT) -> DataFrame:
-    """Temporal earth-mover distance per pair: sum over shared bins of |CDF_a - CDF_b|.
+def temporal_distance(points: DataFrame, keys: Sequence[str], bin_size: float, settings: Settings = DEFAULT) -> DataFrame:
+    """Temporal earth-mover distance between the sides of each key: the sum over shared
+    time bins of |CDF_a - CDF_b|.
 
-    ``trains``: key, t.  ``pairs``: pair, a, b (train keys).
+    ``points``: keys, side ('a' or 'b'), t.  Bins start at the earliest spike; the
+    difference of the distributions only changes in occupied bins, so the empty
+    bins between two of them are counted, not listed.
     """
-    info = trains.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    ia = info.select(F.col(key).alias("a"), F.col("_n").alias("_na"), F.col("_lo").alias("_loa"), F.col("_hi").alias("_hia"))
-    ib = info.select(F.col(key).alias("b"), F.col("_n").alias("_nb"), F.col("_lo").alias("_lob"), F.col("_hi").alias("_hib"))
-    p = pairs.join(ia, "a").join(ib, "b").select(
-        "pair", "a", "b", "_na", "_nb", F.least("_loa", "_lob").alias("_start"), F.greatest("_hia", "_hib").alias("_end")
-    )
-    nbins = F.greatest(F.ceil((F.col("_end") - F.col("_start")) / F.lit(float(bin_size))), F.lit(1))
-    sides = p.select(
-        "pair", "_start", nbins.alias("_bins"),
-        F.explode(F.array(
-            F.struct(F.col("a").alias("k"), (F.lit(1.0) / F.col("_na")).alias("m")),
-            F.struct(F.col("b").alias("k"), (F.lit(-1.0) / F.col("_nb")).alias("m")),
-        )).alias("_s"),
-    ).select("pair", "_start", "_bins", F.col("_s.k").alias(key), F.col("_s.m").alias("_m"))
-    b = F.least(F.floor((F.col("t") - F.col("_start")) / F.lit(float(bin_size))), F.col("_bins") - 1)
-    mass = trains.join(sides, key).groupBy("pair", b.alias("bin")).agg(F.sum("_m").alias("m"))
-    o = Ordered(mass, ["pair"], ["bin"], settings).running({"_c": F.col("m")}).lag_lead({"_next": ("bin", 1)})
-    return o.df.groupBy("pair").agg(
-        F.coalesce(F.sum(F.abs("_c") * (F.col("_next") - F.col("bin"))), F.lit(0.0)).alias("emd")
-    )
+    n = lambda s: F.sum(F.when(F.col("side") == s, 1).otherwise(0))
+    per = points.groupBy(*keys).agg(n("a").alias("_na"), n("b").alias("_nb"), F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    width = F.lit(float(bin_size))
+    last = F.greatest(F.ceil((F.col("_hi") - F.col("_lo")) / width), F.lit(1)) - 1
+    b = F.least(F.floor((F.col("t") - F.col("_lo")) / width), last)
+    m = F.when(F.col("side") == "a", F.lit(1.0) / F.col("_na")).otherwise(F.lit(-1.0) / F.col("_nb"))
+    mass = attach(points, per.where("_na > 0 AND _nb > 0"), keys).groupBy(*keys, b.alias("bin")).agg(F.sum(m).alias("m"))
+    o = Ordered(mass, keys, ["bin"], settings).running({"_c": F.col("m")}).lag_lead({"_next": ("bin", 1)})
+    return o.df.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.abs("_c") * (F.col("_next") - F.col("bin"))), F.lit(0.0)).alias("emd"))
 
 
 # ------------------------------------------------------------- single points

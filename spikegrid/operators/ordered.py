@@ -1,8 +1,8 @@
 """Ordered operators whose groups may be arbitrarily large.
 
 A plain ``Window.partitionBy(session).orderBy(t)`` puts a whole session into one
-task.  ``Ordered`` counts the rows per key first (one column-pruned aggregate).
-If every group is small the plain window is used.  Otherwise the hot keys are cut
+task.  ``Ordered`` knows the rows per key (a ``ChunkPlan`` of the base table, or one
+column-pruned count).  If every group is small the plain window is used.  Otherwise the hot keys are cut
 into order-preserving chunks of bounded size, all windows run per (key, chunk),
 and only a few rows per chunk travel between neighbouring chunks:
 
@@ -17,6 +17,7 @@ row into the same chunk as the lost one did.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -48,8 +49,26 @@ def _with_key_match(df: DataFrame, table: DataFrame, keys: Sequence[str], how: s
     return df.join(t, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def add_chunks(df: DataFrame, keys: Sequence[str], axis: str, settings: Settings = DEFAULT) -> DataFrame | None:
-    """``df`` with a ``_chunk`` column, or None if no key exceeds ``rows_per_chunk``.
+@dataclass(frozen=True)
+class ChunkPlan:
+    """Which keys of a table are hot, and where their ordering axis is cut.
+
+    A plan made from a base table also serves every table derived from it without
+    adding rows per key: put it into ``Settings.chunks`` and the operators neither
+    count again nor run their input for that.  ``cuts`` is None if no key is hot.
+    """
+
+    keys: tuple[str, ...]
+    axis: str
+    cuts: DataFrame | None
+
+    def renamed(self, **names: str) -> "ChunkPlan":
+        cuts = self.cuts.withColumnsRenamed(names) if self.cuts is not None else None
+        return ChunkPlan(tuple(names.get(k, k) for k in self.keys), self.axis, cuts)
+
+
+def plan_chunks(df: DataFrame, keys: Sequence[str], axis: str, settings: Settings = DEFAULT) -> ChunkPlan:
+    """Find the keys with more than ``rows_per_chunk`` rows and cut them.
 
     A hot key is cut at approximate quantiles of the ordering column, so chunks
     hold about equally many rows whatever its distribution; rows with equal
@@ -57,12 +76,11 @@ def add_chunks(df: DataFrame, keys: Sequence[str], axis: str, settings: Settings
     a sketch, which a recomputation could give differently).
     """
     spark, limit, cap = df.sparkSession, settings.rows_per_chunk, settings.broadcast_keys
-    a = axis_value(df, axis)
-    slim = df.select(*keys, a.alias("_a"))
+    slim = df.select(*keys, axis_value(df, axis).alias("_a"))
     hot = slim.groupBy(*keys).agg(F.count("_a").alias("_n")).where(F.col("_n") > limit)
     found = hot.orderBy(F.desc("_n")).limit(cap + 1).collect()
     if not found:
-        return None
+        return ChunkPlan(tuple(keys), axis, None)
     few = len(found) <= cap
     if few:
         hot = F.broadcast(spark.createDataFrame(found, hot.schema))
@@ -81,14 +99,19 @@ def add_chunks(df: DataFrame, keys: Sequence[str], axis: str, settings: Settings
     else:
         checkpoint_dir(spark)
         cuts = cuts.checkpoint()
-    # binary search: number of cuts below the value
-    steps = [1 << b for b in range(grid.bit_length(), -1, -1)]
+    return ChunkPlan(tuple(keys), axis, cuts)
+
+
+def place_in_chunks(df: DataFrame, plan: ChunkPlan, axis: str) -> DataFrame:
+    """``df`` with its ``_chunk`` number (-1 for keys that are not hot)."""
+    a = axis_value(df, axis)
+    # binary search in the cuts of the key: how many lie below the value
+    steps = F.array(*[F.lit(1 << b) for b in range(_MAX_CUTS.bit_length() - 1, -1, -1)])
     below = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
+        steps, F.lit(0),
         lambda pos, step: F.when(F.get(F.col("_cuts"), pos + step - 1) < a, pos + step).otherwise(pos),
     )
-    return _with_key_match(df, cuts, keys, "left").withColumn(
+    return _with_key_match(df, plan.cuts, plan.keys, "left").withColumn(
         CHUNK, F.when(F.col("_cuts").isNull() | a.isNull(), F.lit(-1)).otherwise(below)
     ).drop("_cuts")
 
@@ -100,9 +123,13 @@ class Ordered:
         self.keys = list(keys)
         self.order = list(order)
         self.settings = settings
-        chunked = add_chunks(df, self.keys, self.order[0], settings)
-        self.chunked = chunked is not None
-        self._df = chunked if self.chunked else df
+        axis, plan = self.order[0], settings.chunks
+        if plan is None or not set(plan.keys) <= set(self.keys):
+            plan = plan_chunks(df, self.keys, axis, settings)
+        elif plan.cuts is not None and axis.lstrip("_") != plan.axis:
+            plan = plan_chunks(df, self.keys, axis, settings)   # hot keys, but another order
+        self.chunked = plan.cuts is not None
+        self._df = place_in_chunks(df, plan, axis) if self.chunked else df
 
     def _with(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spikegrid.functions.expr import Extent
+from spikegrid.operators.ordered import ChunkPlan, plan_chunks
 from spikegrid.session import tune
 from spikegrid.settings import DEFAULT, Settings
 
@@ -79,6 +80,22 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_PLANS: dict[tuple, ChunkPlan] = {}
+
+
+def options(spark: SparkSession, sf: str, key: str = "session_id", fan_out: int = 1) -> Settings:
+    """The options with the chunk plan of the events table (one count per table and session).
+
+    ``fan_out`` is the factor by which a query multiplies the rows of a key.
+    """
+    s = OPTIONS.but(rows_per_chunk=max(1, OPTIONS.rows_per_chunk // fan_out))
+    memo = (spark.sparkContext.applicationId, sf, s.rows_per_chunk)
+    if memo not in _PLANS:
+        _PLANS[memo] = plan_chunks(events(spark, sf).select("session_id", "t"), ["session_id"], "t", s)
+    plan = _PLANS[memo]
+    return s.but(chunks=plan if key == "session_id" else plan.renamed(session_id=key))
+
+
 def tracking(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).where(F.col("unit").isin(*TRACK_TYPES)).drop("unit")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spikegrid.functions import expr as X
 from spikegrid.operators import asof, spikes as S, tracking as T
 from spikegrid.plans.base import (
-    COLS, ROWS, OPTIONS, R, all_units, compose, events, part, query, rd, spikes, table, tracking,
+    COLS, ROWS, OPTIONS, options, R, all_units, compose, events, part, query, rd, spikes, table, tracking,
 )
 
 GAP = 43_200.0      # longest interval inside a burst, in the time scale of the events table
@@ -16,13 +16,13 @@ HOUR_BIN = 86_400.0
 
 @query("track_speed", compose(f"SELECT session_id, i, {R('speed', 6)} AS speed FROM speed", "speed"))
 def track_speed(spark, sf):
-    return T.with_speed(tracking(spark, sf), OPTIONS).select("session_id", "i", rd("speed", 6).alias("speed"))
+    return T.with_speed(tracking(spark, sf), options(spark, sf)).select("session_id", "i", rd("speed", 6).alias("speed"))
 
 
 @query("speed_filter", compose(
     "SELECT session_id, count(*) AS n, min(i) AS first_i, max(i) AS last_i FROM moving GROUP BY 1", "moving"))
 def speed_filter(spark, sf):
-    m = T.speed_between(T.with_speed(tracking(spark, sf), OPTIONS), 0.0, OPTIONS.speed_high)
+    m = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
     return m.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
 
@@ -36,7 +36,7 @@ band AS (SELECT session_id, s, sum(n) n, max(lo) lo, max(fs) fs FROM st WHERE s
 SELECT session_id, {R('max(lo + (s + 5) * 0.0002)', 6)} AS upper_speed FROM band WHERE n >= 86400 * 3 * fs GROUP BY 1
 """, "speed"))
 def adaptive_speed(spark, sf):
-    up = T.adaptive_upper_speed(T.with_speed(tracking(spark, sf), OPTIONS), 86_400.0 * 3, 0.002)
+    up = T.adaptive_upper_speed(T.with_speed(tracking(spark, sf), options(spark, sf)), 86_400.0 * 3, 0.002)
     return up.select("session_id", rd("upper_speed", 6).alias("upper_speed"))
 
 
@@ -52,7 +52,7 @@ part("head", ("head0",), """
 
 @query("head_direction", compose(f"SELECT session_id, i, {R('heading')} AS heading FROM head", "head"))
 def head_direction(spark, sf):
-    return T.with_heading(tracking(spark, sf), OPTIONS).select("session_id", "i", rd("heading").alias("heading"))
+    return T.with_heading(tracking(spark, sf), options(spark, sf)).select("session_id", "i", rd("heading").alias("heading"))
 
 
 @query("track_boxcar", compose(f"""
@@ -62,7 +62,7 @@ def head_direction(spark, sf):
 SELECT session_id, i, {R('(coalesce(a2, a1, x) + coalesce(a1, x) + x + coalesce(b1, x) + coalesce(b2, b1, x)) / 5')} AS x_smooth FROM w5
 """, "trk"))
 def track_boxcar(spark, sf):
-    return T.boxcar(tracking(spark, sf), 5, ("x",), OPTIONS).select("session_id", "i", rd("x_smooth").alias("x_smooth"))
+    return T.boxcar(tracking(spark, sf), 5, ("x",), options(spark, sf)).select("session_id", "i", rd("x_smooth").alias("x_smooth"))
 
 
 @query("track_travel", compose(f"""
@@ -74,7 +74,7 @@ SELECT session_id, {R('sum(d)')} AS distance, {R('min(v)', 6)} AS min_speed, {R(
   {R('avg(v)', 6)} AS mean_speed, {R('quantile_cont(v, 0.5)', 6)} AS median_speed FROM v GROUP BY 1
 """, "trk"))
 def track_travel(spark, sf):
-    t = T.travel(tracking(spark, sf), OPTIONS)
+    t = T.travel(tracking(spark, sf), options(spark, sf))
     return t.select(
         "session_id", rd("distance").alias("distance"),
         *[rd(c, 6).alias(c) for c in ("min_speed", "max_speed", "mean_speed", "median_speed")])
@@ -86,7 +86,7 @@ def track_travel(spark, sf):
 SELECT session_id, count(*) AS kept, sum(i)::BIGINT AS sum_i FROM d WHERE d IS NULL OR d <= 60 GROUP BY 1
 """, "trk"))
 def drop_jumps(spark, sf):
-    return T.drop_jumps(tracking(spark, sf), 60.0, OPTIONS).groupBy("session_id").agg(
+    return T.drop_jumps(tracking(spark, sf), 60.0, options(spark, sf)).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("kept"), F.sum("i").alias("sum_i"))
 
 
@@ -108,7 +108,7 @@ SELECT session_id, unit, {R('min(ms)', 4)} AS isi_min, {R('max(ms)', 4)} AS isi_
   {R('stddev_pop(ms)', 2)} AS isi_std, {R('quantile_cont(ms, 0.5)', 4)} AS isi_median,
   {R('CASE WHEN avg(ms) <> 0 THEN stddev_pop(ms) / avg(ms) END')} AS isi_cv FROM ms GROUP BY 1, 2""", "isi"))
 def isi_stats(spark, sf):
-    s = S.isi_statistics(all_units(spark, sf), OPTIONS)
+    s = S.isi_statistics(all_units(spark, sf), options(spark, sf))
     return s.select(
         "session_id", "unit", *[rd(f"isi_{c}", 2 if c in ("mean", "std") else 4).alias(f"isi_{c}") for c in ("min", "max", "mean", "std", "median")],
         rd("isi_cv").alias("isi_cv"))
@@ -118,7 +118,7 @@ def isi_stats(spark, sf):
 SELECT session_id, unit, CAST(least(floor(isi * 1000 / 1e7), 99) AS INTEGER) AS bin, count(*) AS n
 FROM isi WHERE isi * 1000 BETWEEN 0 AND 1e9 GROUP BY 1, 2, 3""", "isi"))
 def isi_hist(spark, sf):
-    return S.isi_histogram(all_units(spark, sf), 1e7, 1e9, OPTIONS)
+    return S.isi_histogram(all_units(spark, sf), 1e7, 1e9, options(spark, sf))
 
 
 part("flags", ("ev",), f"""
@@ -138,7 +138,7 @@ SELECT session_id, unit, n_spikes, n_bursts, n_single,
   {R('CASE WHEN n_spikes >= 2 THEN 100.0 * n_bursts / (n_bursts + n_single) END')} AS bursting,
   {R('CASE WHEN n_spikes >= 2 AND n_bursts > 0 THEN (n_spikes - n_single) / n_bursts::DOUBLE END')} AS spikes_per_burst FROM a""", "runs"))
 def bursts(spark, sf):
-    b = S.burst_statistics(all_units(spark, sf), GAP, settings=OPTIONS)
+    b = S.burst_statistics(all_units(spark, sf), GAP, settings=options(spark, sf))
     return b.select(
         "session_id", "unit", "n_spikes", "n_bursts", "n_single",
         rd("bursting").alias("bursting"), rd("spikes_per_burst").alias("spikes_per_burst"))
@@ -152,7 +152,7 @@ k AS (SELECT session_id, unit, burst, count(*) k FROM r2 GROUP BY 1, 2, 3)
 SELECT session_id, unit, sum(CASE WHEN burst IS NOT NULL AND k >= 3 THEN 1 ELSE 0 END)::BIGINT AS n_bursts,
   sum(CASE WHEN burst IS NULL OR k < 3 THEN k ELSE 0 END)::BIGINT AS n_single FROM k GROUP BY 1, 2""", "flags"))
 def bursts_split(spark, sf):
-    return S.burst_statistics(all_units(spark, sf), GAP, 3, True, OPTIONS).select("session_id", "unit", "n_bursts", "n_single")
+    return S.burst_statistics(all_units(spark, sf), GAP, 3, True, options(spark, sf)).select("session_id", "unit", "n_bursts", "n_single")
 
 
 @query("event_rate", compose(f"""
@@ -185,7 +185,7 @@ def interval_rate(spark, sf):
 @query("interval_speed", compose(f"""
 SELECT session_id, CAST(floor(t / {HOUR_BIN}) AS BIGINT) AS bin, {R('avg(speed)', 6)} AS speed FROM speed GROUP BY 1, 2""", "speed"))
 def interval_speed(spark, sf):
-    return S.interval_speed(T.with_speed(tracking(spark, sf), OPTIONS), HOUR_BIN).withColumn("speed", rd("speed", 6))
+    return S.interval_speed(T.with_speed(tracking(spark, sf), options(spark, sf)), HOUR_BIN).withColumn("speed", rd("speed", 6))
 
 
 @query("speed_rate_mass", compose(f"""
@@ -198,7 +198,7 @@ FROM cells""", "spk", "speed"))
 def speed_rate_mass(spark, sf):
     rates = spikes(spark, sf).groupBy("session_id", F.floor(F.col("t") / HOUR_BIN).alias("bin")).agg(
         (F.count(F.lit(1)) / F.lit(HOUR_BIN)).alias("rate"))
-    speeds = S.interval_speed(T.with_speed(tracking(spark, sf), OPTIONS), HOUR_BIN)
+    speeds = S.interval_speed(T.with_speed(tracking(spark, sf), options(spark, sf)), HOUR_BIN)
     m = S.rate_given_speed(rates, speeds, 0.00001, 0.002)
     return m.select("speed_bin", "rate_bin", "n", rd("joint", 6).alias("joint"), rd("conditional", 6).alias("conditional"))
 
@@ -207,8 +207,8 @@ def speed_rate_mass(spark, sf):
 @query("asof_nearest", compose(
     "SELECT session_id, unit, i, x, y FROM pos", "pos"))
 def asof_nearest(spark, sf):
-    m = T.speed_between(T.with_speed(tracking(spark, sf), OPTIONS), 0.0, OPTIONS.speed_high)
-    return asof.asof_nearest(spikes(spark, sf), m, ["session_id"], "t", ["x", "y"], "i", OPTIONS).select(
+    m = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
+    return asof.asof_nearest(spikes(spark, sf), m, ["session_id"], "t", ["x", "y"], "i", options(spark, sf)).select(
         "session_id", "unit", "i", "x", "y")
 
 
@@ -218,7 +218,7 @@ SELECT session_id, unit, i, x, y FROM (
      row_number() OVER (PARTITION BY s.session_id, s.i ORDER BY m.t DESC, m.i) rn
   FROM spk s LEFT JOIN trk m ON s.session_id = m.session_id AND m.t <= s.t) WHERE rn = 1""", "spk", "trk"))
 def asof_backward(spark, sf):
-    return asof.asof_backward(spikes(spark, sf), tracking(spark, sf), ["session_id"], "t", ["x", "y"], "i", OPTIONS).select(
+    return asof.asof_backward(spikes(spark, sf), tracking(spark, sf), ["session_id"], "t", ["x", "y"], "i", options(spark, sf)).select(
         "session_id", "unit", "i", "x", "y")
 
 

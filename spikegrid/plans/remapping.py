@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spikegrid.operators import asof, distances as D, fields as FL, maps as M, nulls as N, scores as C, tracking as T
 from spikegrid.functions.expr import safe_div
-from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, ROW_SQL, ROWS, R, compose, events, part, query, rd, spikes, tracking
+from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, options, ROW_SQL, ROWS, R, compose, events, part, query, rd, spikes, tracking
 from spikegrid.plans.spatial import UNIT, dense_rate, occupancy, spike_positions
 from spikegrid.functions.expr import grid_col, grid_row
 
@@ -119,7 +119,7 @@ def firing_change(spark, sf):
 SELECT {_L}, {R('sqrt(wpp)')} AS distance FROM s_w""", "pts"))
 def w1d_weighted(spark, sf):
     p = link_points(cells(spark, sf)).withColumn("w", F.col("y") + 1)
-    return D.quantile_distance(p, LINK, 2, OPTIONS).select(*LINK, rd(F.sqrt("wpp")).alias("distance"))
+    return D.quantile_distance(p, LINK, 2, options(spark, sf, "animal_id")).select(*LINK, rd(F.sqrt("wpp")).alias("distance"))
 
 
 @query("sliced_w", compose(f"""
@@ -128,7 +128,7 @@ def w1d_weighted(spark, sf):
 SELECT {_L}, {R('sqrt(avg(wpp))')} AS distance FROM s_w GROUP BY {_L}""", "pts"))
 def sliced_w(spark, sf):
     p = link_points(cells(spark, sf)).withColumn("w", F.lit(1.0))
-    return D.sliced_distance(p, LINK, DIRECTIONS, 2, OPTIONS).withColumn("distance", rd("distance"))
+    return D.sliced_distance(p, LINK, DIRECTIONS, 2, options(spark, sf, "animal_id")).withColumn("distance", rd("distance"))
 
 
 def packed_links(spark, sf):
@@ -172,14 +172,8 @@ m AS (SELECT p.animal_id, p.cell, p.prev_no, p.session_no, least(floor((p.t - b.
 c AS (SELECT {_L}, bin, sum(m) OVER w AS c, lead(bin) OVER w AS nx FROM m WINDOW w AS (PARTITION BY {_L} ORDER BY bin))
 SELECT {_L}, {R('coalesce(sum(abs(c) * (nx - bin)), 0)')} AS emd FROM c GROUP BY {_L}""", "pts"))
 def temporal_emd(spark, sf):
-    d = cells(spark, sf)
-    trains = d.select(F.struct(*CELL).alias("train"), "t")
-    pairs = links(d).select(
-        F.struct(*LINK).alias("pair"),
-        F.struct("animal_id", F.col("prev_no").alias("session_no"), "cell").alias("a"),
-        F.struct("animal_id", "session_no", "cell").alias("b"))
-    e = D.temporal_distance(trains, pairs, "train", BIN, OPTIONS)
-    return e.select("pair.*", rd("emd").alias("emd"))
+    e = D.temporal_distance(link_points(cells(spark, sf)), LINK, BIN, options(spark, sf, "animal_id"))
+    return e.select(*LINK, rd("emd").alias("emd"))
 
 
 OBJ_R, OBJ_C = 0, COLS // 2
@@ -231,7 +225,7 @@ def map_spearman(spark, sf):
     every = F.explode(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)))
     grid = ln.select(*LINK, every.alias("b")).select(*LINK, F.floor(F.col("b") / COLS).cast("int").alias("r"), (F.col("b") % COLS).alias("c"))
     j = grid.join(ends("prev_no", "va"), [*LINK, "r", "c"], "left").join(ends("session_no", "vb"), [*LINK, "r", "c"], "left").na.fill(0.0, ["va", "vb"])
-    return D.spearman(j, LINK, "va", "vb", OPTIONS).select(*LINK, rd("rho").alias("rho"))
+    return D.spearman(j, LINK, "va", "vb", options(spark, sf, "animal_id")).select(*LINK, rd("rho").alias("rho"))
 
 
 # ---------------------------------------------------------------- different cells
@@ -364,11 +358,12 @@ SELECT n.session_id, n.unit, count(*) AS iterations, {R('avg(n.info)')} AS shuff
     "shbins", "stats1"))
 def null_pvalue(spark, sf):
     """Spatial information of every unit against its shifted trains."""
-    moving = T.speed_between(T.with_speed(tracking(spark, sf), OPTIONS), 0.0, OPTIONS.speed_high)
+    opts = options(spark, sf, fan_out=len(SHARES) + 1)
+    moving = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
     occ = occupancy(spark, sf)
     keys = ["session_id", "unit", "iter"]
     shifted = N.shift_spikes(spikes(spark, sf), UNIT, SHARES, LIMIT)
-    pos = asof.asof_nearest(shifted, moving, ["session_id"], "t", ["x", "y"], "i", OPTIONS)
+    pos = asof.asof_nearest(shifted, moving, ["session_id"], "t", ["x", "y"], "i", opts)
     null = C.map_statistics(occ, M.rate_bins(occ, M.spike_counts(pos, ARENA, ROWS, COLS, keys), keys), ROWS, COLS, keys)
     null = null.select(*keys, F.col("information_content").alias("value"))
     spk = M.spike_counts(spike_positions(spark, sf), ARENA, ROWS, COLS)
@@ -383,8 +378,8 @@ def null_pvalue(spark, sf):
 def permutation_null(spark, sf):
     """Sliced distance of consecutive sessions against relabelled spikes."""
     pts = link_points(cells(spark, sf)).select(*LINK, "side", "i", "x", "y")
-    dealt = N.permute_sides(pts, LINK, ["i"], 5, OPTIONS.seed, OPTIONS).withColumn("w", F.lit(1.0))
-    null = D.sliced_distance(dealt, [*LINK, "iter"], DIRECTIONS[:4], 2, OPTIONS)
+    dealt = N.permute_sides(pts, LINK, ["i"], 5, OPTIONS.seed, options(spark, sf, "animal_id")).withColumn("w", F.lit(1.0))
+    null = D.sliced_distance(dealt, [*LINK, "iter"], DIRECTIONS[:4], 2, options(spark, sf, "animal_id"))
     return null.groupBy(*LINK).agg(rd(F.avg("distance")).alias("null_mean"), rd(F.stddev_pop("distance")).alias("null_std"), F.count(F.lit(1)).alias("n"))
 
 
@@ -392,7 +387,7 @@ def permutation_null(spark, sf):
 def group_permutation(spark, sf):
     """Event types dealt anew inside each session: counts per type must not change."""
     e = events(spark, sf).select("session_id", "i", "unit")
-    p = N.permute_groups(e, ["session_id"], "unit", ["i"], OPTIONS.seed, OPTIONS)
+    p = N.permute_groups(e, ["session_id"], "unit", ["i"], OPTIONS.seed, options(spark, sf))
     return p.groupBy("session_id", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -404,7 +399,7 @@ ORACLE["group_permutation"] = "SELECT user_id AS session_id, event_type AS unit,
 @query("bootstrap_mean")
 def bootstrap_mean(spark, sf):
     e = events(spark, sf).select("session_id", "i", "x")
-    b = N.bootstrap(e, ["session_id"], ["i"], 10, OPTIONS.seed, OPTIONS)
+    b = N.bootstrap(e, ["session_id"], ["i"], 10, OPTIONS.seed, options(spark, sf))
     each = b.groupBy("session_id", "iter").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
     return each.groupBy("session_id").agg(F.max("n").alias("n"), rd(F.avg("m")).alias("boot_mean"), rd(F.stddev_pop("m")).alias("boot_std"))
 

@@ -8,7 +8,7 @@ from spikegrid.functions import grid_kernels as gk
 from spikegrid.functions.expr import Extent
 from spikegrid.operators import asof, maps as M, scores as C, tracking as T
 from spikegrid.plans.base import (
-    ARENA, COLS, OPTIONS, ROWS, R, compose, node, part, query, rd, spikes, tracking,
+    ARENA, COLS, OPTIONS, options, ROWS, R, compose, node, part, query, rd, spikes, tracking,
 )
 
 SESSION, UNIT = ["session_id"], ["session_id", "unit"]
@@ -18,12 +18,12 @@ SIGMA_FRAMES = 1.0
 
 # ---------------------------------------------------------------- base tables
 def spike_positions(spark, sf):
-    moving = T.speed_between(T.with_speed(tracking(spark, sf), OPTIONS), 0.0, OPTIONS.speed_high)
-    return asof.asof_nearest(spikes(spark, sf), moving, SESSION, "t", ["x", "y"], "i", OPTIONS)
+    moving = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
+    return asof.asof_nearest(spikes(spark, sf), moving, SESSION, "t", ["x", "y"], "i", options(spark, sf))
 
 
 def occupancy(spark, sf):
-    return M.occupancy(tracking(spark, sf), ARENA, ROWS, COLS, OPTIONS)
+    return M.occupancy(tracking(spark, sf), ARENA, ROWS, COLS, options(spark, sf))
 
 
 def spike_map(spark, sf):
@@ -53,9 +53,9 @@ b AS (SELECT s.session_id, s.dt,
    FROM step s JOIN m ON m.session_id = s.session_id WHERE dt IS NOT NULL)
 SELECT session_id, r, c, {R('sum(dt)', 6)} AS v FROM b GROUP BY 1, 2, 3""", "step"))
 def occupancy_extent(spark, sf):
-    trk = T.with_step(tracking(spark, sf), OPTIONS)
+    trk = T.with_step(tracking(spark, sf), options(spark, sf))
     wide, ext = M.on_data_extent(trk, M.data_extent(tracking(spark, sf)))
-    return M.occupancy(wide, ext, ROWS, COLS, OPTIONS).withColumn("v", rd("v", 6))
+    return M.occupancy(wide, ext, ROWS, COLS, options(spark, sf)).withColumn("v", rd("v", 6))
 
 
 @query("spike_map", compose("SELECT session_id, unit, r, c, v FROM spkmap", "spkmap"))
@@ -173,7 +173,7 @@ j AS (SELECT session_id, lap, bin, coalesce(dwell, 0) dwell, coalesce(spikes, 0)
 SELECT session_id, lap, bin, {R('dwell', 6)} AS dwell, spikes, {R('sum(dwell) OVER w', 6)} AS dwell_total, CAST(sum(spikes) OVER w AS BIGINT) AS spikes_total
 FROM j WINDOW w AS (PARTITION BY session_id, bin ORDER BY lap)""", "step", "pos"))
 def trial_raster(spark, sf):
-    t = M.trial_raster(spike_positions(spark, sf), tracking(spark, sf), 604_800, 0.0, 25.0, OPTIONS)
+    t = M.trial_raster(spike_positions(spark, sf), tracking(spark, sf), 604_800, 0.0, 25.0, options(spark, sf))
     return t.withColumn("dwell", rd("dwell", 6)).withColumn("dwell_total", rd("dwell_total", 6))
 
 
@@ -247,14 +247,14 @@ part("hd", ("hist360",), """
 
 @query("hd_hist", compose("SELECT session_id, unit, bin, n FROM hd", "hd"))
 def hd_hist(spark, sf):
-    return C.heading_histogram(C.spike_headings(tracking(spark, sf), spikes(spark, sf), OPTIONS))
+    return C.heading_histogram(C.spike_headings(tracking(spark, sf), spikes(spark, sf), options(spark, sf)))
 
 
 @query("hd_vector", compose(f"""
 SELECT session_id, unit, {R('sqrt(pow(sum(n * cos(radians(bin - 179))) / sum(n), 2) + pow(sum(n * sin(radians(bin - 179))) / sum(n), 2))')} AS vector_length
 FROM hd GROUP BY 1, 2""", "hd"))
 def hd_vector(spark, sf):
-    hist = C.heading_histogram(C.spike_headings(tracking(spark, sf), spikes(spark, sf), OPTIONS))
+    hist = C.heading_histogram(C.spike_headings(tracking(spark, sf), spikes(spark, sf), options(spark, sf)))
     return C.mean_vector_length(hist).withColumn("vector_length", rd("vector_length"))
 
 
@@ -269,14 +269,14 @@ part("tune", ("head", "spkhead"), f"""
 
 @query("tuning_curve", compose(f"SELECT session_id, unit, bin, n, {R('rate * 1e6')} AS rate FROM tune", "tune"))
 def tuning_curve(spark, sf):
-    t = C.tuning_curve(tracking(spark, sf), spikes(spark, sf), settings=OPTIONS)
+    t = C.tuning_curve(tracking(spark, sf), spikes(spark, sf), settings=options(spark, sf))
     return t.withColumn("rate", rd(F.col("rate") * 1e6))
 
 
 @query("tuning_smooth", compose(f"""
 SELECT session_id, unit, CAST((bin + k + 36) % 36 AS INTEGER) AS bin, {R('sum(rate) / 3 * 1e6')} AS rate FROM tune, range(-1, 2) t(k) GROUP BY 1, 2, 3""", "tune"))
 def tuning_smooth(spark, sf):
-    t = C.smooth_tuning(C.tuning_curve(tracking(spark, sf), spikes(spark, sf), settings=OPTIONS), 3)
+    t = C.smooth_tuning(C.tuning_curve(tracking(spark, sf), spikes(spark, sf), settings=options(spark, sf)), 3)
     return t.withColumn("rate", rd(F.col("rate") * 1e6))
 
 
@@ -315,21 +315,21 @@ part("smrate", ("numbered", "gauss"), _smooth("numbered", "rate"))
 , j AS (SELECT s.session_id, s.unit, s.v * 1e3 AS a, r.v * 1e3 AS b FROM smspeed s JOIN smrate r ON r.session_id = s.session_id AND r.unit = s.unit AND r.k = s.k)
 SELECT session_id, unit, count(*) AS n, {R('CASE WHEN isnan(corr(a, b)) THEN NULL ELSE corr(a, b) END')} AS score_2016 FROM j GROUP BY 1, 2""", "smspeed", "smrate"))
 def speed_score(spark, sf):
-    s = C.speed_score(tracking(spark, sf), spikes(spark, sf), SIGMA_FRAMES, settings=OPTIONS)
+    s = C.speed_score(tracking(spark, sf), spikes(spark, sf), SIGMA_FRAMES, settings=options(spark, sf))
     return s.select(*UNIT, "n", rd("score_2016").alias("score_2016"))
 
 
 @query("gauss_smooth_1d", compose(f"""
 SELECT n.session_id, n.unit, n.i, {R('s.v', 6)} AS speed_smooth FROM smspeed s JOIN numbered n ON n.session_id = s.session_id AND n.unit = s.unit AND n.k = s.k""", "smspeed", "numbered"))
 def gauss_smooth_1d(spark, sf):
-    frames = C.frame_rates(T.with_speed(tracking(spark, sf), OPTIONS), spikes(spark, sf), OPTIONS)
-    g = C.gaussian_series(frames, UNIT, ["speed"], SIGMA_FRAMES, OPTIONS)
+    frames = C.frame_rates(T.with_speed(tracking(spark, sf), options(spark, sf)), spikes(spark, sf), options(spark, sf))
+    g = C.gaussian_series(frames, UNIT, ["speed"], SIGMA_FRAMES, options(spark, sf))
     return g.select(*UNIT, "i", rd("speed_smooth", 6).alias("speed_smooth"))
 
 
 @query("speed_score_fixed")
 def speed_score_fixed(spark, sf):
-    s = C.speed_score(tracking(spark, sf), spikes(spark, sf), SIGMA_FRAMES, 0.0005, SPEED_BAND_HIGH, OPTIONS)
+    s = C.speed_score(tracking(spark, sf), spikes(spark, sf), SIGMA_FRAMES, 0.0005, SPEED_BAND_HIGH, options(spark, sf))
     return s.select(*UNIT, "n", rd("score_2016").alias("score_2016"), rd("score_2015").alias("score_2015"))
 
 

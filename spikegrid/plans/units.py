@@ -109,7 +109,7 @@ def l_ratio_2d(spark, sf):
 , r AS (SELECT cluster, n, d2, row_number() OVER (PARTITION BY cluster ORDER BY d2) rn FROM d2 WHERE label <> cluster)
 SELECT cluster, n, {R('d2')} AS isolation FROM r WHERE rn = n""", "d2"))
 def isolation_2d(spark, sf):
-    i = K.isolation_distance(K.mahalanobis(quality_features(spark, sf, 2), SITE, 2), SITE, OPTIONS)
+    i = K.isolation_distance(K.mahalanobis(quality_features(spark, sf, 2), SITE, 2), SITE, options(spark, sf))
     return i.select("cluster", "n", rd("isolation").alias("isolation"))
 
 
@@ -117,7 +117,7 @@ def isolation_2d(spark, sf):
 def cluster_quality(spark, sf):
     """L-ratio and isolation distance on energies and first principal components."""
     m = K.mahalanobis(quality_features(spark, sf, 8), SITE, 8)
-    j = K.l_ratio(m, SITE, 8).join(K.isolation_distance(m, SITE, OPTIONS).drop("n"), [*SITE, "cluster"])
+    j = K.l_ratio(m, SITE, 8).join(K.isolation_distance(m, SITE, options(spark, sf)).drop("n"), [*SITE, "cluster"])
     return j.select("cluster", "n", rd("l_ratio").alias("l_ratio"), rd("isolation").alias("isolation"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -10,6 +11,7 @@ class Settings:
     # physical layout
     rows_per_chunk: int = 1_000_000      # a time-ordered group above this is cut into chunks
     broadcast_keys: int = 50_000         # lookup tables above this many rows are joined, not broadcast
+    chunks: Any = None                   # ChunkPlan of the base table (see operators.ordered)
     samples_per_kernel: int = 1 << 20    # largest array one task may hold for a whole-signal kernel
 
     # grid
