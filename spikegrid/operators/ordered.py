@@ -251,6 +251,19 @@ class Ordered:
         return self._with(out.drop(*[f"_o_{n}" for n in local]))
 
 
+    def least_ahead(self, mins: Mapping[str, Column]) -> "Ordered":
+        """Smallest value from the row to the end of the key."""
+        ahead = self.window.rowsBetween(0, Window.unboundedFollowing)
+        local = {n: F.min(e).over(ahead) for n, e in mins.items()}
+        if not self.chunked:
+            return self._with(self._df.withColumns(local))
+        w = self._chunk_window().rowsBetween(1, Window.unboundedFollowing)
+        ends = self._df.groupBy(*self.group).agg(*[F.min(e).alias(f"_s_{n}") for n, e in mins.items()])
+        later = ends.select(*self.group, *[F.min(f"_s_{n}").over(w).alias(f"_o_{n}") for n in mins])
+        out = self._attach(later).withColumns({n: F.least(c, F.col(f"_o_{n}")) for n, c in local.items()})
+        return self._with(out.drop(*[f"_o_{n}" for n in mins]))
+
+
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one row per key to a large table.
 

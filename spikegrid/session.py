@@ -13,6 +13,8 @@ SQL_OPTIONS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # packed maps and signal blocks are wide rows: keep an Arrow batch small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
