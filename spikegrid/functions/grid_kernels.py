@@ -40,18 +40,28 @@ def smoothing_matrix(n: int, taps: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------ regions of a map
+def _spread(cur: np.ndarray, diagonal: bool) -> np.ndarray:
+    """One step of dilation by a cross, or by a 3 x 3 block."""
+    out = cur.copy()
+    out[:, 1:] |= cur[:, :-1]
+    out[:, :-1] |= cur[:, 1:]
+    src = out.copy() if diagonal else cur
+    out[1:] |= src[:-1]
+    out[:-1] |= src[1:]
+    return out
+
+
 def grow(seed: np.ndarray, mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
     """All bins of ``mask`` connected to ``seed``."""
     cur = seed & mask
+    size = np.count_nonzero(cur)
     while True:
-        p = np.pad(cur, 1)
-        nxt = p[1:-1, 1:-1] | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
-        if diagonal:
-            nxt = nxt | p[:-2, :-2] | p[:-2, 2:] | p[2:, :-2] | p[2:, 2:]
-        nxt &= mask
-        if nxt.sum() == cur.sum():
+        cur = _spread(cur, diagonal)
+        cur &= mask
+        now = np.count_nonzero(cur)
+        if now == size:
             return cur
-        cur = nxt
+        size = now
 
 
 def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
@@ -70,13 +80,15 @@ def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
 
 def enclosed(region: np.ndarray) -> np.ndarray:
     """Bins outside the region that cannot reach the border."""
-    r, c = np.nonzero(region)
-    box = np.pad(region[r.min():r.max() + 1, c.min():c.max() + 1], 1)
-    rim = np.ones_like(box)
-    rim[1:-1, 1:-1] = False
-    holes = ~box & ~grow(rim, ~box)
+    r, c = np.flatnonzero(region.any(axis=1)), np.flatnonzero(region.any(axis=0))
     out = np.zeros_like(region)
-    out[r.min():r.max() + 1, c.min():c.max() + 1] = holes[1:-1, 1:-1]
+    if r[-1] - r[0] < 2 or c[-1] - c[0] < 2:
+        return out
+    part = (slice(r[0], r[-1] + 1), slice(c[0], c[-1] + 1))
+    free = ~region[part]
+    rim = free.copy()
+    rim[1:-1, 1:-1] = False
+    out[part] = free & ~grow(rim, free)
     return out
 
 
@@ -93,8 +105,7 @@ def plateaus(image: np.ndarray, mask: np.ndarray | None = None, clearance: int =
     empty = img == 0 if mask is None else (img == 0) | mask
     near = empty
     for _ in range(clearance):
-        q = np.pad(near, 1)
-        near = np.any([q[a:a + n, b:b + m] for a in range(3) for b in range(3)], axis=0)
+        near = _spread(near, True)
     peaks = []
     for k in range(1, labels.max() + 1):
         part = labels == k
@@ -171,10 +182,11 @@ class _FieldSearch:
         seed = np.zeros(self.image.shape, dtype=bool)
         seed[peak] = True
         region = grow(seed, self.image >= self.image[peak] * share)
-        if (enclosed(region) & ~self.unvisited).any():
+        if not region.any() or (enclosed(region) & ~self.unvisited).any():
             return None, False
-        others = np.delete(self.peaks, k, axis=0)
-        return region, not region[others[:, 0], others[:, 1]].any()
+        hit = region[self.peaks[:, 0], self.peaks[:, 1]]
+        hit[k] = False
+        return region, not hit.any()
 
     def growth(self, k: int, first: float, second: float):
         a, ok_a = self.region(k, first)

@@ -95,9 +95,10 @@ def wave_components(waves: DataFrame, keys: Sequence[str], channels: int, length
     """Projection of the normalised waveform of each channel on a principal axis (array ``pc``)."""
     rows = waves.select(*keys, *id_columns, F.explode(F.array(*[
         F.struct(F.lit(k).alias("ch"), channel("samples", k, length).alias("w")) for k in range(channels)])).alias("_x"))
-    norm = F.sqrt(dot(F.col("_x.w"), F.col("_x.w")))
+    # the length is a column of its own, so the lambda does not compute it per sample
+    rows = rows.withColumn("_len", F.sqrt(dot(F.col("_x.w"), F.col("_x.w"))))
     rows = rows.select(*keys, *id_columns, F.col("_x.ch").alias("ch"),
-                       F.when(norm > 0, F.transform("_x.w", lambda v: v / norm)).otherwise(F.transform("_x.w", lambda v: F.lit(0.0))).alias("w"))
+                       F.when(F.col("_len") > 0, F.transform("_x.w", lambda v: v / F.col("_len"))).otherwise(F.col("_x.w")).alias("w"))
     model = moments(rows, [*keys, "ch"], "w", length).select(*keys, "ch", _principal("n", "sums", "products").alias("m"))
     j = attach(rows, model, [*keys, "ch"])
     z = F.zip_with(F.zip_with("w", "m.mean", lambda a, b: a - b), "m.sd", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)))
@@ -119,11 +120,15 @@ def mahalanobis(features: DataFrame, keys: Sequence[str], d: int, id_columns: Se
     # one row per recording with its few clusters: spikes are matched once, then fanned out locally
     models = model.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "n_cluster", "m.mean", "m.whiten")).alias("_models"))
     rows = (attach(features, models, keys) if keys else features.join(F.broadcast(models))).withColumn("_m", F.explode("_models"))
-    diff = F.zip_with("features", "_m.mean", lambda a, b: a - b)
-    d2 = F.aggregate(
-        F.sequence(F.lit(0), F.lit(d - 1)), F.lit(0.0),
-        lambda s, i: s + F.pow(dot(F.slice("_m.whiten", i * d + 1, F.lit(d)), diff), F.lit(2)),
-    )
+    rows = rows.withColumn("_diff", F.zip_with("features", "_m.mean", lambda a, b: a - b))
+    diff = F.col("_diff")
+    # sum over rows of (whitening row . difference)^2, with the rows written out
+    d2 = F.lit(0.0)
+    for i in range(d):
+        z = F.lit(0.0)
+        for j in range(i + 1):      # lower triangle
+            z = z + F.get("_m.whiten", F.lit(i * d + j)) * F.get(diff, F.lit(j))
+        d2 = d2 + z * z
     return rows.select(*keys, *id_columns, "label", F.col("_m.cluster").alias("cluster"), F.col("_m.n_cluster").alias("n_cluster"),
                        F.when(F.col("_m.whiten").isNotNull(), d2).alias("d2"))
 

@@ -68,15 +68,15 @@ def _sliced(ax, ay, aw, bx, by, bw, u: np.ndarray, p: int) -> float:
     a, b = u @ np.vstack([ax, ay]), u @ np.vstack([bx, by])
     ia, ib = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
     a, b = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
-    qa, qb = np.cumsum(aw[ia], axis=1) / aw.sum(), np.cumsum(bw[ib], axis=1) / bw.sum()
-    total = 0.0
-    for k in range(len(u)):
-        q = np.sort(np.concatenate([qa[k], qb[k]]))
-        d = np.diff(q, prepend=0.0)
-        va = a[k][np.minimum(np.searchsorted(qa[k], q), len(a[k]) - 1)]
-        vb = b[k][np.minimum(np.searchsorted(qb[k], q), len(b[k]) - 1)]
-        total += float(d @ np.abs(va - vb) ** p)
-    return (total / len(u)) ** (1 / p)
+    q = np.hstack([np.cumsum(aw[ia], axis=1) / aw.sum(), np.cumsum(bw[ib], axis=1) / bw.sum()])
+    order = np.argsort(q, axis=1, kind="stable")
+    from_a = order < a.shape[1]
+    # next value of either side at every step of the merged distribution
+    na = np.minimum(np.cumsum(from_a, axis=1) - from_a.astype(int), a.shape[1] - 1)
+    nb = np.minimum(np.cumsum(~from_a, axis=1) - (~from_a).astype(int), b.shape[1] - 1)
+    gap = np.abs(np.take_along_axis(a, na, 1) - np.take_along_axis(b, nb, 1))
+    step = np.diff(np.take_along_axis(q, order, 1), axis=1, prepend=0.0)
+    return float((step * gap ** p).sum() / len(u)) ** (1 / p)
 
 
 def map_distance(pairs: DataFrame, keep: Sequence[str], rows: int, cols: int, height: float, width: float, directions,

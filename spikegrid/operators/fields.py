@@ -54,7 +54,7 @@ def place_fields(packed: DataFrame, keys: Sequence[str], column: str, rows: int,
 
 def field_bins(labelled: DataFrame, keys: Sequence[str], column: str, cols: int) -> DataFrame:
     """Long rows (keys, field_id, r, c, rate) of the labelled bins."""
-    z = labelled.select(*keys, F.posexplode(F.arrays_zip(F.col("labels").alias("l"), F.col(column).alias("v"))).alias("_b", "_z"))
+    z = labelled.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("labels").alias("l"), F.col(column).alias("v"))).alias("_b", "_z"))
     return z.where("_z.l > 0").select(
         *keys, F.col("_z.l").alias("field_id"), F.floor(F.col("_b") / cols).cast("int").alias("r"),
         (F.col("_b") % cols).cast("int").alias("c"), F.col("_z.v").alias("rate"),

@@ -118,8 +118,12 @@ def pack(maps: DataFrame, keys: Sequence[str], cols: int) -> DataFrame:
 
 
 def unpack(packed: DataFrame, keys: Sequence[str], column: str, cols: int, name: str = "v") -> DataFrame:
-    """Long form of a dense array column."""
-    return packed.select(*keys, F.posexplode(column).alias("_b", name)).select(
+    """Long form of a dense array column.
+
+    The outer explode keeps the planner from deriving a "not empty" filter, which
+    would evaluate the expression or kernel behind ``column`` twice.
+    """
+    return packed.select(*keys, F.posexplode_outer(column).alias("_b", name)).where("_b IS NOT NULL").select(
         *keys, F.floor(F.col("_b") / cols).cast("int").alias("r"), (F.col("_b") % cols).cast("int").alias("c"), name
     )
 
@@ -160,7 +164,7 @@ def binary_bins(maps: DataFrame, keys: Sequence[str], rows: int, cols: int, p: f
     dense = F.transform(every, lambda b: F.struct(b.alias("b"), F.coalesce(F.element_at(lookup, b), F.lit(0.0)).alias("v")))
     sparse = F.arrays_zip(F.col("bins").alias("b"), F.col("vals").alias("v"))
     cells = F.when(F.col("_t") > 0, F.filter(sparse, lambda x: x["v"] >= F.col("_t"))).otherwise(dense)
-    out = packed.select(*keys, F.explode(cells).alias("_x"))
+    out = packed.select(*keys, F.explode_outer(cells).alias("_x")).where("_x IS NOT NULL")
     return out.select(
         *keys, F.floor(F.col("_x.b") / cols).cast("int").alias("r"), (F.col("_x.b") % cols).cast("int").alias("c"),
         F.col("_x.v").alias("v"),
@@ -215,8 +219,10 @@ def smooth_rate(
     ss = smooth(spk, keys, rows, cols, factor).withColumnRenamed("smooth", "_spk")
     ratio = F.zip_with("_spk", "_occ", lambda s, o: F.when(o < F.lit(floor), F.lit(0.0)).otherwise(s / o))
     out = ss.join(so, SESSION).select(*keys, ratio.alias("_rate"))
-    top = F.array_max("_rate")
-    return out.select(*keys, F.transform("_rate", lambda v: F.when(top > 0, v / top).otherwise(F.lit(0.0))).alias("rate"))
+    # the maximum is a column of its own: inside the lambda it would be found anew per bin
+    out = out.withColumn("_top", F.array_max("_rate"))
+    scaled = F.when(F.col("_top") > 0, F.transform("_rate", lambda v: v / F.col("_top"))).otherwise(F.col("_rate"))
+    return out.select(*keys, scaled.alias("rate"))
 
 
 def dense_bins(cols: str) -> Column:

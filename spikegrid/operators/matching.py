@@ -33,7 +33,7 @@ def mean_square_difference(waves: DataFrame, pairs: DataFrame, site: Sequence[st
 def unit_histograms(features: DataFrame, site: Sequence[str], bins: int = 100) -> DataFrame:
     """Histogram of every feature of every unit over the unit's own range."""
     unit = [*site, "session_no", "label"]
-    long = features.select(*unit, F.posexplode("features").alias("feature", "v"))
+    long = features.select(*unit, F.posexplode_outer("features").alias("feature", "v")).where("v IS NOT NULL")
     lim = long.groupBy(*unit, "feature").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count("v").alias("size"))
     j = attach(long, lim, [*unit, "feature"])
     # a constant feature is widened by one half on both sides

@@ -114,7 +114,7 @@ def zero_phase(lfp: DataFrame, keys: Sequence[str], b, a, settings: Settings = D
     y = p.join(_chained(p, keys, "zi", False, flt), at).select(*at, "n_blocks", "len", forward("e", "start").alias("y"))
     q = y.withColumn("_p", probe_back("y")).select(*at, "n_blocks", "len", "y", F.col("_p.end").alias("end"), F.col("_p.zi").alias("zi"))
     out = q.join(_chained(q, keys, "zi", True, flt), at).select(*at, backward("y", "start", "block", "n_blocks").alias("y"))
-    return out.select(*keys, (F.col("block") * length).alias("_o"), F.posexplode("y").alias("_i", "y")).select(
+    return out.select(*keys, (F.col("block") * length).alias("_o"), F.posexplode_outer("y").alias("_i", "y")).where("_i IS NOT NULL").select(
         *keys, (F.col("_o") + F.col("_i")).alias("i"), "y")
 
 
@@ -158,7 +158,7 @@ def spectrum(lfp: DataFrame, keys: Sequence[str], rate: float, settings: Setting
     def amplitude(x: pd.Series) -> pd.Series:
         return pd.Series([2.0 / len(v) * np.abs(np.fft.fft(np.asarray(v, float))[: len(v) // 2]) for v in x])
 
-    out = packed.select(*keys, "n", F.posexplode(amplitude(F.col("_s.v"))).alias("k", "amplitude"))
+    out = packed.select(*keys, "n", F.posexplode_outer(amplitude(F.col("_s.v"))).alias("k", "amplitude")).where("k IS NOT NULL")
     if longest > settings.samples_per_kernel:
         out = out.unionByName(_long_spectrum(tagged.where(F.col("n") > settings.samples_per_kernel), keys, longest))
     return out.select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") * F.lit(float(rate)) / F.col("n")).alias("frequency"), "amplitude")

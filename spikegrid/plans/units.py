@@ -42,7 +42,7 @@ part("en", ("samp",), f"""
 @query("wave_energy", compose(f"SELECT spike_idx, label, ch AS channel, {R('e', 6)} AS energy FROM en", "en"))
 def wave_energy(spark, sf):
     e = K.with_energy(waves(spark, sf), CH, LEN)
-    return e.select("spike_idx", "label", F.posexplode("energy").alias("channel", "e")).select("spike_idx", "label", "channel", rd("e", 6).alias("energy"))
+    return e.select("spike_idx", "label", F.posexplode_outer("energy").alias("channel", "e")).select("spike_idx", "label", "channel", rd("e", 6).alias("energy"))
 
 
 @query("wave_mean", compose(f"SELECT label, CAST(pos AS INTEGER) AS pos, {R('avg(v)', 6)} AS v FROM samp GROUP BY 1, 2", "samp"))
@@ -124,13 +124,13 @@ def cluster_quality(spark, sf):
 @query("wave_pca")
 def wave_pca(spark, sf):
     pc = K.wave_components(waves(spark, sf), SITE, CH, LEN)
-    return pc.select("spike_idx", "label", F.posexplode("pc").alias("channel", "v")).withColumn("v", rd("v"))
+    return pc.select("spike_idx", "label", F.posexplode_outer("pc").alias("channel", "v")).withColumn("v", rd("v"))
 
 
 @query("wave_features")
 def wave_features(spark, sf):
     f = K.shape_features(waves(spark, sf), CH, LEN, 1.0, ["spike_idx", "label"])
-    return f.select("spike_idx", "label", F.posexplode("features").alias("feature", "v")).withColumn("v", rd("v"))
+    return f.select("spike_idx", "label", F.posexplode_outer("features").alias("feature", "v")).withColumn("v", rd("v"))
 
 
 # ------------------------------------------------------------------- matching
