@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spikegrid.operators import clusters as K, matching as MT, spikes as S
+from spikegrid.operators.ordered import plan_chunks
 from spikegrid.plans.base import OPTIONS, R, compose, part, query, rd, table
 
 CH, LEN = 4, 16
@@ -22,6 +23,12 @@ def waves(spark, sf):
         "label", F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def unit_options(spark, sf):
+    """A cluster has at most the spikes of its site, so one count of the base table serves all orders."""
+    base = table(spark, sf, "embeddings").select(F.lit(1).alias("site"), "vec_id")
+    return OPTIONS.but(chunks=plan_chunks(base, SITE, "vec_id", OPTIONS))
+
+
 def session_pairs(w):
     """Sessions of a site with the one before (few rows)."""
     from pyspark.sql import Window
@@ -109,7 +116,7 @@ def l_ratio_2d(spark, sf):
 , r AS (SELECT cluster, n, d2, row_number() OVER (PARTITION BY cluster ORDER BY d2) rn FROM d2 WHERE label <> cluster)
 SELECT cluster, n, {R('d2')} AS isolation FROM r WHERE rn = n""", "d2"))
 def isolation_2d(spark, sf):
-    i = K.isolation_distance(K.mahalanobis(quality_features(spark, sf, 2), SITE, 2), SITE, OPTIONS)
+    i = K.isolation_distance(K.mahalanobis(quality_features(spark, sf, 2), SITE, 2), SITE, unit_options(spark, sf))
     return i.select("cluster", "n", rd("isolation").alias("isolation"))
 
 
@@ -117,7 +124,7 @@ def isolation_2d(spark, sf):
 def cluster_quality(spark, sf):
     """L-ratio and isolation distance on energies and first principal components."""
     m = K.mahalanobis(quality_features(spark, sf, 8), SITE, 8)
-    j = K.l_ratio(m, SITE, 8).join(K.isolation_distance(m, SITE, OPTIONS).drop("n"), [*SITE, "cluster"])
+    j = K.l_ratio(m, SITE, 8).join(K.isolation_distance(m, SITE, unit_options(spark, sf)).drop("n"), [*SITE, "cluster"])
     return j.select("cluster", "n", rd("l_ratio").alias("l_ratio"), rd("isolation").alias("isolation"))
 
 
