@@ -71,5 +71,4 @@ def is_rotated(path: Column) -> Column:
 
 def recording_date(text: Column) -> Column:
     """Dates written year first or month first."""
-    return F.coalesce(F.try_to_date(text, F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"),
-                      F.try_to_timestamp(text, F.lit("MMddyyyy")).cast("date"))
+    return F.coalesce(F.try_to_date(text, "yyyyMMdd"), F.try_to_date(text, "MMddyyyy"))

@@ -77,7 +77,7 @@ def adaptive_rate(events: DataFrame, window_seconds: float, delay: str, ts: str
                 continue
             n += 1
             if now - start > window_seconds:
-                out.append((*key, pd.Timestamp((now + start) / 2, unit="s"), n / (now - start)))
+                out.append((*key, pd.Timestamp((now + start) / 2, unit="s").round("us"), n / (now - start)))
                 start, n = now, 0
         state.update((start, n))
         yield pd.DataFrame(out, columns=["session_id", "unit", "mid", "rate"])
