@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from spikegrid.functions import waveforms as WF
 from spikegrid.functions.expr import chi2_survival_even, root_energy, safe_div
-from spikegrid.operators.ordered import attach, kth_smallest
+from spikegrid.operators.ordered import attach, broadcast_if_small, kth_smallest
 from spikegrid.settings import DEFAULT, Settings
 
 
@@ -91,7 +91,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def wave_components(waves: DataFrame, keys: Sequence[str], channels: int, length: int, component: int = 1,
-                    id_columns: Sequence[str] = ("spike_idx", "label")) -> DataFrame:
+                    id_columns: Sequence[str] = ("spike_idx", "label"), settings: Settings = DEFAULT) -> DataFrame:
     """Projection of the normalised waveform of each channel on a principal axis (array ``pc``)."""
     rows = waves.select(*keys, *id_columns, F.explode(F.array(*[
         F.struct(F.lit(k).alias("ch"), channel("samples", k, length).alias("w")) for k in range(channels)])).alias("_x"))
@@ -100,7 +100,7 @@ def wave_components(waves: DataFrame, keys: Sequence[str], channels: int, length
     rows = rows.select(*keys, *id_columns, F.col("_x.ch").alias("ch"),
                        F.when(F.col("_len") > 0, F.transform("_x.w", lambda v: v / F.col("_len"))).otherwise(F.col("_x.w")).alias("w"))
     model = moments(rows, [*keys, "ch"], "w", length).select(*keys, "ch", _principal("n", "sums", "products").alias("m"))
-    j = attach(rows, model, [*keys, "ch"])
+    j = attach(rows, broadcast_if_small(model, settings), [*keys, "ch"])
     z = F.zip_with(F.zip_with("w", "m.mean", lambda a, b: a - b), "m.sd", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)))
     axis = F.slice("m.axes", (component - 1) * length + 1, length)
     per = j.select(*keys, *id_columns, "ch", dot(z, axis).alias("v"))
@@ -110,7 +110,8 @@ def wave_components(waves: DataFrame, keys: Sequence[str], channels: int, length
 
 
 # --------------------------------------------------------- cluster quality
-def mahalanobis(features: DataFrame, keys: Sequence[str], d: int, id_columns: Sequence[str] = ("spike_idx",)) -> DataFrame:
+def mahalanobis(features: DataFrame, keys: Sequence[str], d: int, id_columns: Sequence[str] = ("spike_idx",),
+                settings: Settings = DEFAULT) -> DataFrame:
     """Squared distance of every spike to every cluster of its recording.
 
     Columns: keys, id columns, label (of the spike), cluster, n_cluster, d2.
@@ -119,7 +120,7 @@ def mahalanobis(features: DataFrame, keys: Sequence[str], d: int, id_columns: Se
         *keys, F.col("label").alias("cluster"), F.col("n").alias("n_cluster"), _whitening("n", "sums", "products").alias("m"))
     # one row per recording with its few clusters: spikes are matched once, then fanned out locally
     models = model.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "n_cluster", "m.mean", "m.whiten")).alias("_models"))
-    rows = (attach(features, models, keys) if keys else features.join(F.broadcast(models))).withColumn("_m", F.explode("_models"))
+    rows = attach(features, broadcast_if_small(models, settings), keys).withColumn("_m", F.explode("_models"))
     rows = rows.withColumn("_diff", F.zip_with("features", "_m.mean", lambda a, b: a - b))
     diff = F.col("_diff")
     # sum over rows of (whitening row . difference)^2, with the rows written out

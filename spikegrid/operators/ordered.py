@@ -273,6 +273,21 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     return df.join(per_key, list(keys), how)
 
 
+def broadcast_if_small(per_key: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """A derived lookup table, computed once and sent to every task if it is small.
+
+    Without this the planner cannot know its size in advance and shuffles the large
+    side by a key that may have very few values.  Above the limit it is checkpointed
+    and left to the (skew-aware) shuffled join.
+    """
+    spark = per_key.sparkSession
+    rows = per_key.limit(settings.broadcast_rows + 1).collect()
+    if len(rows) <= settings.broadcast_rows:
+        return F.broadcast(spark.createDataFrame(rows, per_key.schema))
+    checkpoint_dir(spark)
+    return per_key.checkpoint()
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct values with their count (and summed weight): ties leave one row."""
     aggs = [F.count(F.lit(1)).alias("n")]

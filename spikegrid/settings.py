@@ -12,6 +12,7 @@ class Settings:
     rows_per_chunk: int = 1_000_000      # a time-ordered group above this is cut into chunks
     broadcast_keys: int = 50_000         # lookup tables above this many rows are joined, not broadcast
     chunks: Any = None                   # ChunkPlan of the base table (see operators.ordered)
+    broadcast_rows: int = 2_000          # model rows (a few KB each) that may be broadcast
     samples_per_kernel: int = 1 << 16    # samples of one signal block (one row of a kernel)
 
     # grid
