@@ -1,6 +1,6 @@
 """All registered queries (importing the modules registers them)."""
 
-from spikegrid.plans import base, recordings, remapping, reports, signals, spatial, units  # noqa: F401
+from spikegrid.plans import base, contexts, recordings, remapping, reports, signals, spatial, units  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
