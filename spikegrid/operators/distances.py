@@ -197,6 +197,18 @@ def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, settings: Se
     return m.select(*keys, "n", F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"))
 
 
+def map_spearman(cells: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Rank correlation over the bins of two maps; a key has at most rows x cols rows."""
+    from spikegrid.functions.expr import safe_corr
+
+    def rank(c):
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
+        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2.0
+
+    r = cells.select(*keys, rank(a).alias("_ra"), rank(b).alias("_rb"))
+    return r.groupBy(*keys).agg(safe_corr("_ra", "_rb").alias("rho"))
+
+
 def map_moments(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mass, centroid and covariance of a map taken as a distribution."""
     v = F.col("v")

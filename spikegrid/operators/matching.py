@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spikegrid.operators.clusters import mean_waveform
 from spikegrid.operators.ordered import attach
+from spikegrid.session import computed_once
 
 
 def mean_square_difference(waves: DataFrame, pairs: DataFrame, site: Sequence[str]) -> DataFrame:
@@ -48,7 +49,8 @@ def jensen_shannon(features: DataFrame, pairs: DataFrame, site: Sequence[str], b
 
     As published, bins are compared by number although either unit has its own edges.
     """
-    h = unit_histograms(features, site, bins)
+    # a few rows per unit, read by four branches below
+    h = computed_once(unit_histograms(features, site, bins))
     key = [*site, "prev_no", "session_no"]
     hp = pairs.join(h.withColumnRenamed("session_no", "prev_no"), [*site, "prev_no"])
     hq = pairs.join(h, [*site, "session_no"])
@@ -114,6 +116,7 @@ def match_units(distances: DataFrame, key: Sequence[str], label_type: str = "int
     Columns: key, unit_a, unit_b, distance, step ('mutual' or 'assigned').  The
     matrix of one session pair has at most a few dozen units per side.
     """
+    distances = computed_once(distances)    # one row per unit pair, read by every step
     best = mutual_best(distances, key)
     rest = distances.join(best.select(*key, "unit_a"), [*key, "unit_a"], "left_anti").join(
         best.select(*key, "unit_b"), [*key, "unit_b"], "left_anti")

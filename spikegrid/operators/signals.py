@@ -12,11 +12,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikegrid.functions.filters import StateFilter, dc_blocker, design
-from spikegrid.operators.ordered import ChunkPlan, Ordered, attach
+from spikegrid.operators.ordered import Ordered, attach
+from spikegrid.session import computed_once
 from spikegrid.settings import DEFAULT, Settings
 
 
@@ -81,17 +82,18 @@ def zero_phase(lfp: DataFrame, keys: Sequence[str], b, a, settings: Settings = D
             parts.append(2 * x[-1] - x[-2:-pad - 2:-1])
         return np.concatenate(parts)
 
-    @F.pandas_udf("struct<e:array<double>,end:array<double>,zi:array<double>,len:long>")
+    @F.pandas_udf("struct<end:array<double>,zi:array<double>,len:long>")
     def probe(x: pd.Series, block: pd.Series, n_blocks: pd.Series) -> pd.DataFrame:
         out = []
         for v, k, m in zip(x, block, n_blocks):
             e = extended(v, k == 0, k == m - 1)
-            out.append((e, flt.run(e, np.zeros(flt.n))[1], settled * e[0], len(e)))
-        return pd.DataFrame(out, columns=["e", "end", "zi", "len"])
+            out.append((flt.run(e, np.zeros(flt.n))[1], settled * e[0], len(e)))
+        return pd.DataFrame(out, columns=["end", "zi", "len"])
 
     @F.pandas_udf("array<double>")
-    def forward(x: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([flt.run(np.asarray(v, float), np.asarray(s, float))[0] for v, s in zip(x, start)])
+    def forward(x: pd.Series, start: pd.Series, block: pd.Series, n_blocks: pd.Series) -> pd.Series:
+        return pd.Series([flt.run(extended(v, k == 0, k == m - 1), np.asarray(s, float))[0]
+                          for v, s, k, m in zip(x, start, block, n_blocks)])
 
     @F.pandas_udf("struct<end:array<double>,zi:array<double>>")
     def probe_back(y: pd.Series) -> pd.DataFrame:
@@ -110,10 +112,12 @@ def zero_phase(lfp: DataFrame, keys: Sequence[str], b, a, settings: Settings = D
         return pd.Series(out)
 
     at = [*keys, "block"]
-    p = blocks.withColumn("_p", probe("x", "block", "n_blocks")).select(*at, "n_blocks", F.col("_p.e").alias("e"), F.col("_p.end").alias("end"), F.col("_p.zi").alias("zi"), F.col("_p.len").alias("len"))
-    y = p.join(_chained(p, keys, "zi", False, flt), at).select(*at, "n_blocks", "len", forward("e", "start").alias("y"))
-    q = y.withColumn("_p", probe_back("y")).select(*at, "n_blocks", "len", "y", F.col("_p.end").alias("end"), F.col("_p.zi").alias("zi"))
-    out = q.join(_chained(q, keys, "zi", True, flt), at).select(*at, backward("y", "start", "block", "n_blocks").alias("y"))
+    p = blocks.select(*at, probe("x", "block", "n_blocks").alias("_p")).select(*at, "_p.*")
+    y = blocks.join(_chained(p, keys, "zi", False, flt), at)
+    # the forward pass feeds two branches: write it once instead of filtering twice
+    y = computed_once(y.select(*at, "n_blocks", forward("x", "start", "block", "n_blocks").alias("y")))
+    q = y.select(*at, F.size("y").cast("long").alias("len"), probe_back("y").alias("_p")).select(*at, "len", "_p.*")
+    out = y.join(_chained(q, keys, "zi", True, flt), at).select(*at, backward("y", "start", "block", "n_blocks").alias("y"))
     return out.select(*keys, (F.col("block") * length).alias("_o"), F.posexplode_outer("y").alias("_i", "y")).where("_i IS NOT NULL").select(
         *keys, (F.col("_o") + F.col("_i")).alias("i"), "y")
 

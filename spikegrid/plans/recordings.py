@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spikegrid.functions import expr as X
 from spikegrid.operators import asof, spikes as S, tracking as T
 from spikegrid.plans.base import (
-    COLS, ROWS, OPTIONS, options, R, all_units, compose, events, part, query, rd, spikes, table, tracking,
+    OPTIONS, R, all_units, compose, events, options, part, query, rd, spikes, tracking,
 )
 
 GAP = 43_200.0      # longest interval inside a burst, in the time scale of the events table

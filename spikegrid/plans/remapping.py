@@ -221,11 +221,16 @@ def map_spearman(spark, sf):
     """Rank correlation over all bins of the maps of two consecutive sessions."""
     m = cell_maps(spark, sf)
     ln = links(cells(spark, sf))
-    ends = lambda no, col: ln.join(m.withColumnRenamed("session_no", no).withColumnRenamed("v", col), ["animal_id", "cell", no]).select(*LINK, "r", "c", col)
+    none = F.lit(None).cast("double")
+    side = lambda no, va, vb: ln.join(m.withColumnRenamed("session_no", no), ["animal_id", "cell", no]).select(
+        *LINK, "r", "c", va.alias("va"), vb.alias("vb"))
     every = F.explode(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)))
-    grid = ln.select(*LINK, every.alias("b")).select(*LINK, F.floor(F.col("b") / COLS).cast("int").alias("r"), (F.col("b") % COLS).alias("c"))
-    j = grid.join(ends("prev_no", "va"), [*LINK, "r", "c"], "left").join(ends("session_no", "vb"), [*LINK, "r", "c"], "left").na.fill(0.0, ["va", "vb"])
-    return D.spearman(j, LINK, "va", "vb", options(spark, sf, "animal_id")).select(*LINK, rd("rho").alias("rho"))
+    grid = ln.select(*LINK, every.alias("b")).select(
+        *LINK, F.floor(F.col("b") / COLS).cast("int").alias("r"), (F.col("b") % COLS).cast("int").alias("c"), F.lit(0.0).alias("va"), F.lit(0.0).alias("vb"))
+    # grid rows hold zeros, so the larger value is the map's own
+    both = grid.unionByName(side("prev_no", F.col("v"), none)).unionByName(side("session_no", none, F.col("v")))
+    j = both.groupBy(*LINK, "r", "c").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
+    return D.map_spearman(j, LINK, "va", "vb").select(*LINK, rd("rho").alias("rho"))
 
 
 # ---------------------------------------------------------------- different cells

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL options the plans rely on; all can be changed at run time.
 SQL_OPTIONS = {
@@ -35,10 +37,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; tests fall back to their own."""
+    """The shared folder named by the cluster; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spikegrid-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a table that several branches of a plan read."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

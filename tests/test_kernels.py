@@ -249,3 +249,28 @@ def test_map_invariants(spark):
     assert max(rate) == pytest.approx(1.0)
     st = C.map_statistics(occ, M.rate_bins(occ, M.spike_counts(spk, ext, 8, 8)), 8, 8).first()
     assert st.information_content >= 0 and 0 < st.sparsity <= 1
+
+
+def test_spearman_in_chunks(spark):
+    x, y = rng.integers(0, 9, 200), rng.integers(0, 9, 200)
+    y = np.where(rng.random(200) < 0.5, x, y)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "k int, a double, b double")
+    want = np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1]
+    for settings in (DEFAULT, DEFAULT.but(rows_per_chunk=3)):
+        assert D.spearman(df, ["k"], "a", "b", settings).first().rho == pytest.approx(want)
+    assert D.map_spearman(df, ["k"], "a", "b").first().rho == pytest.approx(want)
+
+
+def test_geometry(spark):
+    from spikegrid.operators import geometry as G
+
+    t = G.time_index(spark, 2, 50).orderBy("i").collect()
+    assert len(t) == 100 and t[51].clock == "00:00:01.020000"
+    g = G.random_waveforms(G.random_trains(spark, 3, 10, 50.0), 4, 10).toPandas()
+    assert set(g.unit) == {0, 1, 2} and g.label.between(0, 9).all() and np.stack(g.samples).min() >= -20
+    m = spark.createDataFrame([(1, 0, 2, 5.0), (1, 3, 1, 1.0)], "k int, r int, c int, v double")
+    turned = {(r.r, r.c): r.v for r in G.rotate_quarter(m, 4).collect()}
+    assert turned == {(2, 3): 5.0, (1, 0): 1.0}
+    assert G.peak_anchor(m, ["k"]).first()[1:] == (0.0, 2.0)
+    s = G.scale_points(spark.createDataFrame([(1, 0.0, 2.0), (1, 4.0, 3.0), (1, 1.0, 2.5)], "k int, x double, y double"), ["k"]).toPandas()
+    assert sorted(s.x) == [0, 0.25, 1] and sorted(s.y) == [0, 0.5, 1]
