@@ -47,7 +47,7 @@ def choose_sessions(rows: DataFrame, session: str, date: str, depth: str, step:
     """
     counts = rows.groupBy(date, depth, session).agg(F.count(F.lit(1)).alias("cells"))
     best = counts.groupBy(date, depth).agg(F.max_by(session, F.struct("cells", -F.col(session).cast("double"))).alias(session), F.max("cells").alias("cells"))
-    visit = F.row_number().over(Window.partitionBy(depth).orderBy(date))
+    visit = F.row_number().over(Window.partitionBy(depth).orderBy(date)).cast("long")
     return best.withColumn("visit", visit).where(F.col("visit") % step == 1)
 
 
