@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spikegrid.llm import mixing, sharding
+from spikegrid.llm import mixing, packing, sharding, simhash, token_files
 from spikegrid.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,18 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 @query(MIX_SQL)
 def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
+
+
+@query()
+def op3_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(documents(spark, sf_dir))
+
+
+@query()
+def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
