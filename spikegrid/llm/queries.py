@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spikegrid.llm import mixing, packing, sharding, simhash, token_files
-from spikegrid.llm.common import documents
+from spikegrid.llm import mixing, packing, sharding, simhash, token_files, url_filter, vector_search, warc
+from spikegrid.llm.common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,28 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query()
+def op4_ngram_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(pages(spark, sf_dir))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query(WARC_SQL)
+def op7_loser_tree_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(pages(spark, sf_dir))
+
+
+@query()
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
