@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spikegrid.llm import mixing, packing, sharding, simhash, token_files, url_filter, vector_search, warc
+from spikegrid.llm import mixing, packing, quality, sharding, simhash, token_files, url_filter, vector_search, warc
 from spikegrid.llm.common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op7_loser_tree_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query()
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
