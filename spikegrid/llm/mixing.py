@@ -110,9 +110,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     # equal (doc_id, source, size) rows are told apart, so that each is taken by itself
     again = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0)))
-    rows = saved(rows.withColumn("_copy", again).withColumn("row_id", F.struct("doc_id", "_copy")), "mix-rows")
-    rows = rows.withColumn("row_id", F.when(F.col("_copy") == 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).otherwise(
-        F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_copy").cast("string"))))
+    rows = rows.withColumn("_copy", again)
+    rows = saved(rows.select("doc_id", "source", "size", F.concat_ws(
+        "/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_copy", "size", "source").alias("row_id")), "mix-rows")
     out, taken = mix(rows, **options)
     sums = taken.groupBy("row_id").agg(F.sum("words").alias("taken"))
     return out.join(sums, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))

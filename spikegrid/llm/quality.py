@@ -8,8 +8,8 @@ Outliers: per (language, source), a minimum-covariance-determinant estimate of f
 transformed statistics. Starting from medians and median deviations, each concentration
 step takes the ``share`` of rows nearest by Mahalanobis distance (a count of distance
 bins finds the border) and takes their mean and covariance. Steps are grouped sums of
-whole numbers, so any order of tasks gives the same result. Small groups lean on the
-estimate of all rows, as if they held ``prior`` rows more. A row is rejected if its
+whole numbers, so any order of tasks gives the same result. The scatter of small groups
+leans on that within all groups, as if they held ``PRIOR`` rows more. A row is rejected if its
 distance exceeds ``cutoff``.
 
 Nulls: a null text has no words and fails the base rules; null and empty language or
@@ -35,7 +35,7 @@ SHARE = 0.75
 CONSISTENCY = 1.41       # for 5 statistics and a share of 0.75: 0.75 / P(chi2_7 < q), q the 0.75 quantile of chi2_5
 PRIOR = 200
 FLOOR = 0.15             # least standard deviation of a standardised statistic
-CUTOFF = 250.0           # squared distance; texts are not normal, so far above the chi-square quantiles
+CUTOFF = 200.0           # squared distance; texts are not normal, so far above the chi-square quantiles
 BINS_PER_UNIT = 64
 
 
@@ -124,19 +124,16 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _whitened(moments: DataFrame, factor: float) -> DataFrame:
-    """Mean and inverse Cholesky factor of each group, the group's covariance times
-    ``factor`` and mixed with that of all rows, unrolled as column expressions."""
-    names = ["n"] + [f"s{i}" for i in range(FEATURES)] + [f"p{i}{j}" for i, j in _pairs()]
-    m = moments.withColumns({f"all_{c}": F.sum(c).over(Window.partitionBy()) for c in names})        # one row for each group
-    n, every = F.col("n").cast("double"), F.col("all_n").cast("double")
-    m = m.withColumns({f"mean{i}": F.col(f"s{i}") / n for i in range(FEATURES)} | {f"all_mean{i}": F.col(f"all_s{i}") / every for i in range(FEATURES)})
-    share = n / (n + PRIOR)
-    cov = {}
-    for i, j in _pairs():
-        own = F.col(f"p{i}{j}") / n - F.col(f"mean{i}") * F.col(f"mean{j}")
-        common = F.col(f"all_p{i}{j}") / every - F.col(f"all_mean{i}") * F.col(f"all_mean{j}")
-        cov[f"c{i}{j}"] = (own * share + common * (1 - share)) * factor + (F.lit((FLOOR * SCALE) ** 2) if i == j else F.lit(0.0))
-    m = m.withColumns(cov).withColumns({f"mean{i}": F.col(f"mean{i}") * share + F.col(f"all_mean{i}") * (1 - share) for i in range(FEATURES)})
+    """Mean and Cholesky factor of each group. Its covariance is mixed with that within
+    all groups, as of ``PRIOR`` rows more, and times ``factor``; unrolled as columns."""
+    n = F.col("n").cast("double")
+    m = moments.withColumns({f"mean{i}": F.col(f"s{i}") / n for i in range(FEATURES)})
+    m = m.withColumns({f"w{i}{j}": F.col(f"p{i}{j}") - F.col(f"mean{i}") * F.col(f"s{j}") for i, j in _pairs()})
+    # one row for each group, added up in a fixed order
+    every = Window.orderBy("lang", "source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = m.withColumn("all_n", F.sum("n").over(every)).withColumns({f"all{i}{j}": F.sum(f"w{i}{j}").over(every) for i, j in _pairs()})
+    m = m.withColumns({f"c{i}{j}": (F.col(f"w{i}{j}") + F.col(f"all{i}{j}") / F.col("all_n") * PRIOR) / (n + PRIOR) * factor
+                       + (F.lit((FLOOR * SCALE) ** 2) if i == j else F.lit(0.0)) for i, j in _pairs()})
     for i in range(FEATURES):                                  # Cholesky, row by row
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")

@@ -30,7 +30,7 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM d),
-i AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') || CASE WHEN copy > 1 THEN '#' || CAST(copy AS VARCHAR) ELSE '' END AS row_id FROM r),
+i AS (SELECT *, concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), 'null'), copy, size, source) AS row_id FROM r),
 s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM i GROUP BY source),
 s2 AS (SELECT *, CAST(row_number() OVER (ORDER BY source NULLS LAST) AS BIGINT) AS no FROM s1),
 s3 AS (SELECT *, CAST([5, 2, 1][(no - 1) % 3 + 1] AS BIGINT) AS w, source_size * 3 AS most FROM s2),

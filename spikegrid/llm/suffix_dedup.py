@@ -213,9 +213,10 @@ MESSAGE = "block int, kind int, part int, payload binary"
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS,
-          carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document; with
-    ``carry``, also those columns and __kept, the bytes that remain."""
+          carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document. With
+    ``carry``, also those columns as __c0, __c1, ..., whether the text was null (__null)
+    and the bytes that remain (__kept)."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     key = F.coalesce("doc_id", F.lit(int(LAST)))
     narrow = saved(docs.select(key.cast("long").alias("key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.sha2(text, 256).alias("digest")), "digests")
@@ -256,7 +257,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
     bits = min(64, max(40, math.ceil(math.log2(samples)) + 12))
     ranks = Cutter(bits, -(-samples // bucket_rows))
     suffixes = Cutter(64, -(-samples // bucket_rows))
-    carried = docs.select(key.cast("long").alias("__key"), text.alias("__bytes"), "doc_id", *carry)
+    with_text, carry = carry is not None, carry or ()
+    carried = docs.select(key.cast("long").alias("__key"), text.alias("__bytes"), "doc_id", F.col("text").isNull().alias("__null"),
+                          *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)])
     packs = carried.mapInArrow(to_packs, "block int, pack binary").repartition(blocks, "block")
 
     def opened(left: pa.Table, right: pa.Table) -> tuple[Block, dict[int, dict[int, bytes]]]:
@@ -323,8 +326,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
         rows = block.rows
         out = {"doc_id": rows.column("doc_id"), "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()), "n_removed": pa.array(cut, pa.int64()),
                "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest)}
-        if carry:
-            out |= {c: rows.column(c) for c in carry if c != "doc_id"} | {"__kept": pa.array(kept, pa.binary())}
+        if with_text:
+            out |= {f"__c{i}": rows.column(f"__c{i}") for i in range(len(carry))} | {"__null": rows.column("__null"), "__kept": pa.array(kept, pa.binary())}
         return pa.table(out)
 
     def together(right: DataFrame, step, schema: str) -> DataFrame:
@@ -341,9 +344,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
         lambda key, rows: _reply(int(key[0]), rows, EARLIER, lambda first, tie: ~first), MESSAGE)
     known = known.union(suffix_replies)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    if carry:
+    if with_text:
         kinds = dict(docs.dtypes)
-        schema = ", ".join([schema] + [f"`{c}` {kinds[c]}" for c in carry if c != "doc_id"] + ["__kept binary"])
+        schema = ", ".join([schema] + [f"__c{i} {kinds[c]}" for i, c in enumerate(carry)] + ["__null boolean", "__kept binary"])
     return together(known, clean, schema)
 
 
@@ -351,16 +354,17 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """Documents with repeated passages taken out of their text. A character that loses
     some of its bytes goes as a whole; documents of which nothing remains are dropped,
     those that were empty before are kept; n_chars, if there, is counted anew."""
-    carry = tuple(docs.columns)
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = dedup(docs, carry=carry, **options).where("n_bytes = 0 OR n_removed < n_bytes")
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in batch.column("__kept").to_pylist()]
-            before = batch.column("text").is_valid().to_pylist()
-            text = pa.array([t if v else None for t, v in zip(texts, before)], pa.string())
-            chars = pa.array([len(t) for t in texts], pa.int64())
-            columns = [text if c == "text" else chars if c == "n_chars" else batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays(columns, list(carry))
-
-    return out.select(*carry, "__kept").mapInArrow(text_of, docs.schema)
+            columns = {c: batch.column(f"__c{i}") for i, c in enumerate(carry)} | {"doc_id": batch.column("doc_id")}
+            columns["text"] = pa.array([None if null else t for t, null in zip(texts, batch.column("__null").to_pylist())], pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in texts]).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], docs_columns)
+
+    docs_columns = docs.columns
+    return out.mapInArrow(text_of, docs.schema)
