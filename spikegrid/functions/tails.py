@@ -14,15 +14,15 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c = 1e-300, 1.0
     d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
     h = d
-    for m in range(1, 400):
+    for m in range(1, 100_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / ((1 + num * d) or tiny)
             c = (1 + num / c) or tiny
             h *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta of {a}, {b} at {x} did not converge")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -45,15 +45,43 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if v == v else None for v in z], dtype=float)
 
 
+def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Sum over the tables with these margins that are no likelier than this one.
+
+    Probabilities rise to the mode and fall after it, so the sum has two tails: each is
+    walked outwards by ratios of neighbours until its terms no longer count; where the
+    other tail begins is found by halving."""
+    r, s, n = a + b, a + c, a + b + c + d
+    low, high = max(0, r + s - n), min(r, s)
+    lf = lambda k: math.lgamma(k + 1)
+    logp = lambda k: lf(s) - lf(k) - lf(s - k) + lf(n - s) - lf(r - k) - lf(n - s - r + k) - lf(n) + lf(r) + lf(n - r)
+    up = lambda k: (s - k) * (r - k) / ((k + 1) * (n - s - r + k + 1))       # p(k + 1) / p(k)
+
+    def tail(k: int, step: int) -> float:
+        if not low <= k <= high:
+            return 0.0
+        term = total = 1.0
+        start = math.exp(logp(k))
+        while low <= k + step <= high and term > 1e-18 * total:
+            term *= up(k) if step > 0 else 1 / up(k - 1)
+            total += term
+            k += step
+        return start * total
+
+    mode = min(high, max(low, (r + 1) * (s + 1) // (n + 2)))
+    seen = logp(a) + 1e-7
+    if a == mode or logp(mode) <= seen:
+        return 1.0
+    step = 1 if a < mode else -1
+    # the nearest table beyond the mode that is no likelier
+    near, far = mode, (high + 1 if step > 0 else low - 1)
+    while abs(far - near) > 1:
+        middle = (near + far) // 2
+        near, far = (near, middle) if logp(middle) <= seen else (middle, far)
+    return min(1.0, tail(a, -step) + tail(far, step))
+
+
 @F.pandas_udf(T.DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher test of a 2 x 2 table: tables no likelier than the observed one."""
-    def one(a, b, c, d):
-        a, b, c, d = int(a), int(b), int(c), int(d)
-        r, s, n = a + b, a + c, a + b + c + d
-        lf = lambda k: math.lgamma(k + 1)
-        logp = lambda k: (lf(s) - lf(k) - lf(s - k)) + (lf(n - s) - lf(r - k) - lf(n - s - r + k)) - (lf(n) - lf(r) - lf(n - r))
-        ks = range(max(0, r + s - n), min(r, s) + 1)
-        seen = logp(a) + 1e-7
-        return min(1.0, sum(math.exp(logp(k)) for k in ks if logp(k) <= seen))
-    return pd.Series([one(*v) for v in zip(a, b, c, d)], dtype=float)
+    return pd.Series([fisher_two_sided(*map(int, v)) for v in zip(a, b, c, d)], dtype=float)

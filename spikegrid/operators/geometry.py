@@ -26,11 +26,12 @@ def centroid_anchor(bins: DataFrame, keys: Sequence[str], weight: Column | None
 
 def vectors_to_objects(anchors: DataFrame, keys: Sequence[str], rows: int, cols: int, height: float, width: float,
                        objects: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """Length and signed angle (degrees) from each of a few fixed objects to the anchor bin."""
+    """Length and signed angle (degrees) from each of a few fixed objects to the anchor bin
+    (nearest bin, halves to the even one)."""
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((r + 0.5) * height / rows).alias("y"), F.lit((c + 0.5) * width / cols).alias("x"))
                       for k, (r, c) in objects.items()])
     d = anchors.withColumn("_o", F.explode(table))
-    y, x = (F.round("r") + 0.5) * F.lit(height / rows), (F.round("c") + 0.5) * F.lit(width / cols)
+    y, x = (F.rint("r") + 0.5) * F.lit(height / rows), (F.rint("c") + 0.5) * F.lit(width / cols)
     oy, ox = F.col("_o.y"), F.col("_o.x")
     return d.select(*keys, F.col("_o.k").alias("object"), hypot2(x - ox, y - oy).alias("magnitude"),
                     F.degrees(F.atan2(oy * x - ox * y, oy * y + ox * x)).alias("angle"))

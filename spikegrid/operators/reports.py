@@ -16,12 +16,18 @@ def session_numbers(sessions: DataFrame, animal: str, order: Sequence[str], sett
     return Ordered(sessions, [animal], order, settings).number("session_no").df
 
 
-def first_of_copies(spikes: DataFrame, site: Sequence[str], session: str, t: str, order: Sequence[str], prefix: int = 50) -> DataFrame:
-    """Sessions to keep when several of a site start with the same ``prefix`` events.
+def first_of_copies(spikes: DataFrame, site: Sequence[str], session: str, t: str, order: Sequence[str], prefix: int | None = None) -> DataFrame:
+    """Sessions to keep when several of a site have the same events; the smallest stays.
 
-    Only the first events of a session are ranked (the limit is applied before the
-    shuffle); copies meet by a hash of those events and the smallest session stays.
+    Whole trains are compared: their number of events and two sums of hashes of the
+    values, so equal values meet whatever their order, and no train is gathered.  With
+    ``prefix`` only that many first events count (the published rule is 50): trains that
+    differ later are then taken for copies.
     """
+    if prefix is None:
+        keys = spikes.groupBy(*site, session).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64(t).cast("decimal(38,0)")).alias("_a"), F.sum(F.xxhash64(F.lit(1), t).cast("decimal(38,0)")).alias("_b"))
+        return keys.groupBy(*site, "_n", "_a", "_b").agg(F.min(session).alias(session), F.count(F.lit(1)).alias("copies")).drop("_n", "_a", "_b")
     w = Window.partitionBy(*site, session).orderBy(*order)
     head = spikes.select(*site, session, t, *[c for c in order if c != t]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= prefix)
     keys = head.groupBy(*site, session).agg(F.sort_array(F.collect_list(F.struct("_rn", t))).alias("_h"))

@@ -153,10 +153,25 @@ def to_cm(trk: DataFrame, ppm: float, flip_y: bool = True) -> DataFrame:
 
 
 def drop_jumps(trk: DataFrame, threshold: float, settings: Settings = DEFAULT) -> DataFrame:
-    """Remove samples that jump by more than ``threshold`` from the sample before."""
+    """Remove what lies between a jump of more than ``threshold`` and the next one, if it
+    is a single sample, or samples that all have the x at which the next jump ends too (that
+    end goes with them).  Other jumps are left untouched; so is what follows the last."""
     o = _ordered(trk, settings).lag_lead({"_px": ("x", -1), "_py": ("y", -1)})
     d = hypot2(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))
-    return o.df.where(d.isNull() | (d <= F.lit(float(threshold)))).drop("_px", "_py")
+    o = o.columns({"_jump": F.coalesce(d > F.lit(float(threshold)), F.lit(False)).cast("int")}).running({"_run": F.col("_jump")})
+    rows = o.df
+    # one row for each run of samples between jumps
+    runs = rows.groupBy(*KEYS, "_run").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("x").alias("_nx"), F.min("x").alias("_low"), F.max("x").alias("_high"),
+        F.min_by("x", F.struct(*ORDER)).alias("_first"))
+    runs = Ordered(runs, KEYS, ["_run"], settings).lag_lead({"_next": ("_run", 1), "_next_x": ("_first", 1)}).df
+    between = (F.col("_run") > 0) & F.col("_next").isNotNull()
+    stay = between & (F.col("_n") > 1) & (F.col("_nx") == F.col("_n")) & (F.col("_low") == F.col("_high")) & F.coalesce(F.col("_next_x") == F.col("_low"), F.lit(False))
+    runs = runs.select(*KEYS, "_run", (between & (F.col("_n") == 1)).alias("_single"), stay.alias("_stay"))
+    runs = Ordered(runs, KEYS, ["_run"], settings).lag_lead({"_stayed": ("_stay", -1)}).df
+    ends_stay = (F.col("_jump") == 1) & F.coalesce("_stayed", F.lit(False))
+    out = attach(rows, runs, [*KEYS, "_run"]).where(~(F.col("_single") | F.col("_stay") | ends_stay))
+    return out.select(*trk.columns)
 
 
 def strip_trailing_missing(trk: DataFrame) -> DataFrame:
@@ -166,14 +181,16 @@ def strip_trailing_missing(trk: DataFrame) -> DataFrame:
 
 
 def repair_time(trk: DataFrame, step: float = 0.02, settings: Settings = DEFAULT) -> DataFrame:
-    """Rebuild the clock of sessions whose time stamps repeat."""
+    """Rebuild the clock of sessions whose time stamps repeat: steps from the first stamp;
+    samples after the last stamp that is not zero are dropped there."""
     counts = trk.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct("t").alias("_d"), F.min("t").alias("_t0")
-    )
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("t").alias("_d"), F.min_by("t", "i").alias("_t0"),
+        F.coalesce(F.max(F.when(F.col("t") != 0, F.col("i"))), F.min("i")).alias("_end"))
     numbered = Ordered(trk, KEYS, ["i"], settings).number("_k").df
     rebuilt = F.col("_t0") + (F.col("_k") - 1) * F.lit(float(step))
-    out = attach(numbered, counts, KEYS).withColumn("t", F.when(F.col("_n") > F.col("_d"), rebuilt).otherwise(F.col("t")))
-    return out.drop("_n", "_d", "_t0", "_k")
+    broken = F.col("_n") > F.col("_d")
+    out = attach(numbered, counts, KEYS).where(~broken | (F.col("i") <= F.col("_end")))
+    return out.withColumn("t", F.when(broken, rebuilt).otherwise(F.col("t"))).select(*trk.columns)
 
 
 def windowed_speed(trk: DataFrame, max_half: int = 50, axis: str = "x", settings: Settings = DEFAULT) -> DataFrame:

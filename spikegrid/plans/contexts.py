@@ -31,7 +31,7 @@ def object_distances(spark, sf):
 
 @query("object_vectors", compose(f"""
 , top AS (SELECT animal_id, session_no, cell, sum(v * r) / sum(v) AS mr, sum(v * c) / sum(v) AS mc FROM cmap GROUP BY 1, 2, 3),
-p AS (SELECT *, (round(mr) + 0.5) * {HEIGHT / ROWS!r} AS py, (round(mc) + 0.5) * {WIDTH / COLS!r} AS px FROM top, {_objects})
+p AS (SELECT *, (round_even(mr, 0) + 0.5) * {HEIGHT / ROWS!r} AS py, (round_even(mc, 0) + 0.5) * {WIDTH / COLS!r} AS px FROM top, {_objects})
 SELECT animal_id, session_no, cell, object, {R('sqrt((px-ox)*(px-ox)+(py-oy)*(py-oy))')} AS magnitude, {R('degrees(atan2(oy*px - ox*py, oy*py + ox*px))')} AS angle FROM p""", "cmap"))
 def object_vectors(spark, sf):
     anchors = G.centroid_anchor(cell_maps(spark, sf), CELL, F.col("v"))
@@ -132,7 +132,7 @@ def unit_report(spark, sf):
     scores = RP.score_table({
         "map": C.map_statistics(occ, rates, ROWS, COLS).select(*UNIT, "information_content", "sparsity", "selectivity"),
         "coherence": C.coherence(rates, ROWS, COLS),
-        "border": C.border_score(rates, ROWS, COLS, p=0.98),
+        "border": C.border_score(rates, ROWS, COLS, p=0.75),
         "direction": C.mean_vector_length(hd),
         "isi": S.isi_statistics(spk, opts).select(*UNIT, "isi_mean", "isi_median", "isi_cv"),
         "bursts": S.burst_statistics(spk, 43_200.0, settings=opts).select(*UNIT, "bursting", "spikes_per_burst"),

@@ -79,10 +79,16 @@ def track_travel(spark, sf):
         *[rd(c, 6).alias(c) for c in ("min_speed", "max_speed", "mean_speed", "median_speed")])
 
 
+# between a jump and the next: one sample, or samples that stay at the x of the next jump's end
 @query("drop_jumps", compose("""
-, d AS (SELECT *, sqrt((x-px)*(x-px)+(y-py)*(y-py)) AS d FROM (
-   SELECT *, lag(x) OVER w px, lag(y) OVER w py FROM trk WINDOW w AS (PARTITION BY session_id ORDER BY t, i)))
-SELECT session_id, count(*) AS kept, sum(i)::BIGINT AS sum_i FROM d WHERE d IS NULL OR d <= 60 GROUP BY 1
+, d AS (SELECT *, coalesce(sqrt((x-px)*(x-px)+(y-py)*(y-py)) > 60, false) AS jump FROM (
+   SELECT *, lag(x) OVER w px, lag(y) OVER w py, row_number() OVER w AS k FROM trk WINDOW w AS (PARTITION BY session_id ORDER BY t, i))),
+j AS (SELECT session_id, k AS a, lead(k) OVER (PARTITION BY session_id ORDER BY k) AS b FROM d WHERE jump),
+gone AS (SELECT session_id, a AS low, a AS high FROM j WHERE b = a + 1
+  UNION ALL SELECT session_id, a, b FROM j WHERE b > a + 1 AND NOT EXISTS (
+    SELECT 1 FROM d AS p, d AS q WHERE p.session_id = j.session_id AND q.session_id = j.session_id AND q.k = j.a AND p.k BETWEEN j.a AND j.b AND p.x IS DISTINCT FROM q.x))
+SELECT session_id, count(*) AS kept, sum(i)::BIGINT AS sum_i FROM d
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.session_id = d.session_id AND d.k BETWEEN g.low AND g.high) GROUP BY 1
 """, "trk"))
 def drop_jumps(spark, sf):
     return T.drop_jumps(tracking(spark, sf), 60.0, options(spark, sf)).groupBy("session_id").agg(

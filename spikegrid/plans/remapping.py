@@ -384,7 +384,7 @@ def permutation_null(spark, sf):
     """Sliced distance of consecutive sessions against relabelled spikes."""
     pts = link_points(cells(spark, sf)).select(*LINK, "side", "i", "x", "y")
     dealt = N.permute_sides(pts, LINK, ["i"], 5, OPTIONS.seed, options(spark, sf, "animal_id")).withColumn("w", F.lit(1.0))
-    null = D.sliced_distance(dealt, [*LINK, "iter"], DIRECTIONS[:4], 2, options(spark, sf, "animal_id"))
+    null = D.sliced_distance(dealt, [*LINK, "iter"], DIRECTIONS, 2, options(spark, sf, "animal_id"))
     return null.groupBy(*LINK).agg(rd(F.avg("distance")).alias("null_mean"), rd(F.stddev_pop("distance")).alias("null_std"), F.count(F.lit(1)).alias("n"))
 
 

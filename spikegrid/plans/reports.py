@@ -25,7 +25,15 @@ WITH h AS (SELECT l_suppkey, l_orderkey, list(l_quantity ORDER BY l_linenumber,
 SELECT l_suppkey, min(l_orderkey) AS l_orderkey, count(*) AS copies FROM h GROUP BY l_suppkey, k""")
 def dedupe_prefix(spark, sf):
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return RP.first_of_copies(li, ["l_suppkey"], "l_orderkey", "l_quantity", ["l_linenumber", "l_partkey", "l_quantity"])
+    return RP.first_of_copies(li, ["l_suppkey"], "l_orderkey", "l_quantity", ["l_linenumber", "l_partkey", "l_quantity"], prefix=50)
+
+
+@query("dedupe_trains", """
+WITH h AS (SELECT l_suppkey, l_orderkey, list(l_quantity ORDER BY l_quantity) AS k FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, min(l_orderkey) AS l_orderkey, count(*) AS copies FROM h GROUP BY l_suppkey, k""")
+def dedupe_trains(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_quantity")
+    return RP.first_of_copies(li, ["l_suppkey"], "l_orderkey", "l_quantity", ["l_quantity"])
 
 
 @query("object_history", """

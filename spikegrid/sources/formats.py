@@ -15,6 +15,7 @@ records: a large file is split into ranges of records.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,8 @@ import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SPLIT_BYTES = 64 << 20
-HEADER_BYTES = 1 << 16
+PIECE_BYTES = 1 << 16
+START, END = b"data_start", b"data_end"
 MISSING = 1023      # fixed value: tracker found no light
 
 
@@ -66,22 +68,53 @@ class _RangeReader(DataSourceReader):
             out += [FileRange(path, k, n) for k in range(n)]
         return out
 
-    def _records(self, p: FileRange, record_bytes, trailer: bytes):
-        """(header, first record number, bytes of this range)."""
+    def _records(self, p: FileRange, record_bytes, count_field: str):
+        """(header, first record number, bytes of this range).
+
+        The number of records is that of the header, else what lies before the trailer,
+        if there is one, or the end of the file.  A file with less, or with part of a
+        record, raises."""
         fs, path = _open_fs(p.path)
         with fs.open_input_file(path) as f:
-            head = f.read(HEADER_BYTES)
-            at = head.index(b"data_start")
-            header = parse_header(head[:at])
-            at += len(b"data_start")
+            head = read_header(f)
+            if not head.endswith(START):
+                raise ValueError(f"no {START.decode()} in {p.path}")
+            header, at = parse_header(head[: -len(START)]), len(head)
             rec = record_bytes(header)
-            body = f.size() - at - len(trailer)
-            total = body // rec
+            f.seek(max(at, f.size() - 64))
+            tail = f.read().rstrip(b"\r\n\x1a\x00 ")
+            body = f.size() - at
+            if tail.endswith(END):
+                whole = f.size() - max(at, f.size() - 64)
+                body -= whole - len(tail) + len(END)
+                body -= 2 if body % rec == 2 else 0          # the line break before the trailer
+            if count_field in header:
+                total = int(_number(header[count_field]))
+                if total * rec > body:
+                    raise ValueError(f"{p.path}: {count_field} is {total}, but only {body // rec} records are there")
+            else:
+                total = body // rec
+                if body % rec:
+                    raise ValueError(f"{p.path}: {body % rec} bytes after the last whole record")
             a, b = total * p.part // p.parts, total * (p.part + 1) // p.parts
             f.seek(at + a * rec)
             return header, a, f.read((b - a) * rec)
 
 
+def read_header(f) -> bytes:
+    """The file up to and with the mark of the data, however long; all of it if there is none."""
+    head = b""
+    while True:
+        piece = f.read(PIECE_BYTES)
+        seen = max(0, len(head) - len(START))
+        head += piece
+        at = head.find(START, seen)
+        if at >= 0:
+            return head[: at + len(START)]
+        if not piece:
+            return head
+
+
 def parse_header(text: bytes) -> dict[str, str]:
     out = {}
     for line in text.decode("utf-8", "replace").splitlines():
@@ -95,15 +128,13 @@ def _number(value: str) -> float:
     return float(value.split(" ")[0])
 
 
-TRAILER = b"\r\ndata_end\r\n"
-
 
 # --------------------------------------------------------------------- tracking
 class PosReader(_RangeReader):
     pattern = r"\.pos$"
 
     def read(self, partition):
-        header, first, data = self._records(partition, lambda h: 20, TRAILER)
+        header, first, data = self._records(partition, lambda h: 20, "num_pos_samples")
         rec = np.frombuffer(data, dtype=np.dtype([("frame", ">i4"), ("w", ">i2", 8)]))
         t = rec["frame"].astype(float) / _number(header["timebase"])
         x, y = rec["w"][:, 0].astype(float), rec["w"][:, 1].astype(float)
@@ -138,15 +169,21 @@ class TetrodeReader(_RangeReader):
     pattern = r"\.[0-9]+$"
 
     def read(self, partition):
+        def shape(h):
+            """(channels, bytes of a time stamp, samples, bytes of a sample)"""
+            return int(h.get("num_chans", "4")), int(h["bytes_per_timestamp"]), int(h["samples_per_spike"]), int(h.get("bytes_per_sample", "1"))
+
         def size(h):
-            return 4 * (int(h["bytes_per_timestamp"]) + int(h["samples_per_spike"]) * int(h.get("bytes_per_sample", "1")))
+            chans, stamp, length, width = shape(h)
+            return chans * (stamp + length * width)
 
-        header, first, data = self._records(partition, size, TRAILER)
-        stamp, length, chans = int(header["bytes_per_timestamp"]), int(header["samples_per_spike"]), int(header.get("num_chans", "4"))
-        raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 4, stamp + length)
+        header, first, data = self._records(partition, size, "num_spikes")
+        chans, stamp, length, width = shape(header)
+        raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, chans, stamp + length * width)
         n = len(raw)
         ticks = raw[:, 0, :stamp].astype(np.int64) @ (256 ** np.arange(stamp - 1, -1, -1, dtype=np.int64))
-        waves = raw[:, :chans, stamp:].astype(np.int8).astype(np.float32).reshape(n, -1)
+        # samples of more than one byte have the low byte first
+        waves = np.ascontiguousarray(raw[:, :, stamp:]).view(f"<i{width}").astype(np.float32).reshape(n, -1)
         offsets = pa.array(np.arange(0, n * waves.shape[1] + 1, waves.shape[1], dtype=np.int32)) if n else pa.array([0], pa.int32())
         yield pa.RecordBatch.from_arrays([
             pa.array([partition.path] * n, pa.string()), pa.array(np.arange(first, first + n), pa.int64()),
@@ -176,8 +213,8 @@ class HeaderReader(_RangeReader):
     def read(self, partition):
         fs, path = _open_fs(partition.path)
         with fs.open_input_file(path) as f:
-            head = f.read(HEADER_BYTES)
-        for key, value in parse_header(head.split(b"data_start")[0]).items():
+            head = read_header(f)
+        for key, value in parse_header(head.split(START)[0]).items():
             yield (partition.path, key, value)
 
 
@@ -234,14 +271,15 @@ class CutReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: int
+    files: list[tuple[str, str]]       # (name of the attempt, final name)
 
 
 class CutWriter(DataSourceWriter):
     """One label file per value of ``name``.
 
     Rows must arrive grouped by ``name`` and ordered by ``spike_idx`` (see
-    ``write_labels``); they are streamed to the file and never collected.
+    ``write_labels``); they are streamed to the file and never collected.  A task writes
+    under a name of its own; the files of finished tasks get their names at the end.
     """
 
     def __init__(self, options):
@@ -250,19 +288,32 @@ class CutWriter(DataSourceWriter):
     def write(self, rows):
         fs, base = _open_fs(self.path)
         fs.create_dir(base, recursive=True)
-        current, out, first, n = None, None, True, 0
+        current, out, first, files = None, None, True, []
         for r in rows:
             if r["name"] != current:
                 if out is not None:
                     out.close()
-                current, n, first = r["name"], n + 1, True
-                out = fs.open_output_stream(f"{base}/{current}")
+                current, first = r["name"], True
+                files.append((f"{base}/_{current}.{uuid.uuid4().hex}", f"{base}/{current}"))
+                out = fs.open_output_stream(files[-1][0])
                 out.write((self.header + f"Exact_cut_for: {current}\n").encode())
             out.write((str(r["label"]) if first else f" {r['label']}").encode())
             first = False
         if out is not None:
             out.close()
-        return Written(n)
+        return Written(files)
+
+    def commit(self, messages):
+        fs, _ = _open_fs(self.path)
+        for m in messages:
+            for attempt, final in m.files if m else ():
+                fs.move(attempt, final)
+
+    def abort(self, messages):
+        fs, _ = _open_fs(self.path)
+        for m in messages:
+            for attempt, _ in m.files if m else ():
+                fs.delete_file(attempt)
 
 
 class CutSource(DataSource):

@@ -50,12 +50,21 @@ def read_tracking(spark: SparkSession, path: str, ppm: float, jump: float = 2.0,
     """Tracking in centimetres: clock repair, centring, jump removal and boxcar smoothing of 0.4 s."""
     register(spark)
     raw = spark.read.format("recording_pos").load(path).withColumnRenamed("path", "session_id")
+    rates = raw.groupBy("session_id").agg(F.first("sample_rate", True).alias("_rate"))
     t = strip_trailing_missing(repair_time(raw.drop("sample_rate", "ppm"), settings=settings))
     t = to_cm(t, ppm).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     t0 = t.groupBy("session_id").agg(F.min("t").alias("_t0"))
     t = attach(t, t0, ["session_id"]).withColumn("t", F.col("t") - F.col("_t0")).drop("_t0")
-    rate = 50.0
-    s = boxcar(drop_jumps(t, jump, settings), int(-(-0.4 * rate // 1)), settings=settings)
+    # the width follows each file's own rate; a study has one or two of them
+    widths = rates.select("session_id", F.ceil(F.coalesce("_rate", F.lit(50.0)) * 0.4).cast("int").alias("_width"))
+    clean = attach(drop_jumps(t, jump, settings), widths, ["session_id"])
+    found = sorted(r[0] for r in widths.select("_width").distinct().collect())
+    parts = [boxcar(clean.where(F.col("_width") == w).drop("_width"), w, settings=settings) for w in found]
+    if not parts:
+        return clean.select("session_id", "i", "t", "x", "y")
+    s = parts[0]
+    for p in parts[1:]:
+        s = s.unionByName(p)
     return s.select("session_id", "i", "t", F.col("x_smooth").alias("x"), F.col("y_smooth").alias("y"))
 
 
@@ -80,9 +89,10 @@ def build_study(spark: SparkSession, folder: str, use_matched: bool = False, set
     stamp = F.try_to_timestamp(F.concat_ws(" ", F.regexp_replace("trial_date", r"^\w+, ", ""), "trial_time"), F.lit("d MMM yyyy HH:mm:ss"))
     sessions = sessions.join(when.select(F.col("path").alias("tetrode_path"), stamp.alias("started_at")), "tetrode_path", "left")
     folder_name = F.regexp_extract("signature", r"([^/]+)/[^/]+$", 1)
-    sessions = sessions.withColumn("animal_id", F.concat(folder_name, F.lit("_tet"), F.col("tetrode").cast("string")))
+    animal = F.concat(folder_name, F.lit("_tet"), F.col("tetrode").cast("string"))
+    sessions = sessions.withColumn("animal_id", animal)
     spikes = read_spikes(spark, sessions, folder, use_matched)
-    first = first_of_copies(spikes, ["tetrode"], "signature", "t", ["t", "spike_idx"]).select("tetrode", "signature")
+    first = first_of_copies(spikes.withColumn("animal_id", animal), ["animal_id", "tetrode"], "signature", "t", ["t", "spike_idx"]).select("tetrode", "signature")
     sessions = sessions.join(first, ["tetrode", "signature"], "left_semi")
     sessions = Ordered(sessions, ["animal_id"], ["started_at", "signature"], settings).number("session_no").df
     kept = spikes.join(sessions.select("signature", "tetrode"), ["signature", "tetrode"], "left_semi")
