@@ -20,7 +20,7 @@ class NameRule:
 
 
 # fixed values: recorded layouts and accepted object angles and odour orders
-MEC_RULES = (NameRule(r"^([^_]+)_([0-9]{8})-[0-9]{1,2}-(?:[^-]+-)*([^-]+)-[^-]+$", depth=3, name=1, date=2),)
+MEC_RULES = (NameRule(r"^([^-_]+(?:-[^-_]+)?)_([0-9]{8})-[0-9]{1,2}-[^-]+-([^-]+)-[^-]+$", depth=3, name=1, date=2),)
 LC_RULES = (NameRule(r"^([^-]+)-([0-9]{8})-(?:[^-]+-)*?([^-]*?)[uU][mM](?:-.*)?$", depth=3, name=1, date=2),)
 TRACK_RULES = (NameRule(r"^([^-_]+)_(?:[^-_]+_){6}([0-9]{6})_([^-_]+?)um[^-]*$", depth=3, name=1, date=2),)
 LEC_RULES = (

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +26,7 @@ SQL_OPTIONS = {
 
 def tune(spark: SparkSession) -> SparkSession:
     """Set the SQL options above on a session made by somebody else."""
+    visible_to_workers(spark)
     for key, value in SQL_OPTIONS.items():
         spark.conf.set(key, value)
     return spark
@@ -33,7 +38,35 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.config("spark.ui.enabled", "false").getOrCreate()
+    spark = builder.config("spark.ui.enabled", "false").getOrCreate()
+    visible_to_workers(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the Python workers of a cluster on which it is not installed.
+
+    Returns the archive's path. Once per session is enough; workers unpack nothing, they
+    import from the archive."""
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root).as_posix()}")
+    handle, path = tempfile.mkstemp(prefix="spikegrid-", suffix=".zip")       # the driver serves it to the executors
+    with os.fdopen(handle, "wb") as out:
+        out.write(held.getvalue())
+    spark.sparkContext.addPyFile(path)
+    return path
+
+
+def visible_to_workers(spark: SparkSession) -> None:
+    """Let workers on machines that see this folder import the package from it, whatever
+    folder the driver was started in."""
+    root, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -57,7 +57,7 @@ def test_state(spark, source):
 
 
 def test_names(spark):
-    names = [("MEC-1_20210304-02-a-b-1500-x", MEC_RULES, ("1500", "MEC-1", "20210304")),
+    names = [("MEC-1_20210304-02-a-1500-x", MEC_RULES, ("1500", "MEC-1", "20210304")),
              ("L-10262021-mX-PHF-1uL-HPC-950um-900s-Rectangle", LC_RULES, ("950", "L", "10262021")),
              ("M1_B6_4mo_session1_B_1m_lineartrack_042024_1050um", TRACK_RULES, ("1050", "M1", "042024")),
              ("B6-LEC1_20151211-cylinder-0", LEC_RULES, ("", "B6-LEC1", "20151211"))]
@@ -65,6 +65,9 @@ def test_names(spark):
         r = spark.createDataFrame([(text,)], "f string").select(parse_name(F.col("f"), rules).alias("p"), is_cylinder(F.col("f")).alias("c")).first()
         assert r.p is not None and (r.p.depth or "") == depth and r.p.name == name and r.p.date == date, text
         assert r.c == ("cylinder" in text)
+    # too many or too few parts are no such layout
+    for text in ("MEC-1_20210304-02-a-b-1500-x", "MEC_20210304-02-1500-x", "A-B-C_20210304-2-a-1500-x"):
+        assert spark.createDataFrame([(text,)], "f string").select(parse_name(F.col("f"), MEC_RULES).alias("p")).first().p is None
     a = spark.createDataFrame([(k,) for k in [*ANGLES, "17"]], "s string").select(object_angle(F.col("s")).alias("a")).collect()
     assert [r.a for r in a] == [*ANGLES.values(), None]
     d = spark.createDataFrame([("20210304",), ("10262021",)], "s string").select(recording_date(F.col("s")).alias("d")).collect()
