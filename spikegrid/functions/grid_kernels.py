@@ -257,6 +257,7 @@ def place_field_labels(
 def autocorrelogram(a: np.ndarray, share: float = 1.8) -> np.ndarray:
     """Normalised correlation of a map with itself at every offset, central part."""
     a = np.nan_to_num(a) - min(0.0, np.nanmin(a))
+    a = a - a.mean()                       # correlations do not change, rounding errors shrink
     n, m = a.shape
     shape = (2 * n - 1, 2 * m - 1)
     flip = a[::-1, ::-1]
@@ -269,9 +270,10 @@ def autocorrelogram(a: np.ndarray, share: float = 1.8) -> np.ndarray:
     s1, s2 = full(a, one), full(one, flip)
     q1, q2 = full(a * a, one), full(one, flip * flip)
     num = full(a, flip) - s1 * s2 / count
-    den = np.sqrt(np.clip(q1 - s1 ** 2 / count, 0, None) * np.clip(q2 - s2 ** 2 / count, 0, None))
-    tol = 1000 * np.spacing(den.max())
-    r = np.divide(num, den, out=np.zeros_like(num), where=den > max(tol, 1e-9 * den.max()))
+    left, right = q1 - s1 ** 2 / count, q2 - s2 ** 2 / count
+    # an overlap without spread on either side has no correlation; less than this is rounding
+    spread = (left > 1e-10 * left.max()) & (right > 1e-10 * right.max())
+    r = np.divide(num, np.sqrt(np.where(spread, left * right, 1.0)), out=np.zeros_like(num), where=spread)
     r = np.clip(r, -1, 1)
     keep = []
     for size, length in zip(shape, (n, m)):

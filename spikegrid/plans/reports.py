@@ -222,7 +222,14 @@ def fisher_table(spark, sf):
     return f.drop("p_value")
 
 
-@query("fisher_p")
+@query("fisher_p", f"""
+WITH t AS (SELECT l_linestatus, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS a, count(*) FILTER (l_returnflag = 'R') AS r,
+  count(*) FILTER (l_quantity > 25) AS s, count(*) AS n FROM lineitem GROUP BY 1),
+k AS (SELECT *, unnest(range(greatest(0, r + s - n), least(r, s) + 1)) AS k FROM t),
+p AS (SELECT l_linestatus, k = a AS seen, lgamma(s + 1) - lgamma(k + 1) - lgamma(s - k + 1) + lgamma(n - s + 1) - lgamma(r - k + 1) - lgamma(n - s - r + k + 1)
+  - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) AS lp FROM k),
+o AS (SELECT l_linestatus, lp AS limit_lp FROM p WHERE seen)
+SELECT l_linestatus, {R('least(1, sum(exp(lp)) FILTER (lp <= limit_lp + 1e-7))', 6)} AS p_value FROM p JOIN o USING (l_linestatus) GROUP BY 1""")
 def fisher_p(spark, sf):
     f = ST.fisher(_li(spark, sf, "l_quantity", "l_linestatus"), _returned(), F.col("l_quantity") > 25, ["l_linestatus"])
     return f.select("l_linestatus", rd("p_value", 6).alias("p_value"))

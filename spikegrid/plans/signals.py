@@ -30,7 +30,7 @@ def downsample_signal(spark, sf):
 , n AS (SELECT session_id, count(*) n FROM series GROUP BY 1)
 SELECT s.session_id, k AS k, {R(f'k * {RATE} / n')} AS frequency,
   {R('2.0 / n * sqrt(pow(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((i * k) % n) / n)), 2))', 8)} AS amplitude
-FROM series s JOIN n ON n.session_id = s.session_id, range(2000) r(k) WHERE k < n // 2 GROUP BY s.session_id, k, n""", "series"))
+FROM series s JOIN (SELECT session_id, n, unnest(range(0, n // 2)) AS k FROM n) n ON n.session_id = s.session_id GROUP BY s.session_id, k, n""", "series"))
 def fft_amplitude(spark, sf):
     f = G.spectrum(series(spark, sf), KEYS, RATE)
     return f.select("session_id", "k", rd("frequency").alias("frequency"), rd("amplitude", 8).alias("amplitude"))

@@ -337,7 +337,15 @@ SPEED_BAND_HIGH = 0.02
 
 
 # ----------------------------------------------------------------- grid cells
-@query("autocorrelogram")
+@query("autocorrelogram", compose(f"""
+, z AS (SELECT session_id, unit, r, c, v - avg(v) OVER (PARTITION BY session_id, unit) AS v FROM srate),
+p AS (SELECT session_id, unit, a.r - b.r AS dr, a.c - b.c AS dc, count(*) AS n, sum(a.v) AS s1, sum(b.v) AS s2, sum(a.v * a.v) AS q1, sum(b.v * b.v) AS q2, sum(a.v * b.v) AS ab
+  FROM z a JOIN z b USING (session_id, unit) GROUP BY 1, 2, 3, 4),
+d AS (SELECT *, q1 - s1 * s1 / n AS f1, q2 - s2 * s2 / n AS f2 FROM p),
+e AS (SELECT *, max(f1) OVER (PARTITION BY session_id, unit) AS top1, max(f2) OVER (PARTITION BY session_id, unit) AS top2 FROM d)
+SELECT session_id, unit, CAST(dr + 14 AS INTEGER) AS r, CAST(dc + 14 AS INTEGER) AS c,
+  {R('CASE WHEN f1 > 1e-10 * top1 AND f2 > 1e-10 * top2 THEN greatest(-1, least(1, (ab - s1 * s2 / n) / sqrt(f1 * f2))) ELSE 0 END')} AS v
+FROM e WHERE abs(dr) <= 14 AND abs(dc) <= 14""", "srate"))
 def autocorrelogram(spark, sf):
     return C.autocorrelation(dense_rate(spark, sf), UNIT, "rate", ROWS, COLS).withColumn("v", rd("v"))
 
