@@ -25,10 +25,13 @@ SQL_OPTIONS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the SQL options above on a session made by somebody else."""
+    """Set the SQL options above on a session made by somebody else, except those that
+    it was started with."""
     visible_to_workers(spark)
+    started = spark.sparkContext.getConf()
     for key, value in SQL_OPTIONS.items():
-        spark.conf.set(key, value)
+        if not started.contains(key) and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
