@@ -90,23 +90,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _normalised(w: Column) -> Column:
+    """A waveform over its length; the length is found once, not for each sample."""
+    pair = F.array(F.struct(w.alias("w"), F.sqrt(dot(w, w)).alias("len")))
+    return F.transform(pair, lambda p: F.when(p["len"] > 0, F.transform(p["w"], lambda v: v / p["len"])).otherwise(p["w"]))[0]
+
+
 def wave_components(waves: DataFrame, keys: Sequence[str], channels: int, length: int, component: int = 1,
                     id_columns: Sequence[str] = ("spike_idx", "label"), settings: Settings = DEFAULT) -> DataFrame:
-    """Projection of the normalised waveform of each channel on a principal axis (array ``pc``)."""
-    rows = waves.select(*keys, *id_columns, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("ch"), channel("samples", k, length).alias("w")) for k in range(channels)])).alias("_x"))
-    # the length is a column of its own, so the lambda does not compute it per sample
-    rows = rows.withColumn("_len", F.sqrt(dot(F.col("_x.w"), F.col("_x.w"))))
-    rows = rows.select(*keys, *id_columns, F.col("_x.ch").alias("ch"),
-                       F.when(F.col("_len") > 0, F.transform("_x.w", lambda v: v / F.col("_len"))).otherwise(F.col("_x.w")).alias("w"))
-    model = moments(rows, [*keys, "ch"], "w", length).select(*keys, "ch", _principal("n", "sums", "products").alias("m"))
-    j = attach(rows, broadcast_if_small(model, settings), [*keys, "ch"])
-    z = F.zip_with(F.zip_with("w", "m.mean", lambda a, b: a - b), "m.sd", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)))
-    axis = F.slice("m.axes", (component - 1) * length + 1, length)
-    per = j.select(*keys, *id_columns, "ch", dot(z, axis).alias("v"))
-    # one row per spike and channel comes back together: a pivot by position keeps the order
-    out = per.groupBy(*keys, *id_columns).agg(*[F.max(F.when(F.col("ch") == k, F.col("v"))).alias(f"_{k}") for k in range(channels)])
-    return out.select(*keys, *id_columns, F.array(*[f"_{k}" for k in range(channels)]).alias("pc"))
+    """Projection of the normalised waveform of each channel on a principal axis (array ``pc``).
+
+    The channels of a spike stay in its row: only sums of products are shuffled, and the
+    axes of all channels of a recording come back as one row."""
+    rows = waves.select(*keys, *id_columns, F.array(*[_normalised(channel("samples", k, length)) for k in range(channels)]).alias("_w"))
+    each = rows.select(*keys, F.posexplode("_w").alias("ch", "w"))
+    model = moments(each, [*keys, "ch"], "w", length).select(*keys, "ch", _principal("n", "sums", "products").alias("m"))
+    # one array of ``channels`` models for each recording
+    models = model.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch", "m.mean", "m.sd", "m.axes"))).alias("_models"))
+    j = attach(rows, broadcast_if_small(models, settings), keys)
+
+    def projected(k: int) -> Column:
+        m = F.col("_models")[k]
+        z = F.zip_with(F.zip_with(F.col("_w")[k], m["mean"], lambda a, b: a - b), m["sd"], lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)))
+        return dot(z, F.slice(m["axes"], (component - 1) * length + 1, length))
+
+    return j.select(*keys, *id_columns, F.array(*[projected(k) for k in range(channels)]).alias("pc"))
 
 
 # --------------------------------------------------------- cluster quality

@@ -85,9 +85,8 @@ def quality_features(spark, sf, d: int):
     e = K.with_energy(w, CH, LEN)
     if d <= CH:
         return e.select(*SITE, "spike_idx", "label", F.slice("energy", 1, d).alias("features"))
-    pc = K.wave_components(w, SITE, CH, LEN)
-    return e.select(*SITE, "spike_idx", "label", "energy").join(pc, [*SITE, "spike_idx", "label"]).select(
-        *SITE, "spike_idx", "label", F.concat("energy", "pc").alias("features"))
+    pc = K.wave_components(e, SITE, CH, LEN, id_columns=("spike_idx", "label", "energy"))
+    return pc.select(*SITE, "spike_idx", "label", F.concat("energy", "pc").alias("features"))
 
 
 part("f2", ("en",), """
