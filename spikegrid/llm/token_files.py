@@ -208,7 +208,9 @@ def read_files(index: DataFrame, folder: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_part_start"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     shards = index.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part")
-    shards = shards.select("file", (F.col("_part_start") + F.col("_inside")).alias("start")).repartition(F.col("file"))
+    shards = shards.select("file", (F.col("_part_start") + F.col("_inside")).alias("start"))
+    # a stated number: the rows are small but stand for whole files
+    shards = shards.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 SLICE = 512                    # texts encoded together
-CACHE = 400_000                # remembered words of a worker
+CACHE = 400_000                # remembered words of a worker, in two generations
 # Characters for which lower-casing, normalisation and the word split below are those of
 # the tokenizer file: no control separators, nothing beyond Latin-1.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\xff]*")
@@ -43,7 +43,7 @@ class Encoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -52,32 +52,29 @@ class Encoder:
         out: list[bytes] = []
         for k in range(0, len(texts), SLICE):
             part = texts[k:k + SLICE]
-            split = [t.split() if self.ends is not None and "<|" not in t and _PLAIN.fullmatch(t) else None for t in part]
-            if len(self.chunks) > CACHE:
-                self.chunks.clear()
-            self.learn({w for ws in split if ws for w in ws if w not in self.chunks})
-            known = self.chunks.__getitem__
+            split = [_WORDS.findall(t.lower()) if self.ends is not None and "<|" not in t and _PLAIN.fullmatch(t) else None for t in part]
+            if len(self.words) > CACHE // 2:             # words not seen again go with the older generation
+                self.words, self.older = {}, self.words
+            seen: set[str] = set()
+            seen.update(*(ws for ws in split if ws))
+            fresh = [w for w in seen if w not in self.words]
+            self.words.update((w, self.older[w]) for w in fresh if w in self.older)
+            self.learn(sorted(w for w in fresh if w not in self.older))
+            known = self.words.__getitem__
             out += [self.whole(t) if ws is None else b"".join(map(known, ws)) for t, ws in zip(part, split)]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        if not chunks:
-            return
-        if len(self.words) > CACHE:
-            self.words.clear()
-        split = {c: _WORDS.findall(c.lower()) for c in chunks}
-        new = sorted({w for ws in split.values() for w in ws if w not in self.words})
+    def learn(self, new: list[str]) -> None:
+        """Many words are encoded as one text and told apart by the marks of word ends."""
         for k in range(0, len(new), 1000):
             part = new[k:k + 1000]
             ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.nonzero(self.ends[ids])[0] + 1
+            stops = (np.nonzero(self.ends[ids])[0] + 1).tolist()
+            raw = ids.tobytes()
             if len(stops) == len(part):
-                starts = np.concatenate([[0], stops[:-1]])
-                self.words.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, stops))
+                self.words.update(zip(part, [raw[4 * a:4 * b] for a, b in zip([0] + stops, stops)]))
             else:
                 self.words.update((w, self.whole(w)) for w in part)
-        known = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(known, ws))) for c, ws in split.items())
 
 
 _ENCODERS: dict[str, Encoder] = {}
