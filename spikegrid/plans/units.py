@@ -153,7 +153,7 @@ def msd_matrix(spark, sf):
 
 
 part("hist", ("en",), """
-  SELECT e.site, e.session_no, e.label, e.ch AS feature, least(floor((e.e - lo) / (hi - lo) * 20), 19) AS bin, count(*) n, max(size) AS size
+  SELECT e.site, e.session_no, e.label, e.ch AS feature, least(floor((e.e - lo) / (hi - lo) * 100), 99) AS bin, count(*) n, max(size) AS size
   FROM en e JOIN (SELECT site, session_no, label, ch, min(e) lo, max(e) hi, count(*) size FROM en GROUP BY 1, 2, 3, 4) l
     ON l.site = e.site AND l.session_no = e.session_no AND l.label = e.label AND l.ch = e.ch GROUP BY 1, 2, 3, 4, 5""")
 part("jsd", ("hist",), """
@@ -165,7 +165,7 @@ part("jsd", ("hist",), """
              coalesce(x.n, 0)::DOUBLE np, coalesce(y.n, 0)::DOUBLE nq, a.size::DOUBLE sp, b.size::DOUBLE sq
       FROM (SELECT DISTINCT site, session_no, label, feature, size FROM hist) a
       JOIN (SELECT DISTINCT site, session_no, label, feature, size FROM hist) b ON b.site = a.site AND b.session_no = a.session_no + 1 AND b.feature = a.feature
-      CROSS JOIN range(20) k(bin)
+      CROSS JOIN range(100) k(bin)
       LEFT JOIN hist x ON x.site = a.site AND x.session_no = a.session_no AND x.label = a.label AND x.feature = a.feature AND x.bin = k.bin
       LEFT JOIN hist y ON y.site = b.site AND y.session_no = b.session_no AND y.label = b.label AND y.feature = b.feature AND y.bin = k.bin)
     GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5""")
@@ -174,7 +174,7 @@ part("jsd", ("hist",), """
 def jsd(spark, sf):
     w = waves(spark, sf)
     f = K.with_energy(w, CH, LEN).withColumnRenamed("energy", "features")
-    return MT.jensen_shannon(f, session_pairs(w), SITE, 20)
+    return MT.jensen_shannon(f, session_pairs(w), SITE, 100)
 
 
 @query("jsd_matrix", compose(f"SELECT prev_no, session_no, unit_a, unit_b, {R('distance', 6)} AS distance FROM jsd", "jsd"))
