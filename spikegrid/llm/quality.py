@@ -71,8 +71,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+def statistics(docs: DataFrame, *carry: str) -> DataFrame:
+    """(carry, doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
@@ -82,9 +82,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, "")), "n_symbols"),
         (dup, "n_dup_lines"))])
     counted = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r")))
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+    rows = docs.select(*carry, "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
                        counted.alias("_w"), found.alias("_s"))
-    return rows.select("doc_id", "lang", "source", F.col("_w.n").alias("n_words"), "_s.*", F.col("_w.r").alias("n_repeat_words"))
+    return rows.select(*carry, "doc_id", "lang", "source", F.col("_w.n").alias("n_words"), "_s.*", F.col("_w.r").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -143,9 +143,9 @@ def _whitened(moments: DataFrame, factor: float) -> DataFrame:
     return m.select("lang", "source", *[f"mean{i}" for i in range(FEATURES)], *[f"l{i}{j}" for i, j in _pairs()])
 
 
-def _with_distance(rows: DataFrame, models: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, models: DataFrame, how: str = "inner") -> DataFrame:
     """Squared distance by forward substitution."""
-    out = rows.join(models, ["lang", "source"])
+    out = rows.join(models, ["lang", "source"], how)
     for i in range(FEATURES):
         rest = F.col(f"x{i}") - F.col(f"mean{i}")
         for k in range(i):
@@ -182,26 +182,37 @@ def models(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFra
     return model
 
 
+def _measured(docs: DataFrame, *carry: str) -> DataFrame:
+    """The statistics with base_failed and the transformed ones as whole numbers x0..x4."""
+    rows = statistics(docs, *carry).withColumn("base_failed", base_failed())
+    fixed = [_long(F.least(F.lit(float(RANGE)), F.greatest(F.lit(-float(RANGE)), x))) for x in transformed()]
+    return rows.withColumns({f"x{i}": x for i, x in enumerate(fixed)})
+
+
+def _judged(rows: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
+    """Adds kept and distance. Groups of rows that all fail the base rules have no model."""
+    out = _with_distance(rows, model, "left")
+    distance = F.when(~F.col("base_failed"), F.col("distance"))
+    return out.withColumn("distance", distance).withColumn("kept", F.coalesce(F.col("distance") <= cutoff, F.lit(False)))
+
+
 def judged(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
-    rows = statistics(docs).withColumn("base_failed", base_failed())
-    fixed = [_long(F.least(F.lit(float(RANGE)), F.greatest(F.lit(-float(RANGE)), x))) for x in transformed()]
-    rows = saved(rows.withColumns({f"x{i}": x for i, x in enumerate(fixed)}), "quality-rows")
-    model = models(rows.where("NOT base_failed"), steps)
-    good = rows.where("NOT base_failed")
-    out = _with_distance(good, model).unionByName(rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")))
-    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
+    rows = saved(_measured(docs), "quality-rows")
+    out = _judged(rows, models(rows.where("NOT base_failed"), steps), cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      F.coalesce(kept, F.lit(False)).alias("kept"), "distance", "lang", "source")
+                      "kept", "distance", "lang", "source")
 
 
 def verdicts(docs: DataFrame, **options) -> DataFrame:
     return judged(docs, **options).drop("distance", "lang", "source")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows whose document is kept; rows that repeat a doc_id are judged by their own text."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), text.alias("t")))
-    good = judged(marked.select(F.col("__row").alias("doc_id"), "text", "lang", "source"), **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return marked.join(good, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
+    """The rows that are kept. Texts are measured again beside the finished models, so
+    that no text is shuffled."""
+    rows = saved(_measured(docs).drop("doc_id"), "quality-rows")
+    model = models(rows.where("NOT base_failed"), steps)
+    marked = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    kept = _judged(_measured(marked, "__row"), model, cutoff).where("kept")
+    return kept.select("__row.*")

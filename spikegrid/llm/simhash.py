@@ -171,6 +171,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     small = met.where(F.col("n") <= bucket).select("k", "fp")
     large = met.where(F.col("n") > bucket).select("k", "fp").mapInArrow(split_keys, "k long, part long, fp long")
     schema = "a long, b long"
+    # a stated number of tasks: few bytes, but a task of its own for each group's pairs
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small, large = small.repartition(tasks, "k"), large.repartition(tasks, "k", "part")
     return small.groupBy("k").applyInPandas(links_in, schema).union(large.groupBy("k", "part").applyInPandas(links_in, schema)).distinct()
 
 
