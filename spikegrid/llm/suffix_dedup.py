@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from spikegrid.llm.common import saved, unit_hash
 
 LENGTH = 50
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_ROWS = 1 << 20
 SAMPLES_PER_BLOCK = 64
 # perfect difference sets: every remainder modulo v is a difference of two members
@@ -121,6 +121,7 @@ class Block:
         self.rows = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packs])
         texts = self.rows.column("__bytes").to_pylist()
         self.keys = self.rows.column("__key").to_numpy()
+        self.rows = self.rows.drop_columns(["__bytes"])         # the list holds them now
         self.texts, self.length = texts, length
         self.digests = [hashlib.sha256(t).digest() for t in texts]
         self.copy = np.array([len(t) >= length and (int(k), d) in copies for t, k, d in zip(texts, self.keys, self.digests)], bool)
@@ -145,14 +146,14 @@ class Block:
         k = self.length - v + 1
         longest = int(self.sizes.max(initial=0))
         pattern = (np.arange(0, longest, v)[:, None] + np.array(cover)).ravel()
-        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for a, b in self.parts():
             low, high = self.starts[a], self.ends[b - 1]
             h = codes(self.data[low:high], k, self.powers)
             counts = np.searchsorted(pattern, self.sizes[a:b] - k, "right")
             at = np.concatenate([pattern[:n] + s for n, s in zip(counts.tolist(), self.starts[a:b].tolist())])
             found.append(h[at - low] >> np.uint64(64 - bits))
-            places.append(at)
+            places.append(at.astype(np.int32))
         return np.concatenate(found), np.concatenate(places)
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +164,13 @@ class Block:
         np.add.at(mark, np.maximum(shared - (v - 1), self.starts[owner]), 1)
         np.add.at(mark, np.minimum(shared, self.ends[owner] - self.length) + 1, -1)
         inside = np.cumsum(mark[:-1], dtype=np.int32) > 0
-        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for a, b in self.parts():
             low, high = self.starts[a], self.ends[b - 1]
             at = np.nonzero(inside[low:high])[0]
             if len(at):
                 found.append(codes(self.data[low:high], self.length, self.powers)[at])
-                places.append(at + low)
+                places.append((at + low).astype(np.int32))
         return np.concatenate(found), np.concatenate(places)
 
 
@@ -179,7 +180,7 @@ def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ranked = values[order]
     first = np.ones(len(values), bool)
     first[1:] = ranked[1:] != ranked[:-1]
-    return order, first, np.cumsum(first) - 1
+    return order, first, np.cumsum(first, dtype=np.int32) - 1
 
 
 def _answers(cutter: Cutter, values: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
@@ -215,8 +216,8 @@ MESSAGE = "block int, kind int, part int, payload binary"
 def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS,
           carry: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document. With
-    ``carry``, also those columns as __c0, __c1, ..., whether the text was null (__null)
-    and the bytes that remain (__kept)."""
+    ``carry``, also those columns as __c0, __c1, ... and what remains of the text (__text);
+    a character that loses some of its bytes goes as a whole, and null stays null."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     key = F.coalesce("doc_id", F.lit(int(LAST)))
     narrow = saved(docs.select(key.cast("long").alias("key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.sha2(text, 256).alias("digest")), "digests")
@@ -327,7 +328,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
         out = {"doc_id": rows.column("doc_id"), "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()), "n_removed": pa.array(cut, pa.int64()),
                "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest)}
         if with_text:
-            out |= {f"__c{i}": rows.column(f"__c{i}") for i in range(len(carry))} | {"__null": rows.column("__null"), "__kept": pa.array(kept, pa.binary())}
+            nulls = rows.column("__null").to_pylist()
+            out |= {f"__c{i}": rows.column(f"__c{i}") for i in range(len(carry))}
+            out["__text"] = pa.array([None if null else b.decode("utf-8", "ignore") for b, null in zip(kept, nulls)], pa.string())
         return pa.table(out)
 
     def together(right: DataFrame, step, schema: str) -> DataFrame:
@@ -346,25 +349,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         kinds = dict(docs.dtypes)
-        schema = ", ".join([schema] + [f"__c{i} {kinds[c]}" for i, c in enumerate(carry)] + ["__null boolean", "__kept binary"])
+        schema = ", ".join([schema] + [f"__c{i} {kinds[c]}" for i, c in enumerate(carry)] + ["__text string"])
     return together(known, clean, schema)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """Documents with repeated passages taken out of their text. A character that loses
-    some of its bytes goes as a whole; documents of which nothing remains are dropped,
-    those that were empty before are kept; n_chars, if there, is counted anew."""
+    """Documents with repeated passages taken out of their text. Documents of which
+    nothing remains are dropped, those that were empty before are kept; n_chars, if
+    there, is counted anew. One Python step does it, so a task holds one block once."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kinds = dict(docs.dtypes)
     out = dedup(docs, carry=carry, **options).where("n_bytes = 0 OR n_removed < n_bytes")
-
-    def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("__kept").to_pylist()]
-            columns = {c: batch.column(f"__c{i}") for i, c in enumerate(carry)} | {"doc_id": batch.column("doc_id")}
-            columns["text"] = pa.array([None if null else t for t, null in zip(texts, batch.column("__null").to_pylist())], pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in texts]).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], docs_columns)
-
-    docs_columns = docs.columns
-    return out.mapInArrow(text_of, docs.schema)
+    found = {c: F.col(f"__c{i}") for i, c in enumerate(carry)} | {"doc_id": F.col("doc_id"), "text": F.col("__text")}
+    if "n_chars" in found:
+        found["n_chars"] = F.length(F.coalesce("__text", F.lit("")))
+    return out.select(*[found[c].cast(kinds[c]).alias(c) for c in docs.columns])
