@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "v")
         small = small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
         stars = saved(small.where("u <> v").distinct(), "links")
-        now = stars.agg(F.count(F.lit(1)), F.sum("u"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = stars.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now

@@ -44,10 +44,11 @@ PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3))     # of the four bytes after t
 FIVES = tuple(combinations(range(8), 5))              # of the eight half-bytes left
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of every run of ``words`` words; of the whole text if it has fewer."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()     # ASCII rules for case and spaces
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -55,7 +56,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     starts = (stops - lengths)[:n].tolist()
     stops = stops[min(words, len(found)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 15):
         ones += np.unpackbits(hashes[k:k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
