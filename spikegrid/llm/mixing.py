@@ -7,7 +7,10 @@ again from the start when used up, at most ``repeats`` times.
 
 The number of slots is a parameter, so every table below except the documents and
 their pieces is bounded by it or by the number of sources. A source's taken words lie
-within a few blocks (words / slots each) of its target.
+within a few blocks (words / slots each) of its target. Where that is more than 1 / ``NEAR``
+of the target (small sources beside large ones), the source's slots share its target
+equally, so that its taken words are its target rounded; without a slot of its own it
+shares the slot of the next point.
 
 Nulls: a null text has no words; a null source is one source, last in order. Documents
 without words are never taken. Repeated rows are separate documents. An empty table
@@ -26,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SLOTS = 1 << 17
 GOLDEN = 2654435769          # 2^32 divided by the golden ratio
+NEAR = 200
 ROWS_PER_PIECE = 100_000
 
 
@@ -58,7 +62,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
-    """(source_no, rank, slot): the source of each slot and the slot's number within it."""
+    """(source_no, rank, slot): the source of each slot and the slot's number within it.
+    A source that no point falls to has the slot of the first point behind its start."""
     whole = 1 << 32
     below = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -68,10 +73,25 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     points = sources.sparkSession.range(slots).select(
         ((F.col("id") * GOLDEN) % whole).alias("_x"), F.col("id").alias("slot"), F.lit(None).cast("int").alias("source_no"))
     # each point belongs to the last start at or below it; bounded by slots + sources rows
-    carried = starts.unionByName(points).withColumn("source_no", F.last("source_no", True).over(
-        Window.orderBy("_x", "slot", F.col("source_no").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.orderBy("_x", "slot", F.col("source_no").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.orderBy(F.col("_x").desc(), F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.unionByName(points).withColumns({
+        "source_no": F.last("source_no", True).over(order),
+        "_next": F.coalesce(F.last(F.when(F.col("slot") >= 0, F.col("slot")), True).over(back), F.lit(slots - 1))})
+    carried = carried.withColumn("_most", F.max("slot").over(Window.partitionBy("source_no")))
+    carried = carried.withColumn("slot", F.when(F.col("_most") < 0, F.col("_next")).otherwise(F.col("slot"))).where("slot >= 0")
     rank = F.row_number().over(Window.partitionBy("source_no").orderBy("slot")) - 1
-    return carried.where("slot >= 0").select("source_no", rank.cast("long").alias("rank"), "slot")
+    return carried.select("source_no", rank.cast("long").alias("rank"), "slot")
+
+
+def shares(sources: DataFrame, slots: DataFrame, block: int, repeats: int) -> DataFrame:
+    """(source_no, own_block, goal): the words that each slot of a source takes, and all of them."""
+    n = slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n"))
+    by_blocks = F.least(F.col("_n") * block, F.col("source_size") * repeats)
+    far = F.abs(by_blocks - F.col("target")) * NEAR > F.col("target")
+    exact = F.greatest(F.lit(1), F.round("target").cast("long"))
+    out = sources.join(n, "source_no").withColumn("goal", F.when(far, exact).otherwise(by_blocks))
+    return out.select("source_no", F.when(far, F.ceil(F.col("goal") / F.col("_n"))).otherwise(F.lit(block)).cast("long").alias("own_block"), "goal")
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, slots: int = SLOTS,
@@ -92,11 +112,14 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     stream = with_running(stream, ["source_no"], "_piece", [F.col("_order"), F.col("row_id"), F.col("size")], "size", "_at")
     stream = stream.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     start = F.col("_at") + F.col("_round") * F.col("source_size")
-    stream = stream.withColumn("_start", start).where(F.col("_start") < F.col("target") + 64 * block)
-    stream = stream.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
-    low = F.greatest(F.col("_start"), F.col("rank") * block)
-    high = F.least(F.col("_start") + F.col("size"), (F.col("rank") + 1) * block)
-    taken = stream.join(schedule(sources, block, count), ["source_no", "rank"]).select(
+    slots_of = saved(schedule(sources, block, count), "mix-slots")
+    stream = stream.join(F.broadcast(shares(sources, slots_of, block, repeats)), "source_no")
+    stream = stream.withColumn("_start", start).where(F.col("_start") < F.col("goal"))
+    stop, own = F.least(F.col("_start") + F.col("size"), F.col("goal")), F.col("own_block")
+    stream = stream.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_start") / own), F.floor((stop - 1) / own))))
+    low = F.greatest(F.col("_start"), F.col("rank") * own)
+    high = F.least(stop, (F.col("rank") + 1) * own)
+    taken = stream.join(slots_of, ["source_no", "rank"]).select(
         "row_id", "slot", (low - F.col("_start")).alias("from_word"), (high - low).alias("words"))
     return docs, taken
 
