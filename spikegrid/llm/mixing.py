@@ -19,7 +19,7 @@ gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,12 +141,34 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return out.join(sums, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def first_words(n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, n), "")
+
+
 def take_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each row as often as its words are taken, to the
-    nearest whole number (0 to ``repeats``)."""
-    m = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__mix_share"))
-    m = m.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.round("__mix_share").cast("int").alias("__mix_times"))
+    """The documents of the mix: each row as often as all its words are taken (0 to
+    ``repeats`` times), and once more with the first words for what is taken beyond
+    that, so each source has the words the mix takes of it. n_chars, if there is such a
+    column, is that of the text. Rows of one id, source and size share what is taken of them."""
+    def key(size: str) -> Column:
+        return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size, F.col("source").isNull().cast("string"), "source")
+
+    m = mixed(docs, **options).groupBy(key("size").alias("__mix_key")).agg(
+        F.first("size").cast("long").alias("__mix_size"), F.sum("taken").alias("__mix_taken"), F.count(F.lit(1)).alias("__mix_rows"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__mix_n", size).join(m, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_size")))
-    rows = rows.where("__mix_times > 0").withColumn("__mix_t", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
+    rows = docs.withColumn("__mix_n", size).withColumn("__mix_key", key("__mix_n")).join(m.where("__mix_taken > 0"), "__mix_key")
+    number = F.row_number().over(Window.partitionBy("__mix_key").orderBy(F.xxhash64("text")))
+    whole = F.floor(F.col("__mix_taken") / F.col("__mix_size"))
+    rows = rows.withColumns({"__mix_no": number - 1, "__mix_whole": whole, "__mix_rest": F.col("__mix_taken") - whole * F.col("__mix_size")})
+    more = F.col("__mix_whole") % F.col("__mix_rows")
+    rows = rows.withColumns({
+        "__mix_times": F.floor(F.col("__mix_whole") / F.col("__mix_rows")) + (F.col("__mix_no") < more).cast("long"),
+        "__mix_rest": F.when(F.col("__mix_no") == more, F.col("__mix_rest")).otherwise(0).cast("int")})
+    rows = rows.withColumn("__mix_last", F.col("__mix_times") + (F.col("__mix_rest") > 0).cast("long")).where("__mix_last > 0")
+    rows = rows.withColumn("__mix_t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_last"))))
+    cut = F.col("__mix_t") > F.col("__mix_times")
+    rows = rows.withColumn("text", F.when(cut, first_words(F.col("__mix_rest"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
