@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spikegrid.llm import mixing, packing, quality, sharding, simhash, suffix_dedup, token_files, url_filter, vector_search, warc
+from spikegrid.llm import (
+    mixing, packing, pii, quality, sharding, simhash, suffix_dedup, token_files, url_filter, vector_search, warc,
+)
 from spikegrid.llm.common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +109,8 @@ def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
+@query()
+def op11_checked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
