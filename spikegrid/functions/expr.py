@@ -185,3 +185,9 @@ def hash_uniform(*cols, seed: int = 0) -> Column:
     """Uniform [0, 1) number fixed by the row's own key, so a retried task repeats it."""
     h = F.xxhash64(*[_c(c) for c in cols], F.lit(seed))
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+
+
+def digest_number(*cols, seed: int = 0) -> Column:
+    """A whole number of 52 bits from a digest of the row's key, the same on any engine with MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spikegrid.operators import clusters as K, matching as MT, spikes as S
+from spikegrid.operators import clusters as K, divergence as DV, matching as MT, spikes as S
 from spikegrid.operators.ordered import plan_chunks
 from spikegrid.plans.base import OPTIONS, R, compose, part, query, rd, table
 
@@ -208,3 +208,57 @@ def label_remap(spark, sf):
     ids = MT.chain_ids(MT.match_units(jsd(spark, sf), PAIR), w.select(*SITE, "session_no", "label").distinct(), SITE)
     r = MT.relabel(w.select(*SITE, "session_no", "spike_idx", "label"), ids, [*SITE, "session_no"])
     return r.groupBy("session_no", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------- divergence of several features
+SITES = 3
+SIDES = ["site", "prev_no", "session_no", "unit_a", "unit_b"]
+
+
+def recorded(spark, sf):
+    """Spikes with a recording site from the data; every second spike of a site is of the second session."""
+    return waves(spark, sf).withColumn("site", (F.floor(F.col("spike_idx") / 2) % SITES).cast("int"))
+
+
+def unit_mixtures(spark, sf):
+    w = recorded(spark, sf).select(*SITE, "session_no", "label", "spike_idx", F.col("samples").alias("features"))
+    return DV.mixtures(w, session_pairs(w), SITE, OPTIONS.seed, OPTIONS)
+
+
+part("rec", (), f"""
+  SELECT CAST(vec_id // 2 % {SITES} AS INTEGER) AS site, vec_id AS spike_idx, CAST(vec_id % 2 + 1 AS INTEGER) AS session_no, label,
+         CAST(embedding AS DOUBLE[]) AS v, CAST(('0x' || substr(md5('{OPTIONS.seed}:' || vec_id), 1, 13)) AS BIGINT) AS u FROM embeddings""")
+part("drawn", ("rec",), "SELECT *, row_number() OVER (PARTITION BY site, session_no, label ORDER BY u, spike_idx) AS draw, count(*) OVER (PARTITION BY site, session_no, label) AS n FROM rec")
+part("upair", ("drawn",), """
+  SELECT a.site, a.session_no AS prev_no, b.session_no, a.label AS unit_a, b.label AS unit_b, least(a.n, b.n) AS take
+  FROM (SELECT DISTINCT site, session_no, label, n FROM drawn) a JOIN (SELECT DISTINCT site, session_no, label, n FROM drawn) b
+  ON a.site = b.site AND b.session_no = a.session_no + 1""")
+part("mix", ("upair", "drawn"), """
+  SELECT p.site, p.prev_no, p.session_no, p.unit_a, p.unit_b, 'a' AS side, d.spike_idx, d.v, d.draw <= p.take AS in_mixture
+  FROM upair p JOIN drawn d ON d.site = p.site AND d.session_no = p.prev_no AND d.label = p.unit_a
+  UNION ALL SELECT p.site, p.prev_no, p.session_no, p.unit_a, p.unit_b, 'b', d.spike_idx, d.v, d.draw <= p.take
+  FROM upair p JOIN drawn d ON d.site = p.site AND d.session_no = p.session_no AND d.label = p.unit_b""")
+
+
+@query("unit_mixture", compose("SELECT site, prev_no, session_no, unit_a, unit_b, side, spike_idx FROM mix WHERE in_mixture", "mix"))
+def unit_mixture(spark, sf):
+    """The rows of each pair of units that make up its mixture sample."""
+    return unit_mixtures(spark, sf).where("in_mixture").select(*SIDES, "side", "spike_idx")
+
+
+@query("knn_divergence", compose(f"""
+, dist AS (SELECT x.site, x.prev_no, x.session_no, x.unit_a, x.unit_b, x.side, x.spike_idx,
+    min(CASE WHEN y.side = x.side AND list_distance(x.v, y.v) > 0 THEN list_distance(x.v, y.v) END) AS r,
+    min(CASE WHEN y.in_mixture AND list_distance(x.v, y.v) > 0 THEN list_distance(x.v, y.v) END) AS s
+  FROM mix x JOIN mix y ON x.site = y.site AND x.prev_no = y.prev_no AND x.session_no = y.session_no AND x.unit_a = y.unit_a AND x.unit_b = y.unit_b
+  GROUP BY 1, 2, 3, 4, 5, 6, 7),
+m AS (SELECT site, prev_no, session_no, unit_a, unit_b, count(*) FILTER (in_mixture) AS m FROM mix GROUP BY 1, 2, 3, 4, 5),
+k AS (SELECT site, prev_no, session_no, unit_a, unit_b, side, count(*) AS n, sum(log2(s / r)) AS t, count(*) FILTER (r IS NULL OR s IS NULL) AS open
+  FROM dist GROUP BY 1, 2, 3, 4, 5, 6),
+kl AS (SELECT *, CASE WHEN n > 1 AND open = 0 THEN greatest({CH * LEN}::DOUBLE / n * t + log2(m / (n - 1)), 0.0) END AS kl FROM k JOIN m USING (site, prev_no, session_no, unit_a, unit_b)),
+w AS (SELECT site, prev_no, session_no, unit_a, unit_b, max(CASE WHEN side = 'a' THEN kl END) AS kl_a, max(CASE WHEN side = 'b' THEN kl END) AS kl_b FROM kl GROUP BY 1, 2, 3, 4, 5)
+SELECT site, prev_no, session_no, unit_a, unit_b, {R('kl_a')} AS kl_a, {R('kl_b')} AS kl_b, {R('sqrt((kl_a + kl_b) / 2)')} AS jsd FROM w""", "mix"))
+def knn_divergence(spark, sf):
+    """Divergence of the units of two sessions over whole waveforms, by nearest neighbours."""
+    k = DV.neighbour_divergence(unit_mixtures(spark, sf), SIDES, CH * LEN)
+    return k.select(*SIDES, *[rd(c).alias(c) for c in ("kl_a", "kl_b", "jsd")])
