@@ -119,6 +119,55 @@ def plateaus(image: np.ndarray, mask: np.ndarray | None = None, clearance: int =
     return np.array(peaks, dtype=int).reshape(-1, 2)
 
 
+# ----------------------------------------------------------------- thinning
+def thin(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which points stay if, in the given order, a point closer than ``least`` to one that
+    stays is dropped. Points that stay are found by cell: only nine cells can hold one so near."""
+    kept: dict[tuple[int, int], list[int]] = {}
+    stay = np.zeros(len(x), bool)
+    for k, cell in enumerate(zip(np.floor(x / least).astype(int).tolist(), np.floor(y / least).astype(int).tolist())):
+        near = (j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in kept.get((cell[0] + a, cell[1] + b), ()))
+        if all(math.sqrt((x[k] - x[j]) ** 2 + (y[k] - y[j]) ** 2) >= least for j in near):
+            stay[k] = True
+            kept.setdefault(cell, []).append(k)
+    return stay
+
+
+# ------------------------------------------------------------- moved fields
+def reflected_blur(n: int, sigma: float) -> np.ndarray:
+    """1-D Gaussian of four deviations' reach as a matrix; the border mirrors with its edge repeated."""
+    reach = int(4 * sigma + 0.5)
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    out = np.zeros((n, n))
+    for i in range(n):
+        for d, g in zip(range(-reach, reach + 1), taps / taps.sum()):
+            j = (i + d) % (2 * n)
+            out[i, j if j < n else 2 * n - 1 - j] += g
+    return out
+
+
+def wrapped_fields(rate: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Null map: each field goes with its peak to a random bin, around the edges; bins where
+    fields meet add up. Bins that a field left empty get values of the bins that fields now
+    cover, each once before one is used again; all other bins stay."""
+    size = np.array(rate.shape)
+    out, taken, covered = np.zeros(rate.shape), np.zeros(rate.shape, bool), []
+    for k in rng.permutation(labels.max()) + 1:
+        bins = np.argwhere(labels == k)
+        peak = bins[np.argmax(rate[tuple(bins.T)])]
+        to = tuple(((rng.integers(0, size) + bins - peak) % size).T)
+        covered.extend(rate[to][labels[to] == 0])
+        out[to] += rate[tuple(bins.T)]
+        taken[to] = True
+    rest = ~taken & (labels == 0)
+    out[rest] = rate[rest]
+    holes = np.argwhere(~taken & (labels > 0))
+    if covered:
+        drawn = np.concatenate([rng.permutation(covered) for _ in range(-(-len(holes) // len(covered)))] or [np.zeros(0)])
+        out[tuple(holes.T)] = drawn[:len(holes)]
+    return out
+
+
 # -------------------------------------------------------------------- blobs
 def otsu(image: np.ndarray) -> int:
     """Threshold of an 8-bit image with the largest between-class variance."""

@@ -69,3 +69,18 @@ def asof_backward(
         F.col("_prev._rt").alias(f"{t}_match"),
         *[F.col(f"_prev.{v}").alias(v) for v in values],
     )
+
+
+def at_nearest_slot(
+    values: DataFrame, slots: DataFrame, keys: Sequence[str], t: str, value: str, tie: str, settings: Settings = DEFAULT,
+) -> DataFrame:
+    """Every slot with the value whose time is nearest to it among all slots; 0 if none is.
+
+    The inverse of a nearest join: each value chooses its slot (the earlier of two equally
+    near), of several values in one slot the latest stays.  Keys absent from ``values`` keep
+    all slots at 0.
+    """
+    rows = values.where(F.col(t).isNotNull()).select(*keys, t, F.col(value).alias("_value"))
+    placed = asof_nearest(rows, slots, keys, t, [tie], tie, settings)
+    last = placed.groupBy(*keys, tie).agg(F.max_by("_value", F.struct(t, "_value")).alias(value))
+    return slots.join(last, [*keys, tie], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))

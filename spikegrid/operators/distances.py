@@ -175,6 +175,35 @@ def pack_fields(bins: DataFrame, keys: Sequence[str], cols: int) -> DataFrame:
     return g.select(*keys, "field_id", F.col("_m.b").alias("bins"), F.col("_m.v").alias("vals"), "centroid_r", "centroid_c")
 
 
+def field_sets(bins: DataFrame, keys: Sequence[str], cols: int) -> DataFrame:
+    """All fields of a map as one weighted set: (keys, fields, bins, vals, centroid_r, centroid_c).
+
+    The centroid is the mean of the centroids of the fields, each counted once."""
+    per = bins.groupBy(*keys, "field_id").agg(
+        F.collect_list(F.struct((F.col("r") * cols + F.col("c")).alias("b"), F.col("rate").alias("v"))).alias("_m"),
+        F.avg("r").alias("_r"), F.avg("c").alias("_c"))
+    g = per.groupBy(*keys).agg(F.flatten(F.collect_list("_m")).alias("_m"), F.count(F.lit(1)).alias("fields"),
+                               F.avg("_r").alias("centroid_r"), F.avg("_c").alias("centroid_c"))
+    return g.select(*keys, "fields", F.col("_m.b").alias("bins"), F.col("_m.v").alias("vals"), "centroid_r", "centroid_c")
+
+
+def field_set_distance(sets_a: DataFrame, sets_b: DataFrame, keys: Sequence[str], rows: int, cols: int, height: float, width: float,
+                       directions, p: int = 2) -> DataFrame:
+    """Distances between the fields of two maps taken together: weighted and unweighted sliced
+    transport of their bins, and the distance of their centroids in bins.
+
+    Each side holds one row per key; keys that lack fields on one side are left out."""
+    columns = ["fields", "bins", "vals", "centroid_r", "centroid_c"]
+    side = lambda d, s: d.select(*keys, *[F.col(c).alias(c + s) for c in columns])
+    both = side(sets_a, "_a").join(side(sets_b, "_b"), list(keys))
+    apart = hypot2(F.col("centroid_r_a") - F.col("centroid_r_b"), F.col("centroid_c_a") - F.col("centroid_c_b"))
+    both = both.withColumn("centroid_distance", apart)
+    keep = [*keys, "fields_a", "fields_b", "centroid_distance"]
+    sets = ["bins_a", "vals_a", "bins_b", "vals_b"]
+    w = map_distance(both, [*keep, *sets], rows, cols, height, width, directions, p, name="field_wass")
+    return map_distance(w, [*keep, "field_wass"], rows, cols, height, width, directions, p, weighted=False, name="binary_wass")
+
+
 # ---------------------------------------------------------------------- maps
 def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, settings: Settings = DEFAULT) -> DataFrame:
     """Rank correlation of two columns per key, ties by mean rank."""

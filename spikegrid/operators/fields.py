@@ -141,6 +141,37 @@ def sampling_grid(spark: SparkSession, height: float, width: float, spacing: flo
     return g
 
 
+def lattice_points(arenas: DataFrame, keys: Sequence[str], spacing: float, least: float | None = None, hexagonal: bool = False,
+                   disk: bool = False) -> DataFrame:
+    """(keys, no, x, y): sampling points of each arena (keys, height, width) by row, then column.
+
+    ``disk`` keeps the points inside the circle of the arena's width; ``least`` drops a point
+    that is closer than that to an earlier one that stays. An arena has few points, so they
+    are one row until they are listed."""
+    size = spacing / math.sqrt(3)
+    step_x, step_y = (1.5 * size, size * math.sqrt(3)) if hexagonal else (spacing, spacing)
+    to = lambda n: F.sequence(F.lit(0), F.greatest(F.ceil(n), F.lit(1)).cast("int") - 1)
+    rows, cols = to(F.col("height") / F.lit(step_y)), to(F.col("width") / F.lit(step_x))
+    shift = lambda c: F.when(c % 2 == 1, F.lit(step_y / 2)).otherwise(F.lit(0.0)) if hexagonal else F.lit(0.0)
+    point = lambda r, c: F.struct((c * F.lit(step_x)).alias("x"), (r * F.lit(step_y) + shift(c)).alias("y"))
+    grid = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: point(r, c))))
+    if disk:
+        rx, ry = F.col("width") / 2, F.col("height") / 2
+        grid = F.filter(grid, lambda p: F.sqrt((p["x"] - rx) * (p["x"] - rx) + (p["y"] - ry) * (p["y"] - ry)) <= rx)
+    found = arenas.where("height > 0 AND width > 0").select(*keys, grid.alias("_g"))
+    if least is not None:
+        @F.pandas_udf("array<struct<x: double, y: double>>")
+        def thinned(x: pd.Series, y: pd.Series) -> pd.Series:
+            out = []
+            for a, b in zip(x, y):
+                stay = gk.thin(np.asarray(a, float), np.asarray(b, float), least)
+                out.append([{"x": float(p), "y": float(q)} for p, q, s in zip(a, b, stay) if s])
+            return pd.Series(out)
+
+        found = found.select(*keys, thinned(F.col("_g.x"), F.col("_g.y")).alias("_g"))
+    return found.select(*keys, F.posexplode_outer("_g").alias("no", "p")).where("no IS NOT NULL").select(*keys, "no", "p.x", "p.y")
+
+
 def object_bins(rows: int, cols: int) -> dict[str, tuple[int, int]]:
     """Bin of the object for each object angle (fixed layout: wall mid-points, NO = centre)."""
     return {
@@ -164,6 +195,25 @@ def shift_fields(packed: DataFrame, keys: Sequence[str], column: str, rows: int,
     return spread(packed, keys).select(*keys, run(column, "labels", salt).alias("shuffled"))
 
 
+def wrap_fields(packed: DataFrame, keys: Sequence[str], column: str, rows: int, cols: int, seed: int = 0, sigma: float = 2.0) -> DataFrame:
+    """(keys, raw, blurred): null map with whole fields moved around the edges of the map, the
+    holes they leave refilled from the bins they cover; then blurred to a distribution."""
+    left, right = gk.reflected_blur(rows, sigma), gk.reflected_blur(cols, sigma)
+
+    @F.pandas_udf("struct<raw: array<double>, blurred: array<double>>")
+    def run(rate: pd.Series, labels: pd.Series, salt: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, l, s in zip(rate, labels, salt):
+            raw = gk.wrapped_fields(np.asarray(v, float).reshape(rows, cols), np.asarray(l).reshape(rows, cols), np.random.default_rng(int(s)))
+            total = raw.sum()
+            blur = left @ (raw / total) @ right.T if total > 0 else raw
+            out.append((raw.ravel(), (blur / blur.sum() if total > 0 else blur).ravel()))
+        return pd.DataFrame(out, columns=["raw", "blurred"])
+
+    salt = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1 << 31))
+    return spread(packed, keys).select(*keys, column, "labels", run(column, "labels", salt).alias("_s")).select(*keys, column, "labels", "_s.raw", "_s.blurred")
+
+
 def _place_anew(rate: np.ndarray, labels: np.ndarray, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     n, m = rate.shape

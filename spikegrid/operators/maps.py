@@ -117,6 +117,16 @@ def pack(maps: DataFrame, keys: Sequence[str], cols: int) -> DataFrame:
     )
 
 
+def dense(packed: DataFrame, keys: Sequence[str], rows: int, cols: int, name: str = "rate", normalise: bool = True) -> DataFrame:
+    """Packed maps as dense arrays; absent bins are 0, and the largest value is 1 if ``normalise``."""
+    lookup = F.map_from_arrays("bins", "vals")
+    every = F.sequence(F.lit(0), F.lit(rows * cols - 1))
+    top = F.array_max("vals")
+    scale = F.when(top > 0, top).otherwise(F.lit(1.0)) if normalise else F.lit(1.0)
+    filled = packed.withColumns({"_at": lookup, "_top": scale})
+    return filled.select(*keys, F.transform(every, lambda b: F.coalesce(F.try_element_at("_at", b), F.lit(0.0)) / F.col("_top")).alias(name))
+
+
 def unpack(packed: DataFrame, keys: Sequence[str], column: str, cols: int, name: str = "v") -> DataFrame:
     """Long form of a dense array column.
 

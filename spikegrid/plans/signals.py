@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spikegrid.operators import signals as G
+from spikegrid.operators import asof, signals as G
 from spikegrid.operators.ordered import Ordered
-from spikegrid.plans.base import R, all_units, compose, events, options, part, query, rd
+from spikegrid.plans.base import R, all_units, compose, events, options, part, query, rd, tracking
 
 RATE = 50.0
 KEYS = ["session_id"]
@@ -65,3 +65,28 @@ SELECT session_id, unit, {R('(t + nt) / 2', 7)} AS t, {R('(nk - k + CASE WHEN k
 def adaptive_rate(spark, sf):
     a = G.adaptive_rate(all_units(spark, sf), ["session_id", "unit"], ADAPT, options(spark, sf))
     return a.select("session_id", "unit", rd("t", 7).alias("t"), rd(F.col("rate") * 1e6).alias("rate"))
+
+
+RATE_SLOTS = compose(f"""
+, num AS (SELECT session_id, unit, t, row_number() OVER (PARTITION BY session_id, unit ORDER BY t, i) AS k FROM ev),
+nx AS (SELECT a.session_id, a.unit, a.k, a.t, min(b.k) AS nk, min(b.t) AS nt FROM num a JOIN num b
+   ON a.session_id = b.session_id AND a.unit = b.unit AND b.t > a.t + {ADAPT} GROUP BY 1, 2, 3, 4),
+chain AS (SELECT * FROM nx WHERE k = 1 UNION ALL SELECT x.* FROM chain c JOIN nx x ON x.session_id = c.session_id AND x.unit = c.unit AND x.k = c.nk),
+ar AS (SELECT session_id, unit, (t + nt) / 2 AS t, (nk - k + CASE WHEN k = 1 THEN 1 ELSE 0 END) / (nt - t) AS rate FROM chain),
+near AS (SELECT a.session_id, a.unit, a.t, a.rate, k.i, row_number() OVER (PARTITION BY a.session_id, a.unit, a.t ORDER BY abs(k.t - a.t), k.t, k.i) AS rn
+   FROM ar a JOIN trk k ON k.session_id = a.session_id),
+slot AS (SELECT session_id, unit, i, arg_max(rate, t) AS rate FROM near WHERE rn = 1 GROUP BY 1, 2, 3),
+u AS (SELECT DISTINCT session_id, unit FROM ev)
+SELECT trk.session_id, u.unit, trk.i, {R('coalesce(slot.rate, 0) * 1e6')} AS rate
+FROM trk JOIN u ON u.session_id = trk.session_id LEFT JOIN slot ON slot.session_id = trk.session_id AND slot.unit = u.unit AND slot.i = trk.i""", "trk").replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+@query("rate_slots", RATE_SLOTS)
+def rate_slots(spark, sf):
+    """Rates over adaptive windows, written to the tracking samples nearest to their middles."""
+    s = options(spark, sf)
+    rates = G.adaptive_rate(all_units(spark, sf), ["session_id", "unit"], ADAPT, s)
+    units = all_units(spark, sf).select("session_id", "unit").distinct()
+    slots = tracking(spark, sf).select("session_id", "i", "t").join(units, "session_id")
+    out = asof.at_nearest_slot(rates, slots, ["session_id", "unit"], "t", "rate", "i", s)
+    return out.select("session_id", "unit", "i", rd(F.col("rate") * 1e6).alias("rate"))
