@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +152,40 @@ def permute_groups(df: DataFrame, keys: Sequence[str], label: str, row_key: Sequ
     return a.join(b, [*keys, "_rn"]).drop(label, "_rn").withColumnRenamed("_new", label)
 
 
+def bootstrap_means(df: DataFrame, keys: Sequence[str], row_key: str, value: str, iterations: int, seed: int = 0,
+                    settings: Settings = DEFAULT) -> DataFrame:
+    """(keys, n, means): the mean of each resample of a key, for keys that fit one row.
+
+    Draw j of iteration k takes the row with number hash(j, k) mod n; rows are numbered from
+    0 by ``row_key``.  No row is copied: a key's values are packed once, and its resamples are
+    index arrays in the task.  Keys above ``rows_per_chunk`` rows go through :func:`bootstrap`."""
+    from spikegrid.operators.relabel import CELLS, hash32
+
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = attach(df.where(F.col(value).isNotNull()).select(*keys, F.col(row_key).alias("_r"), F.col(value).cast("double").alias("_v")), n, keys)
+    few = rows.where(F.col("n") <= settings.rows_per_chunk)
+    packed = few.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_v"))), lambda s: s["_v"]).alias("_v"))
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            v = np.asarray(v, float)
+            step = max(1, CELLS // len(v))
+            parts = [v[hash32(np.arange(len(v)), np.arange(k, min(k + step, iterations)), seed) % np.uint64(len(v))].mean(axis=0)
+                     for k in range(0, iterations, step)]
+            out.append(np.concatenate(parts))
+        return pd.Series(out)
+
+    small = packed.select(*keys, F.size("_v").cast("long").alias("n"), run("_v").alias("means"))
+    many = rows.where(F.col("n") > settings.rows_per_chunk).drop("n")
+    if not many.take(1):
+        return small
+    drawn = bootstrap(many, keys, ["_r"], iterations, seed, settings).groupBy(*keys, "iter").agg(F.avg("_v").alias("_m"), F.count(F.lit(1)).alias("n"))
+    large = drawn.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("iter", "_m"))), lambda s: s["_m"]).alias("means"))
+    return small.unionByName(large)
+
+
 def bootstrap(df: DataFrame, keys: Sequence[str], row_key: Sequence[str], iterations: int, seed: int = 0,
               settings: Settings = DEFAULT) -> DataFrame:
     """Resamples with replacement of the size of each key, numbered ``iter``.

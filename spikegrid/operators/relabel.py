@@ -35,6 +35,15 @@ def hash32(i: np.ndarray, k: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(16)) ^ x
 
 
+def _chosen(i: np.ndarray, take: np.ndarray, k: np.ndarray, seed: int) -> np.ndarray:
+    """(spike, iteration): whether the spike is among the ``take[k]`` smallest hashes of the iteration."""
+    place = np.argsort(np.argsort(i, kind="stable"), kind="stable").astype(np.uint64)
+    key = (hash32(i, k, seed) << np.uint64(31)) | place[:, None]         # equal hashes go by spike number
+    want = take[k]
+    last = np.sort(key, axis=0)[np.maximum(want - 1, 0), np.arange(len(k))]
+    return (key <= last[None, :]) & (want > 0)[None, :]
+
+
 def _distances(i: np.ndarray, is_a: np.ndarray, bins: np.ndarray, follows: int, na: int, nb: int, before: int, before_a: np.ndarray,
                own_before: int, take: np.ndarray, seed: int) -> np.ndarray:
     """The part of this chunk in the distance of the given labels (first) and of each iteration."""
@@ -45,15 +54,10 @@ def _distances(i: np.ndarray, is_a: np.ndarray, bins: np.ndarray, follows: int,
         return np.abs(labels_a / na - (done[:, None] - labels_a) / nb).T @ gap
 
     out = [cost((own_before + np.cumsum(is_a))[:, None])]
-    place = np.argsort(np.argsort(i, kind="stable"), kind="stable").astype(np.uint64)
     step = max(1, CELLS // max(1, len(i)))
     for at in range(0, len(take), step):
         k = np.arange(at, min(at + step, len(take)))
-        key = (hash32(i, k, seed) << np.uint64(31)) | place[:, None]         # equal hashes go by spike number
-        want = take[k]
-        last = np.sort(key, axis=0)[np.maximum(want - 1, 0), np.arange(len(k))]
-        chosen = (key <= last[None, :]) & (want > 0)[None, :]
-        out.append(cost(before_a[k][None, :] + np.cumsum(chosen, axis=0)))
+        out.append(cost(before_a[k][None, :] + np.cumsum(_chosen(i, take, k, seed), axis=0)))
     return np.concatenate(out)
 
 
@@ -117,3 +121,69 @@ def relabelled_distances(points: DataFrame, keys: Sequence[str], bin_size: float
         each = out.select(*keys, F.posexplode("_d").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v"))
         out = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("_d"))
     return out.select(*keys, F.col("_d")[0].alias("observed"), F.slice("_d", 2, iterations).alias("nulls"))
+
+
+def _sliced(i: np.ndarray, is_a: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, iterations: int, seed: int, p: int) -> np.ndarray:
+    """Sliced distance of the given labels (first) and of each relabelling. The numbers of both
+    sides never change, so neither do the steps at which their distributions are compared."""
+    na = int(is_a.sum())
+    nb = len(i) - na
+    proj = u @ np.vstack([x, y])
+    order = np.argsort(proj, axis=1, kind="stable")
+    proj = np.take_along_axis(proj, order, 1)
+    ends_a, ends_b = np.arange(1, na + 1) * nb, np.arange(1, nb + 1) * na        # in 1 / (na nb)
+    ends = np.union1d(ends_a, ends_b)
+    at_a, at_b, part = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), np.diff(ends, prepend=0) / (na * nb)
+
+    def cost(labels: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(labels))
+        for row, places in zip(proj, order):
+            own = labels[:, places]
+            spread = np.broadcast_to(row, own.shape)
+            a, b = spread[own].reshape(-1, na), spread[~own].reshape(-1, nb)
+            total += np.abs(a[:, at_a] - b[:, at_b]) ** p @ part
+        return (total / len(u)) ** (1 / p)
+
+    out = [cost(is_a[None, :])]
+    step = max(1, CELLS // len(i))
+    for k in range(0, iterations, step):
+        out.append(cost(np.ascontiguousarray(_chosen(i, np.full(iterations, na), np.arange(k, min(k + step, iterations)), seed).T)))
+    return np.concatenate(out)
+
+
+def relabelled_sliced(points: DataFrame, keys: Sequence[str], directions, iterations: int, seed: int = 0, p: int = 2,
+                      settings: Settings = DEFAULT) -> DataFrame:
+    """(keys, observed, nulls): the sliced transport of both sides, and that of each relabelling.
+
+    ``points``: keys, i, side ('a' or 'b'), x, y.  The pool of a key is one row up to
+    ``rows_per_chunk`` points; larger pools are relabelled and compared as long tables."""
+    keys = list(keys)
+    n = lambda s: F.count_if(F.col("side") == s)
+    per = points.groupBy(*keys).agg(n("a").alias("_na"), n("b").alias("_nb")).where("_na > 0 AND _nb > 0")
+    rows = attach(points.select(*keys, "i", "side", "x", "y"), per, keys)
+    large = F.col("_na") + F.col("_nb") > settings.rows_per_chunk
+    pools = rows.where(~large).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", (F.col("side") == "a").alias("a"), "x", "y"))).alias("_s"))
+    u, kinds = np.array(directions), dict(rows.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            names, found = batch.schema.names, []
+            packed = batch.column(names.index("_s"))
+            for k in range(batch.num_rows):
+                i, a, x, y = (np.asarray(packed[k].values.field(f).to_numpy(zero_copy_only=False)) for f in ("i", "a", "x", "y"))
+                found.append(_sliced(i, a.astype(bool), x, y, u, iterations, seed, p).tolist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keys], pa.array(found, pa.list_(pa.float64()))], [*keys, "_d"])
+
+    out = pools.repartition(*keys).mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, _d array<double>")
+    out = out.select(*keys, F.col("_d")[0].alias("observed"), F.slice("_d", 2, iterations).alias("nulls"))
+    hot = rows.where(large).drop("_na", "_nb")
+    if not hot.take(1):
+        return out
+    from spikegrid.operators.distances import sliced_distance
+    from spikegrid.operators.nulls import permute_sides
+
+    weighted = lambda d: d.withColumn("w", F.lit(1.0))
+    seen = sliced_distance(weighted(hot), keys, directions, p, settings).withColumnRenamed("distance", "observed")
+    dealt = sliced_distance(weighted(permute_sides(hot, keys, ["i"], iterations, seed, settings)), [*keys, "iter"], directions, p, settings)
+    nulls = dealt.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("iter", "distance"))), lambda s: s["distance"]).alias("nulls"))
+    return out.unionByName(seen.join(nulls, keys))

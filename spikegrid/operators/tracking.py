@@ -180,14 +180,15 @@ def strip_trailing_missing(trk: DataFrame) -> DataFrame:
     return attach(trk, last, KEYS).where(F.col("i") <= F.col("_last")).drop("_last")
 
 
-def repair_time(trk: DataFrame, step: float = 0.02, settings: Settings = DEFAULT) -> DataFrame:
+def repair_time(trk: DataFrame, step: float | str = 0.02, settings: Settings = DEFAULT) -> DataFrame:
     """Rebuild the clock of sessions whose time stamps repeat: steps from the first stamp;
-    samples after the last stamp that is not zero are dropped there."""
+    samples after the last stamp that is not zero are dropped there.  ``step`` is a number of
+    seconds, or the name of a column that has it."""
     counts = trk.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct("t").alias("_d"), F.min_by("t", "i").alias("_t0"),
         F.coalesce(F.max(F.when(F.col("t") != 0, F.col("i"))), F.min("i")).alias("_end"))
     numbered = Ordered(trk, KEYS, ["i"], settings).number("_k").df
-    rebuilt = F.col("_t0") + (F.col("_k") - 1) * F.lit(float(step))
+    rebuilt = F.col("_t0") + (F.col("_k") - 1) * (F.col(step) if isinstance(step, str) else F.lit(float(step)))
     broken = F.col("_n") > F.col("_d")
     out = attach(numbered, counts, KEYS).where(~broken | (F.col("i") <= F.col("_end")))
     return out.withColumn("t", F.when(broken, rebuilt).otherwise(F.col("t"))).select(*trk.columns)

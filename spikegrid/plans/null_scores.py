@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spikegrid.operators import null_maps as NM, nulls as N, relabel as RL, tracking as T
-from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, ROW_SQL, ROWS, R, compose, options, part, query, rd, spikes, tracking
+from spikegrid.operators import distances as D, null_maps as NM, nulls as N, relabel as RL, tracking as T
+from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, ROW_SQL, ROWS, R, compose, events, options, part, query, rd, spikes, tracking
 from spikegrid.plans.remapping import BIN, LIMIT, LINK, cells, link_points
 from spikegrid.plans.spatial import UNIT, occupancy
 from spikegrid.settings import DEFAULT
@@ -58,15 +58,31 @@ SELECT session_id, unit, score, {R('max(observed)')} AS observed, count(*) AS nu
 FROM n GROUP BY 1, 2, 3""", "manybins")
 
 
+def shifted(spark, sf):
+    moving = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
+    return NM.shifted_counts(spikes(spark, sf), moving, ARENA, ROWS, COLS, N.lattice_shares(SHUFFLES), LIMIT, options(spark, sf))
+
+
 @query("null_report", NULL_REPORT_SQL)
 def null_report(spark, sf):
     """Information, sparsity, selectivity, coherence and four wall scores of every unit against 1000 shifts of its train."""
-    moving = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
-    counts = NM.shifted_counts(spikes(spark, sf), moving, ARENA, ROWS, COLS, N.lattice_shares(SHUFFLES), LIMIT, options(spark, sf))
-    report = NM.null_report(NM.map_null_scores(counts, occupancy(spark, sf), ROWS, COLS, settings=OPTIONS))
+    report = NM.null_report(NM.map_null_scores(shifted(spark, sf), occupancy(spark, sf), ROWS, COLS, settings=OPTIONS))
     return report.select(*UNIT, "score", rd("observed").alias("observed"), "null_n", *[rd(c).alias(c) for c in ("null_mean", "null_std", "below", "above")])
 
 
+@query("null_pvalue", compose(f"""
+, f AS (SELECT session_id, unit, iter, sum(p * v) AS m1 FROM manybins GROUP BY 1, 2, 3),
+i AS (SELECT b.session_id, b.unit, b.iter, sum(CASE WHEN v > m1 THEN p * v * log2(v / m1) ELSE 0 END) / max(m1) AS info
+   FROM manybins b JOIN f USING (session_id, unit, iter) GROUP BY 1, 2, 3)
+SELECT n.session_id, n.unit, count(*) AS iterations, {R('avg(n.info)')} AS shuffled_mean, {R('stddev_pop(n.info)')} AS shuffled_std,
+  {R('avg(CASE WHEN n.info > o.info + 1e-9 * greatest(1, abs(o.info)) THEN 1.0 ELSE 0 END)')} AS p_value
+FROM i n JOIN i o ON o.session_id = n.session_id AND o.unit = n.unit AND o.iter = 0 WHERE n.iter > 0 GROUP BY 1, 2""", "manybins"))
+def null_pvalue(spark, sf):
+    """Spatial information of every unit against 1000 shifts of its train."""
+    r = NM.null_report(NM.map_null_scores(shifted(spark, sf), occupancy(spark, sf), ROWS, COLS, settings=OPTIONS), ["information"])
+    return r.select(*UNIT, F.col("null_n").alias("iterations"), rd("null_mean").alias("shuffled_mean"), rd("null_std").alias("shuffled_std"), rd("above").alias("p_value"))
+
+
 # ------------------------------------------------------ relabelled spike times
 _M = "4294967296::UBIGINT"
 _stir = lambda x: f"((xor({x} >> 16, {x}) * {RL.MIX}::UBIGINT) % {_M})"
@@ -96,3 +112,31 @@ def temporal_permutation_null(spark, sf):
     off = lambda c: rd(c + 1e-9)  # noqa: E731  (multiples of small fractions often end in an exact half)
     return each.groupBy(*LINK).agg(off(F.max("observed")).alias("observed"), F.count(F.lit(1)).alias("null_n"), off(F.avg("v")).alias("null_mean"),
                                    off(F.stddev_pop("v")).alias("null_std"), rd(F.avg((F.col("v") > F.col("observed") + 1e-6).cast("double"))).alias("above"))
+
+
+PROJECTIONS = D.lattice_projections(DEFAULT.n_projections)
+
+
+@query("permutation_null")
+def permutation_null(spark, sf):
+    """Sliced distance of consecutive sessions, over 50 directions, against 1000 relabellings of their spikes."""
+    pts = link_points(cells(spark, sf)).select(*LINK, "side", "i", "x", "y")
+    d = RL.relabelled_sliced(pts, LINK, PROJECTIONS, SHUFFLES, OPTIONS.seed, settings=options(spark, sf, "animal_id", 2))
+    each = d.select(*LINK, "observed", F.explode("nulls").alias("v"))
+    return each.groupBy(*LINK).agg(rd(F.max("observed")).alias("observed"), rd(F.avg("v")).alias("null_mean"), rd(F.stddev_pop("v")).alias("null_std"),
+                                   rd(F.avg((F.col("v") > F.col("observed") + 1e-9).cast("double"))).alias("above"), F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------- bootstrap
+@query("bootstrap_mean", compose(f"""
+, b AS (SELECT session_id, x, row_number() OVER (PARTITION BY session_id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY session_id) AS n FROM ev WHERE x IS NOT NULL),
+x0 AS (SELECT session_id, n, k, (j::UBIGINT * {RL.SPIKE}::UBIGINT + (k + 1)::UBIGINT * {RL.ITERATION}::UBIGINT + {OPTIONS.seed}::UBIGINT) % {_M} AS x FROM b, range({SHUFFLES}) r(k)),
+x1 AS (SELECT * REPLACE ({_stir('x')} AS x) FROM x0), x2 AS (SELECT * REPLACE ({_stir('x')} AS x) FROM x1),
+m AS (SELECT x2.session_id, k, avg(b.x) AS m FROM x2 JOIN b ON b.session_id = x2.session_id AND b.j = xor(x2.x >> 16, x2.x) % x2.n::UBIGINT GROUP BY 1, 2)
+SELECT session_id, (SELECT max(n) FROM b WHERE b.session_id = m.session_id) AS n, {R('avg(m)')} AS boot_mean, {R('stddev_pop(m)')} AS boot_std FROM m GROUP BY 1""", "ev"))
+def bootstrap_mean(spark, sf):
+    """Mean and deviation of 1000 bootstrapped means of each session."""
+    e = events(spark, sf).select("session_id", "i", "x")
+    each = N.bootstrap_means(e, ["session_id"], "i", "x", SHUFFLES, OPTIONS.seed, options(spark, sf))
+    long = each.select("session_id", "n", F.explode("means").alias("m"))
+    return long.groupBy("session_id").agg(F.max("n").alias("n"), rd(F.avg("m")).alias("boot_mean"), rd(F.stddev_pop("m")).alias("boot_std"))

@@ -336,58 +336,7 @@ def shift_null(spark, sf):
     return N.shift_spikes(spikes(spark, sf), UNIT, SHARES, LIMIT).select("session_id", "unit", "i", "iter", rd("t", 6).alias("t"))
 
 
-part("shpos", ("shift", "moving"), """
-  SELECT session_id, unit, iter, x, y FROM (
-    SELECT s.session_id, s.unit, s.iter, m.x, m.y,
-       row_number() OVER (PARTITION BY s.session_id, s.i, s.iter ORDER BY abs(m.t - s.t), m.t, m.i) rn
-    FROM shift s JOIN moving m ON m.session_id = s.session_id) WHERE rn = 1""")
-
-
-def _info(src: str, keys: str) -> str:
-    on = " AND ".join(f"s.{k.strip()} = m.{k.strip()}" for k in keys.split(","))
-    return f"""SELECT {", ".join("m." + k.strip() for k in keys.split(","))}, sum(CASE WHEN v > m1 THEN p * v * log2(v / m1) ELSE 0 END) / max(m1) AS info
-      FROM {src} s JOIN (SELECT {keys}, sum(p * v) m1 FROM {src} GROUP BY {keys}) m ON {on} GROUP BY {", ".join("m." + k.strip() for k in keys.split(","))}"""
-
-
-part("shbins", ("shpos", "occ"), f"""
-  SELECT s.session_id, s.unit, s.iter, s.n / o.v AS v, o.v / d.dur AS p FROM (
-    SELECT session_id, unit, iter, {ROW_SQL} AS r, {COL_SQL} AS c, count(*)::DOUBLE n FROM shpos GROUP BY 1, 2, 3, 4, 5) s
-  JOIN occ o ON o.session_id = s.session_id AND o.r = s.r AND o.c = s.c
-  JOIN (SELECT session_id, sum(v) dur FROM occ GROUP BY 1) d ON d.session_id = s.session_id WHERE o.v >= 1e-4""")
-
-
-@query("null_pvalue", compose(f"""
-, n AS ({_info("shbins", "session_id, unit, iter")}), o AS ({_info("stats1", "session_id, unit")})
-SELECT n.session_id, n.unit, count(*) AS iterations, {R('avg(n.info)')} AS shuffled_mean, {R('stddev_pop(n.info)')} AS shuffled_std,
-  {R('avg(CASE WHEN n.info > o.info + 1e-9 THEN 1.0 ELSE 0 END)')} AS p_value FROM n JOIN o ON o.session_id = n.session_id AND o.unit = n.unit GROUP BY 1, 2""",
-    "shbins", "stats1"))
-def null_pvalue(spark, sf):
-    """Spatial information of every unit against its shifted trains."""
-    opts = options(spark, sf, fan_out=len(SHARES) + 1)
-    moving = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
-    occ = occupancy(spark, sf)
-    keys = ["session_id", "unit", "iter"]
-    shifted = N.shift_spikes(spikes(spark, sf), UNIT, SHARES, LIMIT)
-    pos = asof.asof_nearest(shifted, moving, ["session_id"], "t", ["x", "y"], "i", opts)
-    null = C.map_statistics(occ, M.rate_bins(occ, M.spike_counts(pos, ARENA, ROWS, COLS, keys), keys), ROWS, COLS, keys)
-    null = null.select(*keys, F.col("information_content").alias("value"))
-    spk = M.spike_counts(spike_positions(spark, sf), ARENA, ROWS, COLS)
-    obs = C.map_statistics(occ, M.rate_bins(occ, spk), ROWS, COLS).select(*UNIT, (F.col("information_content") + 1e-9).alias("value"))
-    stats = null.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("iterations"), rd(F.avg("value")).alias("shuffled_mean"), rd(F.stddev_pop("value")).alias("shuffled_std"))
-    p = N.empirical_p(obs, null, UNIT, larger_is_better=True)
-    return stats.join(p, UNIT).withColumn("p_value", rd("p_value"))
-
-
 # ---------------------------------------------------------------- permutations
-@query("permutation_null")
-def permutation_null(spark, sf):
-    """Sliced distance of consecutive sessions against relabelled spikes."""
-    pts = link_points(cells(spark, sf)).select(*LINK, "side", "i", "x", "y")
-    dealt = N.permute_sides(pts, LINK, ["i"], 5, OPTIONS.seed, options(spark, sf, "animal_id")).withColumn("w", F.lit(1.0))
-    null = D.sliced_distance(dealt, [*LINK, "iter"], DIRECTIONS, 2, options(spark, sf, "animal_id"))
-    return null.groupBy(*LINK).agg(rd(F.avg("distance")).alias("null_mean"), rd(F.stddev_pop("distance")).alias("null_std"), F.count(F.lit(1)).alias("n"))
-
-
 @query("group_permutation")
 def group_permutation(spark, sf):
     """Event types dealt anew inside each session: counts per type must not change."""
@@ -401,14 +350,6 @@ from spikegrid.plans.base import ORACLE  # noqa: E402
 ORACLE["group_permutation"] = "SELECT user_id AS session_id, event_type AS unit, count(*) AS n FROM events GROUP BY 1, 2"
 
 
-@query("bootstrap_mean")
-def bootstrap_mean(spark, sf):
-    e = events(spark, sf).select("session_id", "i", "x")
-    b = N.bootstrap(e, ["session_id"], ["i"], 10, OPTIONS.seed, options(spark, sf))
-    each = b.groupBy("session_id", "iter").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    return each.groupBy("session_id").agg(F.max("n").alias("n"), rd(F.avg("m")).alias("boot_mean"), rd(F.stddev_pop("m")).alias("boot_std"))
-
-
 # ---------------------------------------------------------------------- fields
 FIELD_OPTIONS = OPTIONS.but(field_min_peak=0.1, field_min_bins=4, field_min_mean=0.01)
 

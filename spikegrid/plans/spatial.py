@@ -158,10 +158,8 @@ def rate_map_smooth(spark, sf):
 
 
 @query("kernel_density", compose(f"""
-, cell AS (SELECT session_id, round(x / 1.0) * 1.0 AS px, round(y / 1.0) * 1.0 AS py, count(*) n FROM trk GROUP BY 1, 2, 3)
-SELECT session_id, g.r, g.c, {R('sum(n * exp(-(pow(px - (0.0 + g.c * 20.0), 2) + pow(100.0 - py - g.r * (100.0/15), 2)) / 200.0))', 6)} AS v
-FROM cell, grid g
-WHERE abs(px - g.c * 20.0) <= 50 AND abs(100.0 - py - g.r * (100.0/15)) <= 50 GROUP BY 1, 2, 3""", "trk", "grid"))
+SELECT session_id, g.r, g.c, {R('sum(exp(-(pow(x - g.c * 20.0, 2) + pow(100.0 - y - g.r * (100.0::DOUBLE / 15), 2)) / 200.0))', 6)} AS v
+FROM trk, grid g WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3""", "trk", "grid"))
 def kernel_density(spark, sf):
     return M.kernel_density(tracking(spark, sf), SESSION, ARENA, ROWS, COLS, 10.0).withColumn("v", rd("v", 6))
 

@@ -51,7 +51,9 @@ def read_tracking(spark: SparkSession, path: str, ppm: float, jump: float = 2.0,
     register(spark)
     raw = spark.read.format("recording_pos").load(path).withColumnRenamed("path", "session_id")
     rates = raw.groupBy("session_id").agg(F.first("sample_rate", True).alias("_rate"))
-    t = strip_trailing_missing(repair_time(raw.drop("sample_rate", "ppm"), settings=settings))
+    # the clock steps at each file's own rate
+    stepped = attach(raw.drop("sample_rate", "ppm"), rates.select("session_id", (1 / F.coalesce("_rate", F.lit(50.0))).alias("_step")), ["session_id"])
+    t = strip_trailing_missing(repair_time(stepped, "_step", settings).drop("_step"))
     t = to_cm(t, ppm).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     t0 = t.groupBy("session_id").agg(F.min("t").alias("_t0"))
     t = attach(t, t0, ["session_id"]).withColumn("t", F.col("t") - F.col("_t0")).drop("_t0")

@@ -8,7 +8,7 @@ import pytest
 
 from spikegrid.functions import map_scores
 from spikegrid.functions.expr import Extent
-from spikegrid.operators import asof, maps as M, null_maps as NM, nulls as N, relabel as RL, scores as C
+from spikegrid.operators import asof, distances as D, maps as M, null_maps as NM, nulls as N, relabel as RL, scores as C
 from spikegrid.operators.ordered import plan_chunks
 from spikegrid.settings import DEFAULT
 
@@ -103,3 +103,33 @@ def test_relabelling_in_chunks(spark):
     cut = RL.relabelled_distances(df, ["key"], 1.0, 600, settings=DEFAULT.but(rows_per_chunk=50)).where("key = 1").first()
     assert math.isclose(whole.observed, cut.observed) and len(cut.nulls) == 600
     assert abs(np.mean(whole.nulls) - np.mean(cut.nulls)) < 0.15 * np.mean(whole.nulls) and 0.7 < np.std(cut.nulls) / np.std(whole.nulls) < 1.4
+
+
+def test_relabelled_sliced(spark):
+    """Each relabelling against the operator for one pair of clouds; a pool above the limit is drawn otherwise but as wide."""
+    rng = random.Random(9)
+    rows = [(k, s, float(rng.randrange(6)), rng.random()) for k, s in enumerate("aabbbbaabab")]
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(2, 0, "a", 1.0, 1.0)], "key int, i long, side string, x double, y double")
+    u = D.lattice_projections(5)
+    got = RL.relabelled_sliced(df, ["key"], u, 7, 3).collect()
+    assert [r.key for r in got] == [1]
+    h, na = RL.hash32(np.arange(len(rows)), np.arange(7), 3), sum(r[1] == "a" for r in rows)
+    labels = [[r[1] for r in rows]] + [["a" if j in sorted(range(len(rows)), key=lambda j: (h[j, k], j))[:na] else "b" for j in range(len(rows))] for k in range(7)]
+    long = spark.createDataFrame([(k, lab[j], rows[j][2], rows[j][3], 1.0) for k, lab in enumerate(labels) for j in range(len(rows))], "k int, side string, x double, y double, w double")
+    want = {r.k: r.distance for r in D.sliced_distance(long, ["k"], u).collect()}
+    assert np.allclose([got[0].observed, *got[0].nulls], [want[k] for k in range(8)])
+    hot = RL.relabelled_sliced(df, ["key"], u, 7, 3, settings=DEFAULT.but(rows_per_chunk=5)).first()
+    assert math.isclose(hot.observed, got[0].observed) and len(hot.nulls) == 7 and all(0 <= v < 5 for v in hot.nulls)
+
+
+def test_bootstrap_means(spark):
+    rng = random.Random(2)
+    rows = [(1, k, rng.random()) for k in range(40)] + [(2, 5, 3.0), (3, 1, None)]
+    df = spark.createDataFrame(rows, "key int, i long, v double")
+    got = {r.key: r for r in N.bootstrap_means(df, ["key"], "i", "v", 200).collect()}
+    assert set(got) == {1, 2} and got[2].means == [3.0] * 200 and got[1].n == 40
+    v = np.array([r[2] for r in rows[:40]])
+    pick = RL.hash32(np.arange(40), np.arange(200), 0) % np.uint64(40)
+    assert np.allclose(got[1].means, v[pick].mean(axis=0)) and abs(np.std(got[1].means) / (v.std() / 40 ** 0.5) - 1) < 0.2
+    hot = {r.key: r for r in N.bootstrap_means(df, ["key"], "i", "v", 50, settings=DEFAULT.but(rows_per_chunk=10)).collect()}
+    assert set(hot) == {1, 2} and len(hot[1].means) == 50 and abs(np.mean(hot[1].means) - v.mean()) < 0.1
