@@ -125,17 +125,22 @@ def split_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(k[rows].view(np.int64)), pa.array(part.view(np.int64)), pa.array(fps[rows].view(np.int64))], ["k", "part", "fp"])
 
 
-def chain_holds(diff: np.ndarray) -> np.ndarray:
-    """Ring test on XORs: at some start, chains of 1 to 4 segments keep within 0 to 3."""
-    parts = np.stack([np.bitwise_count((diff >> np.uint64(16 * s)) & np.uint64(0xFFFF)) for s in range(4)])
+def within(diff: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """(row, column) of the XORs of at most ``limit`` bits, by growing chains of segments.
+
+    A pair within the limit has a start from which chains of 1, 2, 3 and 4 segments differ in
+    at most 0, 1, 2 and 3 bits. A chain that exceeds its budget ends the check of its pair at
+    this start; only pairs whose chain of three holds come to the whole distance."""
     good = np.zeros(diff.shape, bool)
     for s in range(4):
-        total, holds = parts[s].astype(np.uint8), parts[s] == 0
+        at = np.nonzero((diff >> np.uint64(16 * s)) & np.uint64(0xFFFF) == 0)
+        left, total = diff[at], np.zeros(len(at[0]), np.uint8)
         for length in range(1, 4):
-            total = total + parts[(s + length) % 4]
-            holds = holds & (total <= length)
-        good |= holds
-    return good
+            total = total + np.bitwise_count((left >> np.uint64(16 * ((s + length) % 4))) & np.uint64(0xFFFF))
+            holds = total <= (limit if length == 3 else length)
+            at, left, total = (at[0][holds], at[1][holds]), left[holds], total[holds]
+        good[at] = True
+    return np.nonzero(good)
 
 
 def forest(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +151,8 @@ def forest(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]
     root = np.arange(len(fps))
     left, right = [], []
     for k in range(0, len(fps), 256):
-        diff = fps[k:k + 256, None] ^ fps[None, :]
-        near = np.nonzero(np.bitwise_count(diff) <= 2 * limit)     # cheap look; the ring and the exact test follow
-        diff = diff[near]
-        good = chain_holds(diff)
-        good[good] = np.bitwise_count(diff[good]) <= limit
-        x, y = near[0][good] + k, near[1][good]
+        x, y = within(fps[k:k + 256, None] ^ fps[None, :], limit)
+        x = x + k
         cut = np.searchsorted(x, np.arange(k, min(k + 256, len(fps)) + 1))
         for i in range(len(cut) - 1):
             links = y[cut[i]:cut[i + 1]]
@@ -189,19 +190,10 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     rows = saved(with_fingerprints(docs), "fingerprints")
     heads = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-heads")
-    found = links(heads.select("fp"), bucket)
-    named = heads.where("head IS NOT NULL")
-    edges = found.join(named.toDF("a", "a_head"), "a").join(named.toDF("b", "b_head"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    joined = components(edges)
-    heads = heads.join(joined.withColumnRenamed("node", "head"), "head", "left")
-    heads = heads.select("fp", F.coalesce("component", "head").alias("component_id"))
+    # components of fingerprints: one without an id is a bridge like any other
+    joined = components(links(heads.select("fp"), bucket)).withColumnRenamed("node", "fp")
+    heads = heads.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
+    heads = heads.join(least, "component").select("fp", "component_id")
     out = rows.join(heads, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """One document of each component: that with the smallest id (of rows that repeat
-    the id, one). Documents with a null id are kept."""
-    first = near_duplicates(docs, bucket).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

@@ -236,8 +236,25 @@ def test_simhash(docs, rows, nothing):
     for bucket in (2000, 2):            # 2: every shared key is split
         assert sorted_rows(simhash.near_duplicates(docs, bucket).collect()) == sorted_rows(want)
     assert simhash.near_duplicates(nothing).collect() == []
-    kept = simhash.keep_first(docs)
-    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({c for i, _, c in want if i is not None})
+
+
+def test_simhash_bridges_without_id(spark, monkeypatch):
+    """Fingerprints 0, 1 and 2 lie within the limit, 7 and 8 from both ends of another chain; one in
+    the middle has no id, another text repeats an id of an unrelated one."""
+    fps = [(5, 1), (None, 0), (9, 2), (4, 1 << 40), (9, 0x7 << 50 | 1 << 40), (None, 0x3F << 50 | 1 << 40), (3, 0xFFFF << 16), (3, 0x5555 << 33)]
+    table = spark.createDataFrame(fps, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs: docs)
+    got = simhash.near_duplicates(table).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 4), (0, 4), (3, 3), (3, 3), (4, 4), (5, 4), (9, 4), (9, 4)]
+
+
+def test_simhash_chains_prune():
+    """Every pair within three bits survives the chains, none beyond does."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.concatenate([base, *[base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, False))) for n in (1, 2, 3, 3, 4, 4, 5)]])
+    x, y = simhash.within(fps[:, None] ^ fps[None, :])
+    assert set(zip(x.tolist(), y.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))))
 
 
 def test_simhash_links_are_whole(spark):
