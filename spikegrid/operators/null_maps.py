@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spikegrid.functions import map_scores
 from spikegrid.functions.expr import Extent, grid_col, grid_row
+from spikegrid.operators.maps import spread
 from spikegrid.operators.ordered import Ordered, attach
 from spikegrid.settings import DEFAULT, Settings
 
@@ -86,7 +87,7 @@ def shifted_counts(spk: DataFrame, moving: DataFrame, ext: Extent, rows: int, co
 
     ``spk``: session_id, unit, i, t.  ``moving``: session_id, i, t, x, y."""
     tracked, chunked = _pieces(moving, ext, rows, cols, settings)
-    met = attach(_trains(spk, limit, settings), tracked, SESSION)
+    met = spread(attach(_trains(spk, limit, settings), tracked, SESSION), UNIT)
     given, cells = np.asarray(shares, float), rows * cols
     kinds = {c: met.schema[c].dataType.simpleString() for c in UNIT}
 
@@ -132,7 +133,7 @@ def map_null_scores(counts: DataFrame, occ: DataFrame, rows: int, cols: int, gri
             out.append([{"iter": int(k), "v": [None if np.isnan(x) else float(x) for x in s]} for k, s in zip(own, values)])
         return pd.Series(out)
 
-    met = attach(counts, seen, SESSION).select(*UNIT, run("iters", "bins", "counts", "_b", "_v").alias("s"))
+    met = spread(attach(counts, seen, SESSION), [*UNIT, "part"]).select(*UNIT, run("iters", "bins", "counts", "_b", "_v").alias("s"))
     met = met.select(*UNIT, F.explode_outer("s").alias("s")).where("s IS NOT NULL")
     return met.select(*UNIT, F.col("s.iter").alias("iter"), *[F.col("s.v")[k].alias(n) for k, n in enumerate(names)])
 

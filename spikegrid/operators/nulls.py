@@ -159,6 +159,7 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], row_key: str, value: str
     Draw j of iteration k takes the row with number hash(j, k) mod n; rows are numbered from
     0 by ``row_key``.  No row is copied: a key's values are packed once, and its resamples are
     index arrays in the task.  Keys above ``rows_per_chunk`` rows go through :func:`bootstrap`."""
+    from spikegrid.operators.maps import spread
     from spikegrid.operators.relabel import CELLS, hash32
 
     n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -177,7 +178,7 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], row_key: str, value: str
             out.append(np.concatenate(parts))
         return pd.Series(out)
 
-    small = packed.select(*keys, F.size("_v").cast("long").alias("n"), run("_v").alias("means"))
+    small = spread(packed, keys).select(*keys, F.size("_v").cast("long").alias("n"), run("_v").alias("means"))
     many = rows.where(F.col("n") > settings.rows_per_chunk).drop("n")
     if not many.take(1):
         return small

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spikegrid.operators.maps import spread
 from spikegrid.operators.ordered import Ordered, attach
 from spikegrid.settings import DEFAULT, Settings
 
@@ -116,7 +117,7 @@ def relabelled_distances(points: DataFrame, keys: Sequence[str], bin_size: float
                 found.append(_distances(i, is_a, bins, follows, na, nb, before, before_a, own, take, seed))
             yield pa.RecordBatch.from_arrays([*[col[c] for c in keys], pa.array([f.tolist() for f in found], pa.list_(pa.float64()))], [*keys, "_d"])
 
-    out = packed.mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, _d array<double>")
+    out = spread(packed, group).mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, _d array<double>")
     if o.chunked:
         each = out.select(*keys, F.posexplode("_d").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v"))
         out = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("_d"))
@@ -174,7 +175,7 @@ def relabelled_sliced(points: DataFrame, keys: Sequence[str], directions, iterat
                 found.append(_sliced(i, a.astype(bool), x, y, u, iterations, seed, p).tolist())
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keys], pa.array(found, pa.list_(pa.float64()))], [*keys, "_d"])
 
-    out = pools.repartition(*keys).mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, _d array<double>")
+    out = spread(pools, keys).mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, _d array<double>")
     out = out.select(*keys, F.col("_d")[0].alias("observed"), F.slice("_d", 2, iterations).alias("nulls"))
     hot = rows.where(large).drop("_na", "_nb")
     if not hot.take(1):

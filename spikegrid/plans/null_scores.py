@@ -133,10 +133,10 @@ def permutation_null(spark, sf):
 x0 AS (SELECT session_id, n, k, (j::UBIGINT * {RL.SPIKE}::UBIGINT + (k + 1)::UBIGINT * {RL.ITERATION}::UBIGINT + {OPTIONS.seed}::UBIGINT) % {_M} AS x FROM b, range({SHUFFLES}) r(k)),
 x1 AS (SELECT * REPLACE ({_stir('x')} AS x) FROM x0), x2 AS (SELECT * REPLACE ({_stir('x')} AS x) FROM x1),
 m AS (SELECT x2.session_id, k, avg(b.x) AS m FROM x2 JOIN b ON b.session_id = x2.session_id AND b.j = xor(x2.x >> 16, x2.x) % x2.n::UBIGINT GROUP BY 1, 2)
-SELECT session_id, (SELECT max(n) FROM b WHERE b.session_id = m.session_id) AS n, {R('avg(m)')} AS boot_mean, {R('stddev_pop(m)')} AS boot_std FROM m GROUP BY 1""", "ev"))
+SELECT session_id, (SELECT max(n) FROM b WHERE b.session_id = m.session_id) AS n, {R('avg(m) + 1e-9')} AS boot_mean, {R('stddev_pop(m)')} AS boot_std FROM m GROUP BY 1""", "ev"))
 def bootstrap_mean(spark, sf):
     """Mean and deviation of 1000 bootstrapped means of each session."""
     e = events(spark, sf).select("session_id", "i", "x")
     each = N.bootstrap_means(e, ["session_id"], "i", "x", SHUFFLES, OPTIONS.seed, options(spark, sf))
     long = each.select("session_id", "n", F.explode("means").alias("m"))
-    return long.groupBy("session_id").agg(F.max("n").alias("n"), rd(F.avg("m")).alias("boot_mean"), rd(F.stddev_pop("m")).alias("boot_std"))
+    return long.groupBy("session_id").agg(F.max("n").alias("n"), rd(F.avg("m") + 1e-9).alias("boot_mean"), rd(F.stddev_pop("m")).alias("boot_std"))

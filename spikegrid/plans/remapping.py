@@ -19,7 +19,7 @@ WEEK = 604_800.0
 CELL = ["animal_id", "session_no", "cell"]
 LINK = ["animal_id", "cell", "prev_no", "session_no"]
 HEIGHT, WIDTH = ARENA.y_hi - ARENA.y_lo, ARENA.x_hi - ARENA.x_lo
-DIRECTIONS = D.lattice_projections(8)
+DIRECTIONS = D.lattice_projections(OPTIONS.n_projections)
 SHARES = N.lattice_shares(20)
 LIMIT = 3_600.0
 
@@ -293,7 +293,7 @@ def _null(spark, sf):
 @query("remapping_scores", compose(NULL_SQL + f"""
 o2 AS (SELECT ob.*, st.n, st.mu, st.sd, st.med, ma.mad FROM ob JOIN st USING ({_NK}) JOIN ma USING ({_NK}))
 SELECT {_L}, {R('d', 6)} AS whole_wass, n AS null_n, {R('mu')} AS base_mean, {R('sd')} AS base_std, {R('CASE WHEN sd > 1e-9 THEN (d - mu) / sd END', 3)} AS z_score,
-  {R('med', 8)} AS median, {R('mad')} AS mad, {R('0.6745 * (d - med) / CASE WHEN mad = 0 THEN 1 ELSE mad END', 3)} AS mod_z_score FROM o2""",
+  {R('med', 8)} AS median, {R('mad + 1e-9')} AS mad, {R('0.6745 * (d - med) / CASE WHEN mad = 0 THEN 1 ELSE mad END', 3)} AS mod_z_score FROM o2""",
     "nwhole", "whole"))
 def remapping_scores(spark, sf):
     key = ["animal_id", "prev_no", "session_no"]
@@ -301,7 +301,7 @@ def remapping_scores(spark, sf):
     s = N.with_scores(_observed(spark, sf), stats, key)
     return s.select(
         *LINK, rd("value", 6).alias("whole_wass"), F.col("null_n"), rd("null_mean").alias("base_mean"), rd("null_std").alias("base_std"),
-        F.when(F.col("null_std") > 1e-9, rd("z", 3)).alias("z_score"), rd("null_median", 8).alias("median"), rd("null_mad").alias("mad"),
+        F.when(F.col("null_std") > 1e-9, rd("z", 3)).alias("z_score"), rd("null_median", 8).alias("median"), rd(F.col("null_mad") + 1e-9).alias("mad"),
         rd("mod_z", 3).alias("mod_z_score"))
 
 
