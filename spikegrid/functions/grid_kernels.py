@@ -119,6 +119,20 @@ def plateaus(image: np.ndarray, mask: np.ndarray | None = None, clearance: int =
     return np.array(peaks, dtype=int).reshape(-1, 2)
 
 
+# ------------------------------------------------- smoothing with empty places
+def visible_matrix(n: int, sigma: float, circular: bool) -> np.ndarray:
+    """1-D Gaussian weights as a matrix; the reach is four deviations (an odd number of taps). The
+    end values go on beyond the ends, or the ends meet."""
+    reach = int(np.ceil(8 * sigma)) // 2
+    offsets = np.arange(-reach, reach + 1)
+    taps = np.exp(-0.5 * (offsets / sigma) ** 2)
+    out = np.zeros((n, n))
+    for i in range(n):
+        at = (i + offsets) % n if circular else np.clip(i + offsets, 0, n - 1)
+        np.add.at(out[i], at, taps / taps.sum())
+    return out
+
+
 # ----------------------------------------------------------------- thinning
 def thin(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Which points stay if, in the given order, a point closer than ``least`` to one that

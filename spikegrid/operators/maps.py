@@ -235,6 +235,32 @@ def smooth_rate(
     return out.select(*keys, scaled.alias("rate"))
 
 
+def smooth_visible(packed: DataFrame, keys: Sequence[str], column: str, rows: int, cols: int, sigma: float, circular: bool = False,
+                   fill: float | str | None = "keep") -> DataFrame:
+    """Gaussian smoothing of dense arrays with nulls where a map is masked (rows = 1: a line or ring).
+
+    A masked bin gives nothing to its neighbours; weights are shared among the visible ones, and a
+    bin that sees none stays null. In the result a masked bin is null again (``fill`` 'keep'),
+    holds the smoothed value of its surroundings (None), or a given number."""
+    left, right = gk.visible_matrix(rows, sigma, circular) if rows > 1 else np.ones((1, 1)), gk.visible_matrix(cols, sigma, circular)
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            m = np.array([np.nan if x is None else x for x in v], float).reshape(rows, cols)
+            seen = ~np.isnan(m)
+            weight = left @ seen.astype(float) @ right.T
+            total = left @ np.where(seen, m, 0.0) @ right.T
+            smooth = np.divide(total, weight, out=np.full(m.shape, np.nan), where=weight > 1e-12)
+            if fill is not None:
+                smooth[~seen] = np.nan if fill == "keep" else fill
+            out.append([None if np.isnan(x) else float(x) for x in smooth.ravel()])
+        return pd.Series(out)
+
+    return packed.select(*keys, run(column).alias(column))
+
+
 def dense_bins(cols: str) -> Column:
     """Bin numbers that go with a dense array column (for ``map_kernel``)."""
     return F.sequence(F.lit(0), F.size(cols) - 1)

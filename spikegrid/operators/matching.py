@@ -142,39 +142,47 @@ def unmatched(units: DataFrame, matches: DataFrame, key: Sequence[str], side: st
     return units.join(matches.select(*key, side), [*key, side], "left_anti")
 
 
+def chain_roots(matches: DataFrame, site: Sequence[str]) -> DataFrame:
+    """(site, session_no, label, root_no, root_label): the first unit of the chain of each matched unit.
+
+    A match points from a unit to its partner in the session before. Pointers are doubled by
+    joining the table with itself, so a chain of n sessions takes log2(n) joins and no site is
+    folded in one task."""
+    at = ["session_no", "label"]
+    down = matches.select(*site, "session_no", F.col("unit_b").alias("label"), F.col("prev_no").alias("root_no"), F.col("unit_a").alias("root_label"))
+    first = down.select(*site, F.col("root_no").alias("session_no"), F.col("root_label").alias("label")).join(down.select(*site, *at), [*site, *at], "left_anti")
+    ends = first.select(*site, *at, F.col("session_no").alias("root_no"), F.col("label").alias("root_label"))
+    known = computed_once(down.unionByName(ends))
+    longest = matches.select("session_no").distinct().count() + 1
+    for _ in range(max(1, (longest - 1).bit_length())):
+        further = known.select(*site, F.col("session_no").alias("root_no"), F.col("label").alias("root_label"),
+                               F.col("root_no").alias("_no"), F.col("root_label").alias("_label"))
+        known = known.join(further, [*site, "root_no", "root_label"], "left")
+        known = computed_once(known.select(*site, *at, F.coalesce("_no", "root_no").alias("root_no"), F.coalesce("_label", "root_label").alias("root_label")))
+    return known
+
+
 def chain_ids(matches: DataFrame, units: DataFrame, site: Sequence[str]) -> DataFrame:
     """Global unit numbers over all sessions of a site.
 
     Matches of consecutive sessions form chains.  Chains are numbered by their mean
     distance from 1; after a gap of one number the units without any match follow.
-    ``units``: site, session_no, label.  Result: site, session_no, label, global_id.
-    A site contributes a few rows per session, which one task per site folds.
+    ``units``: site, session_no, label.  Result: site, session_no, label, global_id,
+    chain_distance (mean over the chain's matches, null for a unit without any).
     """
-    kinds = dict(units.dtypes)
-    m = matches.select(*site, "prev_no", "session_no", "unit_a", "unit_b", "distance")
-    u = units.select(*site, "session_no", "label")
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*site, "session_no", "label"]) + ", global_id int"
-
-    def fold(mp: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
-        chain, dist = {}, {}
-        for r in mp.sort_values(["session_no", "unit_b"]).itertuples():
-            c = chain.get((r.prev_no, r.unit_a), (r.prev_no, r.unit_a))
-            chain[(r.prev_no, r.unit_a)] = chain[(r.session_no, r.unit_b)] = c
-            dist.setdefault(c, []).append(r.distance)
-        order = sorted(dist, key=lambda c: (np.mean(dist[c]), c))
-        number = {c: k + 1 for k, c in enumerate(order)}
-        nxt, out = len(order) + 1, []
-        for r in up.sort_values(["session_no", "label"]).itertuples():
-            c = chain.get((r.session_no, r.label))
-            if c is None:
-                nxt += 1
-            out.append((r.session_no, r.label, number[c] if c is not None else nxt))
-        res = pd.DataFrame(out, columns=["session_no", "label", "global_id"])
-        for k in site:
-            res[k] = up[k].iloc[0]
-        return res[[*site, "session_no", "label", "global_id"]]
-
-    return m.groupBy(*site).cogroup(u.groupBy(*site)).applyInPandas(fold, schema)
+    at, root = ["session_no", "label"], ["root_no", "root_label"]
+    matches = computed_once(matches)        # one row per matched unit
+    roots = chain_roots(matches, site)
+    links = matches.select(*site, "session_no", F.col("unit_b").alias("label"), "distance").join(roots, [*site, *at])
+    means = links.groupBy(*site, *root).agg(F.avg("distance").alias("chain_distance"))
+    order = F.row_number().over(Window.partitionBy(*site).orderBy("chain_distance", *root))     # a row for each chain of a site
+    means = means.withColumn("_id", order)
+    count = means.groupBy(*site).agg(F.max("_id").alias("_chains"))
+    known = units.select(*site, *at).join(roots.join(means, [*site, *root]).select(*site, *at, "_id", "chain_distance"), [*site, *at], "left")
+    known = known.join(count, list(site), "left")
+    alone = F.sum(F.col("_id").isNull().cast("int")).over(Window.partitionBy(*site).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))
+    number = F.coalesce(F.col("_id"), F.coalesce("_chains", F.lit(0)) + 1 + alone).cast("int")
+    return known.select(*site, *at, number.alias("global_id"), "chain_distance")
 
 
 def relabel(spikes: DataFrame, mapping: DataFrame, key: Sequence[str], keep_unknown: bool = False) -> DataFrame:

@@ -17,8 +17,18 @@ def _sides(cond_a: Column, e: Column, agg=F.sum):
     return agg(F.when(cond_a, e)), agg(F.when(~cond_a, e))
 
 
-def welch_t(df: DataFrame, value: str, side_a: Column, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """Unequal-variance t of two sides, optionally weighted (weights as frequencies)."""
+def one_sided(p_two: Column, statistic: Column, alternative: str) -> Column:
+    """The p value of one side from that of both, for a symmetric distribution."""
+    if alternative == "two-sided":
+        return p_two
+    towards = statistic > 0 if alternative == "greater" else statistic < 0
+    return F.when(towards, p_two / 2).otherwise(1 - p_two / 2)
+
+
+def welch_t(df: DataFrame, value: str, side_a: Column, keys: Sequence[str] = (), weight: Column | None = None,
+            alternative: str = "two-sided") -> DataFrame:
+    """Unequal-variance t of two sides, optionally weighted (weights as frequencies).
+    ``alternative``: 'two-sided', or side a is 'greater' or 'less'."""
     w = weight if weight is not None else F.lit(1.0)
     v = F.col(value)
     aggs = []
@@ -33,14 +43,14 @@ def welch_t(df: DataFrame, value: str, side_a: Column, keys: Sequence[str] = (),
     dof = se * se / (F.col("_ea") * F.col("_ea") / (F.col("na") - 1) + F.col("_eb") * F.col("_eb") / (F.col("nb") - 1))
     out = m.select(*keys, F.col("_ma").alias("mean_a"), F.col("_mb").alias("mean_b"),
                    ((F.col("_ma") - F.col("_mb")) / F.sqrt(se)).alias("t"), dof.alias("dof"))
-    return out.withColumn("p_value", t_two_sided("t", "dof"))
+    return out.withColumn("p_value", one_sided(t_two_sided("t", "dof"), F.col("t"), alternative))
 
 
-def one_sample_t(df: DataFrame, value: Column, mean: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+def one_sample_t(df: DataFrame, value: Column, mean: float = 0.0, keys: Sequence[str] = (), alternative: str = "two-sided") -> DataFrame:
     """t of a mean against a constant; a paired test passes the difference as ``value``."""
     m = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"))
     out = m.select(*keys, "n", "mean", safe_div(F.col("mean") - F.lit(float(mean)), F.col("_sd") / F.sqrt("n")).alias("t"))
-    return out.withColumn("p_value", t_two_sided("t", F.col("n") - 1))
+    return out.withColumn("p_value", one_sided(t_two_sided("t", F.col("n") - 1), F.col("t"), alternative))
 
 
 def mann_whitney(df: DataFrame, value: str, side_a: Column, keys: Sequence[str] = (), settings: Settings = DEFAULT) -> DataFrame:
@@ -66,7 +76,7 @@ def mann_whitney(df: DataFrame, value: str, side_a: Column, keys: Sequence[str]
 
 
 def wilcoxon(df: DataFrame, difference: Column, keys: Sequence[str] = (), settings: Settings = DEFAULT) -> DataFrame:
-    """Signed-rank sums of non-zero differences."""
+    """Signed-rank sums of non-zero differences, with the tie-corrected normal approximation."""
     d = df.select(*keys, difference.alias("_d")).where("_d <> 0").withColumn("_abs", F.abs("_d"))
     plus = F.col("_d") > 0
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
@@ -74,7 +84,12 @@ def wilcoxon(df: DataFrame, difference: Column, keys: Sequence[str] = (), settin
     both = F.col("np") + F.col("nm")
     r = Ordered(counts, keys, ["_abs"], settings).running({"_cum": both}).df
     rank = F.col("_cum") - (both - 1) / 2.0
-    return r.groupBy(*keys).agg(F.sum(both).alias("n"), F.sum(F.col("np") * rank).alias("w_plus"), F.sum(F.col("nm") * rank).alias("w_minus"))
+    b, n = both.cast("double"), F.col("n").cast("double")
+    m = r.groupBy(*keys).agg(F.sum(both).alias("n"), F.sum(F.col("np") * rank).alias("w_plus"), F.sum(F.col("nm") * rank).alias("w_minus"),
+                             F.sum(b * b * b - b).alias("_tie"))
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie") / 48)
+    m = m.withColumn("z", safe_div(F.col("w_plus") - n * (n + 1) / 4, sd)).drop("_tie")
+    return m.withColumn("p_value", normal_two_sided("z"))
 
 
 def weighted_ks(df: DataFrame, value: str, side_a: Column, weight: Column, keys: Sequence[str] = (), settings: Settings = DEFAULT) -> DataFrame:

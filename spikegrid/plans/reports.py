@@ -193,7 +193,48 @@ WITH d AS (SELECT l_returnflag, l_quantity - 25 AS d FROM lineitem WHERE l_quant
 r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_returnflag, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d)
 SELECT l_returnflag, count(*) AS n, sum(rk) FILTER (d > 0) AS w_plus, sum(rk) FILTER (d < 0) AS w_minus FROM r GROUP BY 1""")
 def wilcoxon(spark, sf):
-    return ST.wilcoxon(_li(spark, sf, "l_quantity"), F.col("l_quantity") - 25, ["l_returnflag"], OPTIONS)
+    return ST.wilcoxon(_li(spark, sf, "l_quantity"), F.col("l_quantity") - 25, ["l_returnflag"], OPTIONS).select("l_returnflag", "n", "w_plus", "w_minus")
+
+
+# p values by Simpson's rule over the densities
+_HALF_AREA = "(SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {density}) * abs(v) / 4000 / 3 FROM range(4001) s(k))"
+_T_AREA = _HALF_AREA.format(density="exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + pow(k * abs(v) / 4000, 2) / dof, -(dof + 1) / 2)")
+_Z_AREA = _HALF_AREA.format(density="exp(-0.5 * pow(k * abs(v) / 4000, 2)) / sqrt(2 * pi())")
+
+
+@query("test_p_values", f"""
+WITH l AS (SELECT *, l_extendedprice AS x, l_returnflag = 'R' AS a FROM lineitem WHERE l_linenumber = 1),
+w AS (SELECT sum(w) FILTER (a) na, sum(w) FILTER (NOT a) nb, sum(w * x) FILTER (a) sa, sum(w * x) FILTER (NOT a) sb, sum(w * x * x) FILTER (a) qa, sum(w * x * x) FILTER (NOT a) qb, kind
+  FROM (SELECT a, x, 1.0::DOUBLE AS w, 'welch' AS kind FROM l UNION ALL SELECT a, x, l_quantity, 'welch_weighted' FROM l) GROUP BY kind),
+e AS (SELECT kind, sa / na AS ma, sb / nb AS mb, (qa - sa * sa / na) / (na - 1) / na AS ea, (qb - sb * sb / nb) / (nb - 1) / nb AS eb, na, nb FROM w),
+t AS (SELECT kind, (ma - mb) / sqrt(ea + eb) AS v, pow(ea + eb, 2) / (ea * ea / (na - 1) + eb * eb / (nb - 1)) AS dof FROM e
+  UNION ALL SELECT 'one_sample', (avg(l_discount) - 0.0502) / (stddev_samp(l_discount) / sqrt(count(*))), count(*) - 1 FROM l
+  UNION ALL SELECT 'paired', avg(l_discount - l_tax - 0.0101) / (stddev_samp(l_discount - l_tax - 0.0101) / sqrt(count(*))), count(*) - 1 FROM l),
+p AS (SELECT kind, v, 1 - 2 * {_T_AREA} AS p FROM t),
+r AS (SELECT a, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rk FROM l),
+mw AS (SELECT count(*) FILTER (a)::DOUBLE na, count(*) FILTER (NOT a)::DOUBLE nb, sum(rk) FILTER (a) ra, (SELECT sum(c * c * c - c) FROM (SELECT count(*)::DOUBLE c FROM l GROUP BY x)) tie FROM r),
+d AS (SELECT l_quantity - 25.3 AS d FROM l),
+dr AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d),
+wx AS (SELECT count(*)::DOUBLE n, sum(rk) FILTER (d > 0) wp, (SELECT sum(c * c * c - c) FROM (SELECT count(*)::DOUBLE c FROM d GROUP BY abs(d))) tie FROM dr),
+z AS (SELECT 'mann_whitney' AS kind, (ra - na * (na + 1) / 2 - na * nb / 2) / sqrt(na * nb / 12 * (na + nb + 1 - tie / ((na + nb) * (na + nb - 1)))) AS v FROM mw
+  UNION ALL SELECT 'wilcoxon', (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) FROM wx)
+SELECT kind AS test, {R('v', 5)} AS statistic, {R('p', 5)} AS p_value FROM p
+UNION ALL SELECT kind || '_greater', {R('v', 5)}, {R('CASE WHEN v > 0 THEN p / 2 ELSE 1 - p / 2 END', 5)} FROM p WHERE kind IN ('welch', 'one_sample')
+UNION ALL SELECT kind, {R('v', 5)}, {R(f'1 - 2 * {_Z_AREA}', 5)} FROM z""")
+def test_p_values(spark, sf):
+    """Statistics and p values of the two-sample, one-sample, paired and rank tests over the first line of every order."""
+    l = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_extendedprice", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    sides = (l, "l_extendedprice", _returned())
+    found = {
+        "welch": ST.welch_t(*sides), "welch_weighted": ST.welch_t(*sides, weight=F.col("l_quantity")), "welch_greater": ST.welch_t(*sides, alternative="greater"),
+        "one_sample": ST.one_sample_t(l, F.col("l_discount"), 0.0502), "one_sample_greater": ST.one_sample_t(l, F.col("l_discount"), 0.0502, alternative="greater"),
+        "paired": ST.one_sample_t(l, F.col("l_discount") - F.col("l_tax"), 0.0101),
+        "mann_whitney": ST.mann_whitney(*sides, settings=OPTIONS), "wilcoxon": ST.wilcoxon(l, F.col("l_quantity") - 25.3, settings=OPTIONS)}
+    rows = [d.select(F.lit(k).alias("test"), rd("z" if "z" in d.columns else "t", 5).alias("statistic"), rd("p_value", 5).alias("p_value")) for k, d in found.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("weighted_ks", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from spikegrid.functions import grid_kernels as gk
@@ -351,3 +353,47 @@ def autocorrelogram(spark, sf):
 @query("grid_score")
 def grid_score(spark, sf):
     return C.grid_score(dense_rate(spark, sf), UNIT, "rate", ROWS, COLS)
+
+
+# ------------------------------------------------- smoothing with empty places
+RING, SIGMA_RING, SIGMA_MAP = OPTIONS.tuning_bins, 1.5, 1.0
+
+
+def _taps(n: int, sigma: float, circular: bool) -> str:
+    reach = -(-int(8 * sigma) // 2) if sigma * 8 == int(sigma * 8) else int(8 * sigma + 1) // 2
+    to = f"(i.k + d.k + {n}) % {n}" if circular else f"greatest(0, least({n - 1}, i.k + d.k))"
+    return (f"SELECT CAST(i.k AS INTEGER) AS dst, CAST({to} AS INTEGER) AS src, sum(exp(-0.5 * pow(d.k / {sigma!r}::DOUBLE, 2))) AS w "
+            f"FROM range({n}) i(k), range(-{reach}, {reach + 1}) d(k) GROUP BY 1, 2")
+
+
+part("ringtap", (), _taps(RING, SIGMA_RING, True))
+part("ring", ("trk", "head"), f"""
+  SELECT session_id, CAST(least(floor(heading / (2 * pi() / {RING})), {RING - 1}) AS INTEGER) AS bin, count(*)::DOUBLE AS n FROM head GROUP BY 1, 2""")
+
+
+@query("ring_smooth", compose(f"""
+SELECT r.session_id, t.dst AS bin, {R('sum(t.w * r.n) / sum(t.w)')} AS v FROM ring r JOIN ringtap t ON t.src = r.bin GROUP BY 1, 2""", "ring", "ringtap"))
+def ring_smooth(spark, sf):
+    """Samples per heading, smoothed around the circle; headings never seen get the value of their surroundings."""
+    head = T.with_heading(tracking(spark, sf), options(spark, sf))
+    n = head.where("heading IS NOT NULL").groupBy(*SESSION, F.least(F.floor(F.col("heading") / F.lit(2 * math.pi / RING)), F.lit(RING - 1)).cast("int").alias("c")).agg(
+        F.count(F.lit(1)).cast("double").alias("v")).withColumn("r", F.lit(0))
+    ring = M.dense(M.pack(n, SESSION, RING), SESSION, 1, RING, "v", normalise=False)
+    ring = ring.withColumn("v", F.transform("v", lambda x: F.when(x > 0, x)))
+    s = M.smooth_visible(ring, SESSION, "v", 1, RING, SIGMA_RING, circular=True, fill=None)
+    return M.unpack(s, SESSION, "v", RING).where("v IS NOT NULL").select(*SESSION, F.col("c").alias("bin"), rd("v").alias("v"))
+
+
+part("maptap", (), _taps(ROWS, SIGMA_MAP, False))
+
+
+@query("masked_smooth", compose(f"""
+, s AS (SELECT o.session_id, a.dst AS r, b.dst AS c, sum(a.w * b.w * o.v) / sum(a.w * b.w) AS v FROM occ o JOIN maptap a ON a.src = o.r JOIN maptap b ON b.src = o.c GROUP BY 1, 2, 3)
+SELECT s.session_id, s.r, s.c, {R('s.v', 3)} AS v FROM s JOIN occ o ON o.session_id = s.session_id AND o.r = s.r AND o.c = s.c""", "occ", "maptap"))
+def masked_smooth(spark, sf):
+    """Occupancy smoothed over the visited bins alone; bins never visited stay empty."""
+    d = M.pack(occupancy(spark, sf), SESSION, COLS)
+    seen = d.withColumn("_at", F.map_from_arrays("bins", "vals")).select(
+        *SESSION, F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda b: F.try_element_at("_at", b)).alias("v"))
+    s = M.smooth_visible(seen, SESSION, "v", ROWS, COLS, SIGMA_MAP)
+    return M.unpack(s, SESSION, "v", COLS).where("v IS NOT NULL").withColumn("v", rd("v", 3))

@@ -199,7 +199,8 @@ def unit_matches(spark, sf):
 def global_units(spark, sf):
     w = waves(spark, sf)
     m = MT.match_units(jsd(spark, sf), PAIR)
-    return MT.chain_ids(m, w.select(*SITE, "session_no", "label").distinct(), SITE)
+    ids = MT.chain_ids(m, w.select(*SITE, "session_no", "label").distinct(), SITE)
+    return ids.withColumn("chain_distance", rd("chain_distance", 6))
 
 
 @query("label_remap")
@@ -262,3 +263,35 @@ def knn_divergence(spark, sf):
     """Divergence of the units of two sessions over whole waveforms, by nearest neighbours."""
     k = DV.neighbour_divergence(unit_mixtures(spark, sf), SIDES, CH * LEN)
     return k.select(*SIDES, *[rd(c).alias(c) for c in ("kl_a", "kl_b", "jsd")])
+
+
+# --------------------------------------------------- chains over many sessions
+SESSIONS = 4
+part("um4", (), f"""
+  SELECT CAST(vec_id // {SESSIONS} % {SITES} AS INTEGER) AS site, CAST(vec_id % {SESSIONS} + 1 AS INTEGER) AS session_no, label, pos, avg(v) AS v
+  FROM (SELECT vec_id, label, unnest(range(0, {CH * LEN})) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY 1, 2, 3, 4""")
+part("best4", ("um4",), """
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY site, session_no, unit_a ORDER BY distance, unit_b) ra, row_number() OVER (PARTITION BY site, session_no, unit_b ORDER BY distance, unit_a) rb FROM (
+      SELECT a.site, a.session_no AS prev_no, b.session_no, a.label AS unit_a, b.label AS unit_b, avg((a.v - b.v) * (a.v - b.v)) AS distance
+      FROM um4 a JOIN um4 b ON a.site = b.site AND b.session_no = a.session_no + 1 AND a.pos = b.pos GROUP BY 1, 2, 3, 4, 5)) WHERE ra = 1 AND rb = 1""")
+part("chained", ("best4",), """
+  SELECT m.site, m.prev_no AS session_no, m.unit_a AS label, m.prev_no AS root_no, m.unit_a AS root_label FROM best4 m
+  WHERE NOT EXISTS (SELECT 1 FROM best4 e WHERE e.site = m.site AND e.session_no = m.prev_no AND e.unit_b = m.unit_a)
+  UNION ALL SELECT c.site, m.session_no, m.unit_b, c.root_no, c.root_label FROM chained c JOIN best4 m ON m.site = c.site AND m.prev_no = c.session_no AND m.unit_a = c.label""")
+
+
+@query("unit_chains", compose(f"""
+, mean AS (SELECT c.site, root_no, root_label, avg(distance) AS d FROM chained c JOIN best4 m ON m.site = c.site AND m.session_no = c.session_no AND m.unit_b = c.label GROUP BY 1, 2, 3),
+num AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d, root_no, root_label) AS id, count(*) OVER (PARTITION BY site) AS chains FROM mean),
+u AS (SELECT DISTINCT site, session_no, label FROM um4),
+j AS (SELECT u.*, n.id, n.d, (SELECT max(chains) FROM num WHERE num.site = u.site) AS chains FROM u LEFT JOIN chained c ON c.site = u.site AND c.session_no = u.session_no AND c.label = u.label
+      LEFT JOIN num n ON n.site = c.site AND n.root_no = c.root_no AND n.root_label = c.root_label)
+SELECT site, session_no, label, CAST(coalesce(id, coalesce(chains, 0) + 1 + sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY session_no, label ROWS UNBOUNDED PRECEDING)) AS INTEGER) AS global_id,
+  {R('d', 8)} AS chain_distance FROM j""", "chained").replace("WITH ", "WITH RECURSIVE ", 1))
+def unit_chains(spark, sf):
+    """Units followed over four sessions of three sites by mutual best matches of their mean waveforms."""
+    w = waves(spark, sf).withColumns({"site": (F.floor(F.col("spike_idx") / SESSIONS) % SITES).cast("int"), "session_no": (F.col("spike_idx") % SESSIONS + 1).cast("int")})
+    m = MT.mutual_best(MT.mean_square_difference(w, session_pairs(w), SITE), PAIR)
+    ids = MT.chain_ids(m, w.select(*SITE, "session_no", "label").distinct(), SITE)
+    return ids.withColumn("chain_distance", rd("chain_distance", 8))

@@ -108,11 +108,48 @@ def test_chains(spark):
     ids = {(r.session_no, r.label): r.global_id for r in MT.chain_ids(mm, uu, ["site"]).collect()}
     assert ids[1, 2] == ids[2, 1] == ids[3, 4] == 1
     assert ids[2, 5] == ids[3, 6] == 5 and ids[1, 5] == 7
+    far = {(r.session_no, r.label): r.chain_distance for r in MT.chain_ids(mm, uu, ["site"]).collect()}
+    assert abs(far[2, 1] - 0.1) < 1e-12 and abs(far[2, 5] - 0.5) < 1e-12 and far[1, 5] is None
     spk = spark.createDataFrame([(1, 1, 2), (1, 1, 9)], "site int, session_no int, label int")
     back = MT.relabel(spk, spark.createDataFrame([(1, 1, 2, 1)], "site int, session_no int, label int, global_id int"), ["site", "session_no"])
     assert sorted(r.label for r in back.collect()) == [0, 1]
 
 
+def test_long_chains(spark):
+    """Chains of up to eleven sessions, with breaks, at two sites: pointers are doubled to the first unit."""
+    m = [(s, k, k + 1, 10 + k, 11 + k, 0.5) for s in (1, 2) for k in range(1, 11) if (s, k) != (2, 6)] + [(1, 4, 5, 1, 1, 0.1)]
+    units = sorted({(s, k, a) for s, k, _, a, _, _ in m} | {(s, k, b) for s, _, k, _, b, _ in m})
+    mm = spark.createDataFrame(m, "site int, prev_no int, session_no int, unit_a int, unit_b int, distance double")
+    got = {(r.site, r.session_no, r.label): (r.root_no, r.root_label) for r in MT.chain_roots(mm, ["site"]).collect()}
+    want = {u: (1, 11) if u[0] == 1 or u[1] <= 6 else (7, 17) for u in units} | {(1, 4, 1): (4, 1), (1, 5, 1): (4, 1)}
+    assert got == want
+    ids = MT.chain_ids(mm, spark.createDataFrame(units, "site int, session_no int, label int"), ["site"]).where("site = 1").collect()
+    assert {(r.global_id, r.chain_distance) for r in ids} == {(1, 0.1), (2, 0.5)}
+
+
+def test_smoothing_of_visible_bins(spark):
+    from spikegrid.operators import maps as M
+
+    ring = [1.0, None, 3.0, 4.0, None, None, 7.0, 8.0]
+    df = spark.createDataFrame([(1, ring), (2, [None] * 8)], "key int, v array<double>")
+    taps = np.exp(-0.5 * (np.arange(-4, 5) / 1.0) ** 2)
+
+    def plain(at, wrap):
+        top = low = 0.0
+        for d, w in zip(range(-4, 5), taps):
+            j = (at + d) % 8 if wrap else min(7, max(0, at + d))
+            if ring[j] is not None:
+                top, low = top + w * ring[j], low + w
+        return top / low
+
+    for wrap, fill in ((True, None), (False, "keep"), (True, 0.5)):
+        got = {r.key: r.v for r in M.smooth_visible(df, ["key"], "v", 1, 8, 1.0, wrap, fill).collect()}
+        for k, x in enumerate(ring):
+            want = plain(k, wrap) if x is not None or fill is None else None if fill == "keep" else fill
+            assert got[1][k] is None if want is None else abs(got[1][k] - want) < 1e-12
+        assert got[2] == ([0.5] * 8 if fill == 0.5 else [None] * 8)
+
+
 def test_swap_instructions(spark):
     df = spark.createDataFrame([("r1", "3 to 5 for ses2"), ("r2", "DOUBLE: 1 to 2 for ses1 and 2 to 1 for ses 3")], "row string, text string")
     got = sorted((r.row, r.session_no, r.label, r.global_id) for r in MT.swap_instructions(df, "text").collect())
