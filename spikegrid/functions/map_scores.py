@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -39,19 +40,27 @@ def _borders(v: np.ndarray, p: float, lengths_as_published: bool) -> list[np.nda
 
 
 def scores(counts: np.ndarray, occupancy: np.ndarray, rows: int, cols: int, floor: float, p: float = 0.75,
-           lengths_as_published: bool = True, grid: bool = False) -> np.ndarray:
-    """One row of :data:`NAMES` (and the grid score) for each row of spike counts; a score
-    that is not defined is NaN."""
+           lengths_as_published: bool = True, names: Sequence[str] = NAMES) -> np.ndarray:
+    """The named scores (of :data:`NAMES`, and the grid score) for each row of spike counts; a
+    score that is not defined is NaN."""
     seen = occupancy >= floor
     v = np.divide(counts, occupancy, out=np.zeros(counts.shape), where=seen)
     share = occupancy / occupancy.sum()
-    mean, square, peak = v @ share, (v * v) @ share, v.max(axis=1)
-    ratio = _ratio(v, np.broadcast_to(mean[:, None], v.shape))
-    bits = np.where(ratio > 1, v * np.log2(np.where(ratio > 1, ratio, 1)), 0) @ share
+    mean, peak = v @ share, v.max(axis=1)
     stack = v.reshape(-1, rows, cols)
-    out = [_ratio(bits, mean), _ratio(mean * mean, square), _ratio(peak, mean), _coherence(stack)]
-    out += _borders(_ratio(stack, np.broadcast_to(peak[:, None, None], stack.shape)), p, lengths_as_published)
-    if grid:
+    out = {}
+    if "information" in names:
+        ratio = _ratio(v, np.broadcast_to(mean[:, None], v.shape))
+        out["information"] = _ratio(np.where(ratio > 1, v * np.log2(np.where(ratio > 1, ratio, 1)), 0) @ share, mean)
+    if "sparsity" in names:
+        out["sparsity"] = _ratio(mean * mean, (v * v) @ share)
+    if "selectivity" in names:
+        out["selectivity"] = _ratio(peak, mean)
+    if "coherence" in names:
+        out["coherence"] = _coherence(stack)
+    if any(n.startswith("border") for n in names):
+        out |= zip(NAMES[4:], _borders(_ratio(stack, np.broadcast_to(peak[:, None, None], stack.shape)), p, lengths_as_published))
+    if "grid" in names:
         found = [gk.grid_measures(m) if m.any() else None for m in stack]
-        out.append(np.array([f["score"] if f else math.nan for f in found]))
-    return np.where(mean[:, None] > 0, np.column_stack(out), np.nan)
+        out["grid"] = np.array([f["score"] if f else math.nan for f in found])
+    return np.where(mean[:, None] > 0, np.column_stack([out[n] for n in names]), np.nan)

@@ -52,8 +52,13 @@ def quantile_distance(points: DataFrame, keys: Sequence[str], p: int = 2, settin
 def sliced_distance(points: DataFrame, keys: Sequence[str], directions, p: int = 2, settings: Settings = DEFAULT) -> DataFrame:
     """Sliced Wasserstein distance between weighted point clouds of any size.
 
-    ``points``: keys, side, x, y, w.
+    ``points``: keys, side, x, y, w.  If the chunk plan of the base table has no hot key, the
+    clouds of a key are one packed row and all directions are compared in its task; otherwise
+    the projections are long tables.
     """
+    plan = settings.chunks
+    if plan is not None and plan.cuts is None and set(plan.keys) <= set(keys):
+        return _packed_sliced(points, list(keys), np.array(directions), p)
     dirs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(ux).alias("ux"), F.lit(uy).alias("uy")) for k, (ux, uy) in enumerate(directions)])
     flat = points.groupBy(*keys, "side", "x", "y").agg(F.sum("w").alias("w"))
     proj = flat.withColumn("_d", F.explode(dirs)).select(
@@ -63,6 +68,26 @@ def sliced_distance(points: DataFrame, keys: Sequence[str], directions, p: int =
     return each.groupBy(*keys).agg(F.pow(F.avg("wpp"), F.lit(1.0 / p)).alias("distance"))
 
 
+def _packed_sliced(points: DataFrame, keys: list[str], u: np.ndarray, p: int) -> DataFrame:
+    """Both clouds of a key in one row; a key with one side only has distance 0, as in the long form."""
+
+    @F.pandas_udf("double")
+    def run(cloud_x: pd.Series, cloud_y: pd.Series, weight: pd.Series, side: pd.Series) -> pd.Series:
+        out = []
+        for x, y, w, s in zip(cloud_x, cloud_y, weight, side):
+            x, y, w, s = np.asarray(x, float), np.asarray(y, float), np.asarray(w, float), np.asarray(s, bool)
+            if not s.any() or s.all():
+                out.append(0.0)
+                continue
+            step = max(1, (1 << 22) // len(x))      # directions at once
+            parts = [_sliced(x[s], y[s], w[s], x[~s], y[~s], w[~s], u[k:k + step], p) ** p * len(u[k:k + step]) for k in range(0, len(u), step)]
+            out.append((sum(parts) / len(u)) ** (1 / p))
+        return pd.Series(out)
+
+    c = points.where("w > 0").groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "w", (F.col("side") == "a").alias("a"))).alias("_p"))
+    return spread(c, keys).select(*keys, run(F.col("_p.x"), F.col("_p.y"), F.col("_p.w"), F.col("_p.a")).alias("distance"))
+
+
 def _sliced(ax, ay, aw, bx, by, bw, u: np.ndarray, p: int) -> float:
     """Sliced distance of two small weighted clouds, all directions at once."""
     a, b = u @ np.vstack([ax, ay]), u @ np.vstack([bx, by])

@@ -11,9 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikegrid.functions import map_scores
@@ -114,28 +113,35 @@ def shifted_counts(spk: DataFrame, moving: DataFrame, ext: Extent, rows: int, co
     return out
 
 
-def map_null_scores(counts: DataFrame, occ: DataFrame, rows: int, cols: int, grid: bool = False, settings: Settings = DEFAULT) -> DataFrame:
-    """(session_id, unit, iter, scores...) of the maps of :func:`shifted_counts`."""
-    names = [*map_scores.NAMES, *(["grid"] if grid else [])]
+def map_null_scores(counts: DataFrame, occ: DataFrame, rows: int, cols: int, names: Sequence[str] = map_scores.NAMES,
+                    settings: Settings = DEFAULT) -> DataFrame:
+    """(session_id, unit, iter, scores...) of the maps of :func:`shifted_counts`; ``names`` may add 'grid'."""
+    names = list(names)
     seen = occ.groupBy(*SESSION).agg(F.collect_list(F.struct((F.col("r") * cols + F.col("c")).alias("b"), "v")).alias("_o"))
     seen = seen.select(*SESSION, F.col("_o.b").alias("_b"), F.col("_o.v").alias("_v"))
     floor, p = settings.occupancy_floor, settings.active_percentile
 
-    @F.pandas_udf("array<struct<iter: int, v: array<double>>>")
-    def run(iters: pd.Series, bins: pd.Series, n: pd.Series, ob: pd.Series, ov: pd.Series) -> pd.Series:
-        out = []
-        for i, b, c, at, v in zip(iters, bins, n, ob, ov):
-            own, row = np.unique(i, return_inverse=True)
-            maps, occupancy = np.zeros((len(own), rows * cols)), np.zeros(rows * cols)
-            np.add.at(maps, (row, b), c)
-            occupancy[np.asarray(at, int)] = v
-            values = map_scores.scores(maps, occupancy, rows, cols, floor, p, grid=grid)
-            out.append([{"iter": int(k), "v": [None if np.isnan(x) else float(x) for x in s]} for k, s in zip(own, values)])
-        return pd.Series(out)
-
-    met = spread(attach(counts, seen, SESSION), [*UNIT, "part"]).select(*UNIT, run("iters", "bins", "counts", "_b", "_v").alias("s"))
-    met = met.select(*UNIT, F.explode_outer("s").alias("s")).where("s IS NOT NULL")
-    return met.select(*UNIT, F.col("s.iter").alias("iter"), *[F.col("s.v")[k].alias(n) for k, n in enumerate(names)])
+    met = spread(attach(counts, seen, SESSION), [*UNIT, "part"]).select(*UNIT, "iters", "bins", "counts", "_b", "_v")
+    kinds = {c: met.schema[c].dataType.simpleString() for c in UNIT}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, found, iterations = [], [], []
+            for k in range(batch.num_rows):
+                i, b, c, at, v = (np.asarray(batch.column(j)[k].values.to_numpy(zero_copy_only=False)) for j in range(2, 7))
+                own, row = np.unique(i, return_inverse=True)
+                maps, occupancy = np.zeros((len(own), rows * cols)), np.zeros(rows * cols)
+                np.add.at(maps, (row, b), c)
+                occupancy[at] = v
+                found.append(map_scores.scores(maps, occupancy, rows, cols, floor, p, names=names))
+                iterations.append(own)
+                of.append(np.full(len(own), k))
+            if found:
+                values, of = np.concatenate(found), pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(of) for j in range(2)], pa.array(np.concatenate(iterations).astype(np.int32)),
+                                                  *[pa.array(x, mask=np.isnan(x)) for x in values.T]], [*UNIT, "iter", *names])
+
+    return met.mapInArrow(run, f"session_id {kinds['session_id']}, unit {kinds['unit']}, iter int, {', '.join(f'{n} double' for n in names)}")
 
 
 def null_report(scored: DataFrame, names: Sequence[str] = map_scores.NAMES, margin: float = 1e-9) -> DataFrame:

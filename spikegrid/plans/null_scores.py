@@ -79,7 +79,7 @@ SELECT n.session_id, n.unit, count(*) AS iterations, {R('avg(n.info)')} AS shuff
 FROM i n JOIN i o ON o.session_id = n.session_id AND o.unit = n.unit AND o.iter = 0 WHERE n.iter > 0 GROUP BY 1, 2""", "manybins"))
 def null_pvalue(spark, sf):
     """Spatial information of every unit against 1000 shifts of its train."""
-    r = NM.null_report(NM.map_null_scores(shifted(spark, sf), occupancy(spark, sf), ROWS, COLS, settings=OPTIONS), ["information"])
+    r = NM.null_report(NM.map_null_scores(shifted(spark, sf), occupancy(spark, sf), ROWS, COLS, ["information"], OPTIONS), ["information"])
     return r.select(*UNIT, F.col("null_n").alias("iterations"), rd("null_mean").alias("shuffled_mean"), rd("null_std").alias("shuffled_std"), rd("above").alias("p_value"))
 
 

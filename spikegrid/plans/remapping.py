@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spikegrid.operators import asof, distances as D, fields as FL, maps as M, nulls as N, scores as C, tracking as T
-from spikegrid.functions.expr import safe_div
-from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, options, ROW_SQL, ROWS, R, compose, events, part, query, rd, spikes, tracking
-from spikegrid.plans.spatial import UNIT, dense_rate, occupancy, spike_positions
+from spikegrid.operators import distances as D, fields as FL, maps as M, nulls as N
+from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, options, ROW_SQL, ROWS, R, compose, events, part, query, rd, spikes
+from spikegrid.plans.spatial import UNIT, dense_rate
 from spikegrid.functions.expr import grid_col, grid_row
 
 WEEK = 604_800.0
@@ -292,16 +291,16 @@ def _null(spark, sf):
 
 @query("remapping_scores", compose(NULL_SQL + f"""
 o2 AS (SELECT ob.*, st.n, st.mu, st.sd, st.med, ma.mad FROM ob JOIN st USING ({_NK}) JOIN ma USING ({_NK}))
-SELECT {_L}, {R('d', 6)} AS whole_wass, n AS null_n, {R('mu')} AS base_mean, {R('sd')} AS base_std, {R('CASE WHEN sd > 1e-9 THEN (d - mu) / sd END', 3)} AS z_score,
-  {R('med', 8)} AS median, {R('mad + 1e-9')} AS mad, {R('0.6745 * (d - med) / CASE WHEN mad = 0 THEN 1 ELSE mad END', 3)} AS mod_z_score FROM o2""",
+SELECT {_L}, {R('d', 6)} AS whole_wass, n AS null_n, {R('mu + 1e-7')} AS base_mean, {R('sd + 1e-7')} AS base_std, {R('CASE WHEN sd > 1e-9 THEN (d - mu) / sd END', 3)} AS z_score,
+  {R('med', 8)} AS median, {R('mad + 1e-7', 3)} AS mad, {R('0.6745 * (d - med) / CASE WHEN mad = 0 THEN 1 ELSE mad END', 3)} AS mod_z_score FROM o2""",
     "nwhole", "whole"))
 def remapping_scores(spark, sf):
     key = ["animal_id", "prev_no", "session_no"]
     stats = N.null_statistics(_null(spark, sf), key)
     s = N.with_scores(_observed(spark, sf), stats, key)
     return s.select(
-        *LINK, rd("value", 6).alias("whole_wass"), F.col("null_n"), rd("null_mean").alias("base_mean"), rd("null_std").alias("base_std"),
-        F.when(F.col("null_std") > 1e-9, rd("z", 3)).alias("z_score"), rd("null_median", 8).alias("median"), rd(F.col("null_mad") + 1e-9).alias("mad"),
+        *LINK, rd("value", 6).alias("whole_wass"), F.col("null_n"), rd(F.col("null_mean") + 1e-7).alias("base_mean"), rd(F.col("null_std") + 1e-7).alias("base_std"),
+        F.when(F.col("null_std") > 1e-9, rd("z", 3)).alias("z_score"), rd("null_median", 8).alias("median"), rd(F.col("null_mad") + 1e-7, 3).alias("mad"),
         rd("mod_z", 3).alias("mod_z_score"))
 
 

@@ -44,7 +44,7 @@ def test_counts_and_scores_of_shifts(spark, recording, hot):
     want = single.selectExpr("session_id", "unit", "iter + 1", f"r * {COLS} + c", "CAST(v AS LONG)")
     assert rounded(long.where("iter > 0")) == rounded(want)
     occ = M.occupancy(trk, ARENA, ROWS, COLS)
-    scored = NM.map_null_scores(counts, occ, ROWS, COLS, grid=True, settings=s)
+    scored = NM.map_null_scores(counts, occ, ROWS, COLS, [*map_scores.NAMES, "grid"], s)
     rates = M.rate_bins(occ, single, KEYS)
     stats = C.map_statistics(occ, rates, ROWS, COLS, KEYS).selectExpr(*KEYS, "information_content", "sparsity", "selectivity")
     assert rounded(scored.where("iter > 0").selectExpr("session_id", "unit", "iter - 1", "information", "sparsity", "selectivity")) == rounded(stats)
