@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spikegrid.operators import distances as D, fields as FL, geometry as G, nulls as N, reports as RP, scores as C, spikes as S
-from spikegrid.plans.base import COLS, ROWS, R, compose, options, part, query, rd, spikes, tracking
+from spikegrid.operators import distances as D, fields as FL, geometry as G, nulls as N, reports as RP, scores as C
+from spikegrid.plans.base import COLS, ORACLE, QUERIES, ROWS, SPIKE_TYPES, R, compose, options, part, query, rd
 from spikegrid.plans.remapping import BIN, CELL, HEIGHT, LINK, WIDTH, cell_maps, cells, links, link_points, null_pairs
-from spikegrid.plans.spatial import UNIT, occupancy, rate_map
+from spikegrid.plans.spatial import UNIT, dense_rate
 
 OBJECTS = FL.object_bins(ROWS, COLS)
 PAIR = ["animal_id", "prev_no", "session_no"]
@@ -123,21 +123,36 @@ def temporal_null(spark, sf):
 
 
 # ----------------------------------------------------------------- wide report
-@query("unit_report")
+# column: (query that gives it, its name there)
+REPORT = {
+    "spike_count": ("event_rate", "n"), "firing_rate": ("event_rate", "rate"),
+    **{n: ("map_stats", n) for n in ("information_content", "information_rate", "sparsity", "selectivity", "peak_rate", "mean_rate")},
+    "coherence": ("coherence", "coherence"),
+    **{f"border_{k}": ("border_score", f"border_{k}") for k in ("top", "bottom", "left", "right")},
+    "hd_score": ("hd_vector", "vector_length"), "speed_score": ("speed_score", "score_2016"),
+    **{f"isi_{k}": ("isi_stats", f"isi_{k}") for k in ("min", "max", "median", "mean", "std", "cv")},
+    "bursting": ("bursts", "bursting"), "spikes_per_burst": ("bursts", "spikes_per_burst"),
+}
+_sources = list(dict.fromkeys(source for source, _ in REPORT.values()))
+_columns = ", ".join((f"{s}.{c}::DOUBLE" if n != "spike_count" else f"{s}.{c}") + f" AS {n}" for n, (s, c) in REPORT.items())
+_joins = " ".join(f"LEFT JOIN ({ORACLE[s]}) AS {s} ON {s}.session_id = event_rate.session_id AND {s}.unit = event_rate.unit" for s in _sources[1:])
+REPORT_SQL = f"SELECT event_rate.session_id, event_rate.unit, {_columns} FROM ({ORACLE['event_rate']}) AS event_rate {_joins} WHERE event_rate.unit IN {SPIKE_TYPES!r}"
+
+
+@query("unit_report", REPORT_SQL)
 def unit_report(spark, sf):
-    """One row per unit with its map, direction and train scores."""
-    opts = options(spark, sf)
-    occ, rates, spk = occupancy(spark, sf), rate_map(spark, sf), spikes(spark, sf)
-    hd = C.heading_histogram(C.spike_headings(tracking(spark, sf), spk, opts))
-    scores = RP.score_table({
-        "map": C.map_statistics(occ, rates, ROWS, COLS).select(*UNIT, "information_content", "sparsity", "selectivity"),
-        "coherence": C.coherence(rates, ROWS, COLS),
-        "border": C.border_score(rates, ROWS, COLS, p=0.75),
-        "direction": C.mean_vector_length(hd),
-        "isi": S.isi_statistics(spk, opts).select(*UNIT, "isi_mean", "isi_median", "isi_cv"),
-        "bursts": S.burst_statistics(spk, 43_200.0, settings=opts).select(*UNIT, "bursting", "spikes_per_burst"),
-    }, UNIT)
-    names = ["information_content", "sparsity", "selectivity", "coherence", "border_top", "border_bottom", "border_left", "border_right",
-             "vector_length", "isi_mean", "isi_median", "isi_cv", "bursting", "spikes_per_burst"]
-    wide = RP.wide_report(scores, UNIT, names)
-    return wide.select(*UNIT, *[rd(n, 3).alias(n) for n in names])
+    """One row per unit with its counts, map, border, direction, speed and train scores."""
+    parts = {}
+    for source in _sources:
+        names = {c: n for n, (s, c) in REPORT.items() if s == source}
+        scores = QUERIES[source](spark, sf).where(F.col("unit").isin(*SPIKE_TYPES))
+        parts[source] = scores.select(*UNIT, *[F.col(c).alias(n) for c, n in names.items()])
+    wide = RP.wide_report(RP.score_table(parts, UNIT), UNIT, list(REPORT))
+    return wide.select(*UNIT, F.col("spike_count").cast("long").alias("spike_count"), *list(REPORT)[1:])
+
+
+@query("unit_report_fields")
+def unit_report_fields(spark, sf):
+    """The part of the report that kernels give: grid score with its geometry, and the sizes of the largest fields."""
+    grid = C.grid_score(dense_rate(spark, sf), UNIT, "rate", ROWS, COLS)
+    return QUERIES["field_report"](spark, sf).join(grid.select(*UNIT, *[rd(c, 3).alias(c) for c in grid.columns if c not in UNIT]), UNIT, "full")
