@@ -1,17 +1,20 @@
 """URL verdicts: longest fitting rule, else logistic regression on hashed n-grams.
 
-The model sees 3- to 5-grams of the bytes of "host path" in 2^14 buckets. It is fitted
-on a small labelled table, at most ``LABELLED`` rows of each class, drawn by hash; the
-labels come from a list of known bad site names. Everything else covers all rows.
+The model sees 3- to 5-grams of the bytes of "host path" in 2^18 buckets. It is fitted
+once on a small labelled URL table (``url_labels.table()`` if none is given), of which at
+most ``LABELLED`` rows of each class are used, in an order fixed by hash. An n-gram that
+the table does not hold says nothing, so a site of unknown words is allowed: the classes
+weigh as ``BLOCK_SHARE`` says. All rows are judged.
 
 Nulls: a null url, or one without "://", has empty host and path, fits no rule and gets
 the model's verdict for an empty string. Repeated rows are judged each; equal urls get
-equal verdicts. An empty table gives an empty table; a table without rows of one class
-gives a model that allows everything (or blocks everything, if all labels say so).
+equal verdicts. An empty table gives an empty table; labels of one class
+alone give a model that allows everything (or blocks everything, if all say so).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +22,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
+from spikegrid.llm import url_labels
+
+BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 LABELLED = 4000
-STEPS = 150
-PENALTY = 1e-4
+STEPS = 500
+BLOCK_SHARE = 0.3       # weight of the unwanted class
+PENALTY = 1e-5
 # (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
-# names of sites known to be unwanted: the source of labels
-BAD_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,8 +82,9 @@ def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return np.bincount(row, weights[bucket], minlength=len(texts)) / np.sqrt(counts) + weights[-1]
 
 
-def fit(texts: list[str], block: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights of both classes balanced, by accelerated gradient descent from zero."""
+def fit(texts: list[str], block: np.ndarray, steps: int = STEPS, block_share: float = BLOCK_SHARE) -> np.ndarray:
+    """Weights by accelerated gradient descent from zero; the classes weigh ``block_share``
+    and the rest, whatever their numbers of rows."""
     block = np.asarray(block, float)
     weights = np.zeros(BUCKETS + 1)
     if not len(texts) or block.min() == block.max():
@@ -87,32 +92,29 @@ def fit(texts: list[str], block: np.ndarray, steps: int = STEPS) -> np.ndarray:
         return weights
     row, bucket = grams(texts)
     value = (1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(texts)), 1)))[row]
-    share = np.where(block == 1, 0.5 / block.sum(), 0.5 / (1 - block).sum())
+    share = np.where(block == 1, block_share / block.sum(), (1 - block_share) / (1 - block).sum())
+    weights[-1] = np.log(block_share / (1 - block_share))       # stays: a site without known n-grams gets the prior
     ahead, step = weights.copy(), 2.0
     for k in range(steps):
         z = np.bincount(row, ahead[bucket] * value, minlength=len(texts)) + ahead[-1]
         error = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - block)
-        slope = np.append(np.bincount(bucket, error[row] * value, minlength=BUCKETS), error.sum()) + PENALTY * ahead
-        new = ahead - step * slope
+        new = ahead.copy()
+        new[:-1] -= step * (np.bincount(bucket, error[row] * value, minlength=BUCKETS) + PENALTY * ahead[:-1])
         ahead, weights = new + (k / (k + 3)) * (new - weights), new
     return weights
 
 
-def labelled(rows: DataFrame, most: int = LABELLED, names=BAD_NAMES) -> DataFrame:
-    """(site, block): at most ``most`` rows of each class, in an order fixed by hash."""
-    bad = F.lit(False)
-    for name in names:
-        bad = bad | F.contains(F.col("host"), F.lit(name))
-    known = rows.where("host <> ''").select(F.concat_ws(" ", "host", "path").alias("site"), bad.alias("block"), F.xxhash64("host", "path").alias("_h"))
-    parts = [known.where(F.col("block") == x).orderBy("_h", "site").limit(most) for x in (True, False)]
-    return parts[0].union(parts[1]).select("site", "block")
+def drawn(labels: list[tuple[str, bool]], most: int = LABELLED) -> list[tuple[str, bool]]:
+    """At most ``most`` rows of each class: those with the least hash."""
+    order = sorted(set(labels), key=lambda r: (hashlib.sha256(r[0].encode("utf-8", "surrogatepass")).digest(), r))
+    return [r for x in (True, False) for r in [r for r in order if r[1] == x][:most]]
 
 
-def judge(pages: DataFrame, rules=RULES, most: int = LABELLED) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page."""
+def judge(pages: DataFrame, rules=RULES, most: int = LABELLED, labels: list[tuple[str, bool]] | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; ``labels`` are (host path, block)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    table = sorted((r["site"], r["block"]) for r in labelled(rows, most).collect())       # bounded by 2 * most
+    table = drawn(url_labels.table() if labels is None else labels, most)
     weights = fit([t for t, _ in table], np.array([b for _, b in table], float))
 
     @F.pandas_udf("boolean")
