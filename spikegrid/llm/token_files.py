@@ -45,15 +45,21 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 def build(ids: np.ndarray, bits: int) -> tuple[list[bytes], list[int], list[bytes]]:
     """Planes from the highest bit down (packed), zeros of each, one-counts before each
     block of SAMPLE bits."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit into {bits} bits")
     planes, zeros, counts = [], [], []
     values = ids.astype(np.uint32 if bits > 16 else np.uint16)
+    after = np.empty_like(values)
     for k in range(bits - 1, -1, -1):
-        ones = ((values >> values.dtype.type(k)) & values.dtype.type(1)).astype(bool)
+        ones = (values & values.dtype.type(1 << k)) != 0
         planes.append(np.packbits(ones, bitorder="little").tobytes())
         sums = np.add.reduceat(ones, np.arange(0, len(ones), SAMPLE), dtype=np.uint32) if len(ones) else np.zeros(0, np.uint32)
         counts.append(np.concatenate([[0], np.cumsum(sums)]).astype("<u4").tobytes())
-        zeros.append(int(len(ones) - ones.sum()))
-        values = np.concatenate([values[~ones], values[ones]])
+        low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
+        zeros.append(len(low))
+        values.take(low, out=after[:len(low)], mode="clip")
+        values.take(high, out=after[len(low):], mode="clip")
+        values, after = after, values
     return planes, zeros, counts
 
 
@@ -81,23 +87,29 @@ class WaveletFile:
         return zstandard.ZstdDecompressor().decompress(self._parts[k])
 
     def plane(self, k: int) -> np.ndarray:
+        """Plane k, eight bits to the byte."""
         if k not in self._planes:
-            packed = np.frombuffer(self._inflate(2 + 2 * k), np.uint8)
-            self._planes[k] = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+            self._planes[k] = np.frombuffer(self._inflate(2 + 2 * k), np.uint8)
             self._counts[k] = np.frombuffer(self._inflate(3 + 2 * k), "<u4")
         return self._planes[k]
 
+    def unpacked(self, k: int, block: int | None = None) -> np.ndarray:
+        """Plane k, or one block of it, as booleans."""
+        packed, count = self.plane(k), self.n
+        if block is not None:
+            packed, count = packed[block * SAMPLE // 8:(block + 1) * SAMPLE // 8], min(SAMPLE, self.n - block * SAMPLE)
+        return np.unpackbits(packed, count=max(count, 0), bitorder="little").view(bool)
+
     def ones(self, k: int, i: int) -> int:
         """One bits among the first i of plane k: a stored count and one block."""
-        bits = self.plane(k)
-        block = i // SAMPLE
-        return int(self._counts[k][block]) + int(bits[block * SAMPLE:i].sum())
+        bits = self.unpacked(k, i // SAMPLE)
+        return int(self._counts[k][i // SAMPLE]) + int(np.count_nonzero(bits[:i % SAMPLE]))
 
     def access(self, i: int) -> int:
         """The id at position i."""
         value = 0
         for k in range(self.bits):
-            one = bool(self.plane(k)[i])
+            one = bool(self.plane(k)[i >> 3] >> (i & 7) & 1)
             before = self.ones(k, i)
             value = value << 1 | one
             i = self.zeros[k] + before if one else i - before
@@ -127,24 +139,25 @@ class WaveletFile:
         return i
 
     def _select(self, k: int, one: int, nth: int) -> int:
-        bits = self.plane(k)
+        self.plane(k)
         before = self._counts[k].astype(np.int64)
         if not one:
             before = np.minimum(np.arange(len(before)) * SAMPLE, self.n) - before
         block = int(np.searchsorted(before, nth, "right")) - 1
-        inside = bits[block * SAMPLE:(block + 1) * SAMPLE]
+        inside = self.unpacked(k, block)
         return block * SAMPLE + int(np.nonzero(inside if one else ~inside)[0][nth - int(before[block])])
 
     def decode(self) -> np.ndarray:
         """All ids: the partitions are undone from the lowest plane up."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint32 if self.bits > 16 else np.uint16
+        values, above = np.zeros(self.n, kind), np.empty(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            ones = self.plane(k)
-            above = np.empty(self.n, np.uint32)
-            above[~ones] = values[:self.zeros[k]]
-            above[ones] = values[self.zeros[k]:] | np.uint32(1 << (self.bits - 1 - k))
-            values = above
-        return values
+            ones = self.unpacked(k)
+            values[self.zeros[k]:] |= kind(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~ones)] = values[:self.zeros[k]]
+            above[np.flatnonzero(ones)] = values[self.zeros[k]:]
+            values, above = above, values
+        return values.astype(np.uint32)
 
 
 def to_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
