@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 NAMES = ["track_speed", "head_direction", "track_boxcar", "isi_stats", "bursts_split", "asof_nearest", "map_stats", "hd_vector",
          "gauss_smooth_1d", "sliced_w", "temporal_emd", "adaptive_rate", "isolation_2d", "mann_whitney_u", "weighted_ks",
-         "bh_correction", "object_history", "value_quantiles", "null_report", "rate_slots", "unit_mixture"]
+         "bh_correction", "object_history", "value_quantiles", "null_report", "rate_slots", "unit_mixture", "windowed_speed"]
 
 
 @pytest.fixture()
