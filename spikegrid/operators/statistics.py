@@ -108,7 +108,7 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str], row_key: Sequ
     totals = df.groupBy(*keys).agg(F.count(p).alias("_m"))
     o = Ordered(df.where(F.col(p).isNotNull()), keys, [p, *row_key], settings).number("_rank")
     d = attach(o._df, totals, keys) if keys else o._df.join(F.broadcast(totals))
-    o = o._with(d.withColumn("_adj", F.col(p) * F.col("_m") / F.col("_rank"))).least_ahead({"p_adjusted": F.least(F.col("_adj"), F.lit(1.0))})
+    o = o._with(d.withColumn("_adj", F.col(p) * F.col("_m") / F.col("_rank"))).then_by("_rank").least_ahead({"p_adjusted": F.least(F.col("_adj"), F.lit(1.0))})
     return o.df.drop("_rank", "_m", "_adj")
 
 
