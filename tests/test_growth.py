@@ -34,3 +34,33 @@ def test_ahead_is_read_backwards(spark):
     assert "unboundedfollowing" not in plan_of(nxt)
     for r in nxt.collect():
         assert r.n == min((i for i, h, v in p if h == r.g and i >= r.id and v is not None and v > 0.5), default=None)
+
+
+def test_rank_correlation_of_sparse_maps(spark):
+    """Bins empty on both sides need no row."""
+    from spikegrid.operators import distances as D
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0.0, 0.0, 0.0, 1.0, 2.0]), rng.choice([0.0, 0.0, 1.0, 3.0])) for k in (1, 2) for _ in range(40)]
+    sparse = [r for r in rows if r[1] or r[2]]
+    kinds = "k int, a double, b double"
+    every = {r.k: r.rho for r in D.map_spearman(spark.createDataFrame(rows, kinds), ["k"], "a", "b").collect()}
+    few = {r.k: r.rho for r in D.map_spearman(spark.createDataFrame([*sparse, (3, 1.0, 0.0)], kinds), ["k"], "a", "b", F.lit(40) - F.count("a")).collect()}
+    assert np.allclose([every[1], every[2]], [few[1], few[2]]) and few[3] is None
+
+
+def test_relabellings_summed_up_in_their_task(spark):
+    from spikegrid.operators import distances as D, relabel as RL
+    from spikegrid.settings import DEFAULT
+
+    rng = random.Random(4)
+    rows = [(n, k, "ab"[k % 2], rng.random(), rng.random()) for n in (5, 9, 70) for k in range(n)]
+    df = spark.createDataFrame(rows, "key int, i long, side string, x double, y double")
+    u = D.lattice_projections(4)
+    for s in (DEFAULT, DEFAULT.but(rows_per_chunk=60)):
+        full = {r.key: r for r in RL.relabelled_sliced(df, ["key"], u, 50, 3, settings=s).collect()}
+        got = {r.key: r for r in RL.relabelled_sliced(df, ["key"], u, 50, 3, settings=s, margin=1e-9).collect()}
+        assert set(got) == set(full) == {5, 9, 70}
+        for key, r in got.items():
+            v = np.array(full[key].nulls)
+            assert np.allclose([r.observed, r.null_n, r.null_mean, r.null_std, r.above], [full[key].observed, 50, v.mean(), v.std(), (v > r.observed + 1e-9).mean()])
