@@ -137,24 +137,37 @@ def _sliced(i: np.ndarray, is_a: np.ndarray, x: np.ndarray, y: np.ndarray, u: np
     at_a, at_b, part = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), np.diff(ends, prepend=0) / (na * nb)
 
     def cost(labels: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(labels))
-        for row, places in zip(proj, order):
-            own = labels[:, places]
-            spread = np.broadcast_to(row, own.shape)
-            a, b = spread[own].reshape(-1, na), spread[~own].reshape(-1, nb)
-            total += np.abs(a[:, at_a] - b[:, at_b]) ** p @ part
+        total, step = np.zeros(len(labels)), max(1, CELLS // labels.size)
+        for k in range(0, len(u), step):                                         # directions at once
+            own = labels[:, order[k:k + step]]
+            spread = np.broadcast_to(proj[k:k + step], own.shape)
+            a, b = spread[own].reshape(*own.shape[:2], na), spread[~own].reshape(*own.shape[:2], nb)
+            total += (np.abs(a[..., at_a] - b[..., at_b]) ** p @ part).sum(axis=1)
         return (total / len(u)) ** (1 / p)
 
     out = [cost(is_a[None, :])]
     step = max(1, CELLS // len(i))
     for k in range(0, iterations, step):
-        out.append(cost(np.ascontiguousarray(_chosen(i, np.full(iterations, na), np.arange(k, min(k + step, iterations)), seed).T)))
+        labels = np.ascontiguousarray(_chosen(i, np.full(iterations, na), np.arange(k, min(k + step, iterations)), seed).T)
+        if len(i) > 62:
+            out.append(cost(labels))
+        else:                                       # a small pool has few ways to deal its labels: each is compared once
+            _, first, which = np.unique(labels @ (np.int64(1) << np.arange(len(i))), return_index=True, return_inverse=True)
+            out.append(cost(labels[first])[which])
     return np.concatenate(out)
 
 
+def null_summary(each: DataFrame, keys: Sequence[str], margin: float) -> DataFrame:
+    """(keys, observed, null_n, null_mean, null_std, above) of rows (keys, observed, nulls)."""
+    long = each.select(*keys, "observed", F.explode("nulls").alias("v"))
+    return long.groupBy(*keys).agg(F.max("observed").alias("observed"), F.count(F.lit(1)).alias("null_n"), F.avg("v").alias("null_mean"),
+                                   F.stddev_pop("v").alias("null_std"), F.avg((F.col("v") > F.col("observed") + margin).cast("double")).alias("above"))
+
+
 def relabelled_sliced(points: DataFrame, keys: Sequence[str], directions, iterations: int, seed: int = 0, p: int = 2,
-                      settings: Settings = DEFAULT) -> DataFrame:
-    """(keys, observed, nulls): the sliced transport of both sides, and that of each relabelling.
+                      settings: Settings = DEFAULT, margin: float | None = None) -> DataFrame:
+    """(keys, observed, nulls): the sliced transport of both sides, and that of each relabelling;
+    with a ``margin`` the columns of :func:`null_summary`, so that no null value leaves its task.
 
     ``points``: keys, i, side ('a' or 'b'), x, y.  The pool of a key is one row up to
     ``rows_per_chunk`` points; larger pools are relabelled and compared as long tables."""
@@ -172,11 +185,15 @@ def relabelled_sliced(points: DataFrame, keys: Sequence[str], directions, iterat
             packed = batch.column(names.index("_s"))
             for k in range(batch.num_rows):
                 i, a, x, y = (np.asarray(packed[k].values.field(f).to_numpy(zero_copy_only=False)) for f in ("i", "a", "x", "y"))
-                found.append(_sliced(i, a.astype(bool), x, y, u, iterations, seed, p).tolist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keys], pa.array(found, pa.list_(pa.float64()))], [*keys, "_d"])
-
-    out = spread(pools, keys).mapInArrow(run, f"{', '.join(f'{c} {kinds[c]}' for c in keys)}, _d array<double>")
-    out = out.select(*keys, F.col("_d")[0].alias("observed"), F.slice("_d", 2, iterations).alias("nulls"))
+                d = _sliced(i, a.astype(bool), x, y, u, iterations, seed, p)
+                found.append((d[0], d[1:]) if margin is None else (d[0], iterations, d[1:].mean(), d[1:].std(), (d[1:] > d[0] + margin).mean()))
+            values = [pa.array(list(c), k) for c, k in zip(zip(*found), types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keys], *values], [*keys, *given])
+
+    given = ["observed", "nulls"] if margin is None else ["observed", "null_n", "null_mean", "null_std", "above"]
+    types = [pa.float64(), pa.list_(pa.float64())] if margin is None else [pa.float64(), pa.int64(), *[pa.float64()] * 3]
+    declared = ["double", "array<double>"] if margin is None else ["double", "long", *["double"] * 3]
+    out = spread(pools, keys).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in [*((c, kinds[c]) for c in keys), *zip(given, declared)]))
     hot = rows.where(large).drop("_na", "_nb")
     if not hot.take(1):
         return out
@@ -187,4 +204,5 @@ def relabelled_sliced(points: DataFrame, keys: Sequence[str], directions, iterat
     seen = sliced_distance(weighted(hot), keys, directions, p, settings).withColumnRenamed("distance", "observed")
     dealt = sliced_distance(weighted(permute_sides(hot, keys, ["i"], iterations, seed, settings)), [*keys, "iter"], directions, p, settings)
     nulls = dealt.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("iter", "distance"))), lambda s: s["distance"]).alias("nulls"))
-    return out.unionByName(seen.join(nulls, keys))
+    large_pools = seen.join(nulls, keys)
+    return out.unionByName(large_pools if margin is None else null_summary(large_pools, keys, margin))

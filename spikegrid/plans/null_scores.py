@@ -121,10 +121,8 @@ PROJECTIONS = D.lattice_projections(DEFAULT.n_projections)
 def permutation_null(spark, sf):
     """Sliced distance of consecutive sessions, over 50 directions, against 1000 relabellings of their spikes."""
     pts = link_points(cells(spark, sf)).select(*LINK, "side", "i", "x", "y")
-    d = RL.relabelled_sliced(pts, LINK, PROJECTIONS, SHUFFLES, OPTIONS.seed, settings=options(spark, sf, "animal_id", 2))
-    each = d.select(*LINK, "observed", F.explode("nulls").alias("v"))
-    return each.groupBy(*LINK).agg(rd(F.max("observed")).alias("observed"), rd(F.avg("v")).alias("null_mean"), rd(F.stddev_pop("v")).alias("null_std"),
-                                   rd(F.avg((F.col("v") > F.col("observed") + 1e-9).cast("double"))).alias("above"), F.count(F.lit(1)).alias("n"))
+    d = RL.relabelled_sliced(pts, LINK, PROJECTIONS, SHUFFLES, OPTIONS.seed, settings=options(spark, sf, "animal_id", 2), margin=1e-9)
+    return d.select(*LINK, *[rd(c).alias(c) for c in ("observed", "null_mean", "null_std", "above")], F.col("null_n").alias("n"))
 
 
 # ------------------------------------------------------------------- bootstrap
