@@ -10,6 +10,7 @@ import numpy as np
 from spikegrid.functions import grid_kernels as gk
 
 NAMES = ("information", "sparsity", "selectivity", "coherence", "border_top", "border_bottom", "border_left", "border_right")
+STACK = 64              # maps filled in at once: their temporaries stay in the cache
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,7 +31,11 @@ def _coherence(v: np.ndarray) -> np.ndarray:
 def _borders(v: np.ndarray, p: float, lengths_as_published: bool) -> list[np.ndarray]:
     """Score of each wall from the active bins of maps whose largest rate is one."""
     m, rows, cols = v.shape
-    active = v >= np.quantile(v.reshape(m, -1), p, axis=1)[:, None, None]
+    flat, limit = v.reshape(m, -1), np.zeros(m)
+    # where few bins hold a rate and none is negative the percentile is 0
+    full = (np.count_nonzero(flat, axis=1) >= rows * cols - 1 - math.ceil(p * (rows * cols - 1))) | ~(flat.min(axis=1) >= 0)
+    limit[full] = np.quantile(flat[full], p, axis=1) if full.any() else 0
+    active = v >= limit[:, None, None]
     n = active.sum(axis=(1, 2))
     r, c = np.mgrid[:rows, :cols]
     down, across = (cols, rows) if lengths_as_published else (rows, cols)
@@ -64,3 +69,31 @@ def scores(counts: np.ndarray, occupancy: np.ndarray, rows: int, cols: int, floo
         found = [gk.grid_measures(m) if m.any() else None for m in stack]
         out["grid"] = np.array([f["score"] if f else math.nan for f in found])
     return np.where(mean[:, None] > 0, np.column_stack([out[n] for n in names]), np.nan)
+
+
+def of_counts(row: np.ndarray, b: np.ndarray, n: np.ndarray, maps: int, occupancy: np.ndarray, rows: int, cols: int, floor: float, p: float = 0.75,
+              names: Sequence[str] = NAMES) -> np.ndarray:
+    """:func:`scores` of ``maps`` maps given as counts ``n`` of bin ``b`` in map ``row``. Where only sums
+    over the occupied bins are asked for, no map is filled in."""
+    if not set(names) <= {"information", "sparsity", "selectivity"}:
+        found = []
+        for at in range(0, maps, STACK):
+            mine = (row >= at) & (row < at + STACK)
+            stack = np.bincount((row[mine] - at) * rows * cols + b[mine], n[mine], min(STACK, maps - at) * rows * cols)
+            found.append(scores(stack.reshape(-1, rows * cols), occupancy, rows, cols, floor, p, names=names))
+        return np.concatenate(found)
+    share = occupancy / occupancy.sum()
+    v = np.divide(n, occupancy[b], out=np.zeros(len(n)), where=occupancy[b] >= floor)
+    total = lambda x: np.bincount(row, x, maps)
+    mean = total(v * share[b])
+    out = {}
+    if "information" in names:
+        ratio = _ratio(v, mean[row])
+        out["information"] = _ratio(total(np.where(ratio > 1, v * np.log2(np.where(ratio > 1, ratio, 1)), 0) * share[b]), mean)
+    if "sparsity" in names:
+        out["sparsity"] = _ratio(mean * mean, total(v * v * share[b]))
+    if "selectivity" in names:
+        peak = np.zeros(maps)
+        np.maximum.at(peak, row, v)
+        out["selectivity"] = _ratio(peak, mean)
+    return np.where(mean[:, None] > 0, np.column_stack([out[k] for k in names]), np.nan)

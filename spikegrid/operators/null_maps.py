@@ -34,25 +34,25 @@ def _trains(spk: DataFrame, limit: float, settings: Settings) -> DataFrame:
     half = (F.col("t1") - F.col("t0")) / 2
     low = F.floor(half).cast("double")
     lim = F.when(F.lit(float(limit)) >= half, F.when(low == half, low - 1).otherwise(low)).otherwise(F.lit(float(limit)))
-    block = F.pmod(F.xxhash64("i"), F.ceil(F.col("_n") / F.lit(settings.rows_per_chunk)))
-    rows = attach(spk, span.withColumn("lim", lim), UNIT).withColumn("_block", block)
-    return rows.groupBy(*UNIT, "_block").agg(F.collect_list("t").alias("ts"), *[F.first(c).alias(c) for c in ("t0", "t1", "lim")]).drop("_block")
+    blocks = F.ceil(F.col("_n") / F.lit(settings.rows_per_chunk))
+    rows = attach(spk, span.withColumns({"lim": lim, "blocks": blocks}), UNIT).withColumn("_block", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    return rows.groupBy(*UNIT, "_block").agg(F.collect_list("t").alias("ts"), *[F.first(c).alias(c) for c in ("t0", "t1", "lim", "blocks")]).drop("_block")
 
 
 def _pieces(moving: DataFrame, ext: Extent, rows: int, cols: int, settings: Settings) -> tuple[DataFrame, bool]:
-    """(session_id, times, bins, before, after): sorted samples of each chunk of a session,
-    with the last time before and the first after it."""
+    """(session_id, times, bins, before, after, whole): sorted samples of each chunk of a session,
+    with the last time before and the first after it, and whether it is all of the session."""
     binned = moving.select(*SESSION, "t", "i", (grid_row("y", ext, rows) * cols + grid_col("x", ext, cols)).alias("b"))
     o = Ordered(binned, SESSION, ["t", "i"], settings)
     packed = o._df.groupBy(*o.group).agg(F.sort_array(F.collect_list(F.struct("t", "i", "b"))).alias("_s"))
     packed = packed.select(*o.group, F.col("_s.t").alias("times"), F.col("_s.b").alias("bins"))
     if not o.chunked:
-        return packed.withColumns({"before": F.lit(None).cast("double"), "after": F.lit(None).cast("double")}), False
+        return packed.withColumns({"before": F.lit(None).cast("double"), "after": F.lit(None).cast("double"), "whole": F.lit(True)}), False
     w = Window.partitionBy(*SESSION).orderBy(F.element_at("times", 1))
     ends = packed.select(*o.group, F.element_at("times", 1).alias("_first"), F.element_at("times", -1).alias("_last"))
     wide = Window.partitionBy(*SESSION).orderBy("_first")
     ends = ends.select(*o.group, F.lag("_last").over(wide).alias("before"), F.lead("_first").over(wide).alias("after"))
-    return packed.join(ends, o.group).drop(*[c for c in o.group if c not in SESSION]), True
+    return packed.join(ends, o.group).withColumn("whole", F.col("before").isNull() & F.col("after").isNull()).drop(*[c for c in o.group if c not in SESSION]), True
 
 
 def _counted(ts, t0, t1, lim, times, bins, before, after, shares: np.ndarray, cells: int):
@@ -73,7 +73,13 @@ def _counted(ts, t0, t1, lim, times, bins, before, after, shares: np.ndarray, ce
         ahead = np.where(left + 1 < len(times), times[np.minimum(left + 1, len(times) - 1)], after) - x
         choose = np.where(back <= ahead, left, left + 1)
         mine = (choose >= 0) & (choose < len(times))
-        key, n = np.unique((np.broadcast_to(k, x.shape) * cells + bins[np.clip(choose, 0, len(times) - 1)])[mine], return_counts=True)
+        key = (np.broadcast_to(k, x.shape) * cells + bins[np.clip(choose, 0, len(times) - 1)])[mine]
+        if len(k) * cells <= 32 * key.size:
+            n = np.bincount(key - at * cells, minlength=len(k) * cells)
+            own = np.flatnonzero(n)
+            key, n = own + at * cells, n[own]
+        else:
+            key, n = np.unique(key, return_counts=True)
         found.append((key, n))
     key, n = (np.concatenate(c) for c in zip(*found))
     return key // cells, key % cells, n
@@ -87,6 +93,10 @@ def shifted_counts(spk: DataFrame, moving: DataFrame, ext: Extent, rows: int, co
     ``spk``: session_id, unit, i, t.  ``moving``: session_id, i, t, x, y."""
     tracked, chunked = _pieces(moving, ext, rows, cols, settings)
     met = spread(attach(_trains(spk, limit, settings), tracked, SESSION), UNIT)
+    return _pieces_counted(met, rows, cols, shares, chunked)
+
+
+def _pieces_counted(met: DataFrame, rows: int, cols: int, shares: Sequence[float], chunked: bool) -> DataFrame:
     given, cells = np.asarray(shares, float), rows * cols
     kinds = {c: met.schema[c].dataType.simpleString() for c in UNIT}
 
@@ -113,12 +123,72 @@ def shifted_counts(spk: DataFrame, moving: DataFrame, ext: Extent, rows: int, co
     return out
 
 
+def _occupied(occ: DataFrame, cols: int) -> DataFrame:
+    """(session_id, _b, _v): occupied bins of each session in one row."""
+    seen = occ.groupBy(*SESSION).agg(F.collect_list(F.struct((F.col("r") * cols + F.col("c")).alias("b"), "v")).alias("_o"))
+    return seen.select(*SESSION, F.col("_o.b").alias("_b"), F.col("_o.v").alias("_v"))
+
+
+def shifted_report(spk: DataFrame, moving: DataFrame, occ: DataFrame, ext: Extent, rows: int, cols: int, shares: Sequence[float], limit: float,
+                   names: Sequence[str] = map_scores.NAMES, settings: Settings = DEFAULT, margin: float = 1e-9) -> DataFrame:
+    """The report of :func:`null_report` on the scores of all shifts of each train.
+
+    The trains of a session that is not hot are counted, scored and compared in one task each,
+    so that neither maps nor scores are shuffled; those of hot sessions go through
+    :func:`shifted_counts`' pieces, :func:`map_null_scores` and :func:`null_report`."""
+    names = list(names)
+    tracked, chunked = _pieces(moving, ext, rows, cols, settings)
+    met = attach(_trains(spk, limit, settings), tracked, SESSION)
+    whole = F.col("whole") & (F.col("blocks") == 1)
+    cut = chunked or settings.chunks is None          # without a plan a train may be hot where its session's samples are few
+    if cut:
+        counts = _pieces_counted(spread(met.where(~whole), UNIT), rows, cols, shares, True)
+        hot = null_report(map_null_scores(counts, occ, rows, cols, names, settings), names, margin)
+    met = spread(attach(met.where(whole), _occupied(occ, cols), SESSION), UNIT)
+    given, cells = np.asarray(shares, float), rows * cols
+    floor, p = settings.occupancy_floor, settings.active_percentile
+    kinds = {c: met.schema[c].dataType.simpleString() for c in UNIT}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index
+            col = {c: batch.column(at(c)) for c in batch.schema.names}
+            own, score, found = [], [], []
+            for k in range(batch.num_rows):
+                ts, times, bins, seen, v = (np.asarray(col[c][k].values.to_numpy(zero_copy_only=False)) for c in ("ts", "times", "bins", "_b", "_v"))
+                t0, t1, lim = (col[c][k].as_py() for c in ("t0", "t1", "lim"))
+                it, b, n = _counted(ts, t0, t1, lim, times, bins, None, None, given, cells)
+                if not len(it) or it[0] != 0:
+                    continue
+                occupancy = np.zeros(cells)
+                occupancy[seen] = v
+                made, row = np.unique(it, return_inverse=True)
+                values = map_scores.of_counts(row, b, n, len(made), occupancy, rows, cols, floor, p, names)
+                for j, name in enumerate(names):
+                    first, null = values[0, j], values[1:, j]
+                    null = null[~np.isnan(null)]
+                    if len(null):
+                        slack = margin * max(1.0, abs(first))
+                        shares_of = (np.nan, np.nan) if np.isnan(first) else ((null < first - slack).mean(), (null > first + slack).mean())
+                        own.append(k)
+                        score.append(name)
+                        found.append((first, len(null), null.mean(), null.std(), *shares_of))
+            if found:
+                numbers = np.array(found, float).T
+                columns = [pa.array(c, mask=np.isnan(c)) for c in numbers]
+                columns[1] = pa.array(numbers[1].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[col[c].take(pa.array(own)) for c in UNIT], pa.array(score), *columns],
+                                                 [*UNIT, "score", "observed", "null_n", "null_mean", "null_std", "below", "above"])
+
+    out = met.mapInArrow(run, f"session_id {kinds['session_id']}, unit {kinds['unit']}, score string, observed double, null_n long, null_mean double, null_std double, below double, above double")
+    return out.unionByName(hot) if cut else out
+
+
 def map_null_scores(counts: DataFrame, occ: DataFrame, rows: int, cols: int, names: Sequence[str] = map_scores.NAMES,
                     settings: Settings = DEFAULT) -> DataFrame:
     """(session_id, unit, iter, scores...) of the maps of :func:`shifted_counts`; ``names`` may add 'grid'."""
     names = list(names)
-    seen = occ.groupBy(*SESSION).agg(F.collect_list(F.struct((F.col("r") * cols + F.col("c")).alias("b"), "v")).alias("_o"))
-    seen = seen.select(*SESSION, F.col("_o.b").alias("_b"), F.col("_o.v").alias("_v"))
+    seen = _occupied(occ, cols)
     floor, p = settings.occupancy_floor, settings.active_percentile
 
     met = spread(attach(counts, seen, SESSION), [*UNIT, "part"]).select(*UNIT, "iters", "bins", "counts", "_b", "_v")

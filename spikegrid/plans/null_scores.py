@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spikegrid.functions import map_scores
 from spikegrid.operators import distances as D, null_maps as NM, nulls as N, relabel as RL, tracking as T
 from spikegrid.plans.base import ARENA, COL_SQL, COLS, OPTIONS, ROW_SQL, ROWS, R, compose, events, options, part, query, rd, spikes, tracking
 from spikegrid.plans.remapping import BIN, LIMIT, LINK, cells, link_points
@@ -58,15 +59,17 @@ SELECT session_id, unit, score, {R('max(observed)')} AS observed, count(*) AS nu
 FROM n GROUP BY 1, 2, 3""", "manybins")
 
 
-def shifted(spark, sf):
+def shifted(spark, sf, *names):
+    """The report on the named scores (all, if none is named) of shifted trains."""
     moving = T.speed_between(T.with_speed(tracking(spark, sf), options(spark, sf)), 0.0, OPTIONS.speed_high)
-    return NM.shifted_counts(spikes(spark, sf), moving, ARENA, ROWS, COLS, N.lattice_shares(SHUFFLES), LIMIT, options(spark, sf))
+    return NM.shifted_report(spikes(spark, sf), moving, occupancy(spark, sf), ARENA, ROWS, COLS, N.lattice_shares(SHUFFLES), LIMIT,
+                             names or map_scores.NAMES, options(spark, sf))
 
 
 @query("null_report", NULL_REPORT_SQL)
 def null_report(spark, sf):
     """Information, sparsity, selectivity, coherence and four wall scores of every unit against 1000 shifts of its train."""
-    report = NM.null_report(NM.map_null_scores(shifted(spark, sf), occupancy(spark, sf), ROWS, COLS, settings=OPTIONS))
+    report = shifted(spark, sf)
     return report.select(*UNIT, "score", rd("observed").alias("observed"), "null_n", *[rd(c).alias(c) for c in ("null_mean", "null_std", "below", "above")])
 
 
@@ -79,7 +82,7 @@ SELECT n.session_id, n.unit, count(*) AS iterations, {R('avg(n.info)')} AS shuff
 FROM i n JOIN i o ON o.session_id = n.session_id AND o.unit = n.unit AND o.iter = 0 WHERE n.iter > 0 GROUP BY 1, 2""", "manybins"))
 def null_pvalue(spark, sf):
     """Spatial information of every unit against 1000 shifts of its train."""
-    r = NM.null_report(NM.map_null_scores(shifted(spark, sf), occupancy(spark, sf), ROWS, COLS, ["information"], OPTIONS), ["information"])
+    r = shifted(spark, sf, "information")
     return r.select(*UNIT, F.col("null_n").alias("iterations"), rd("null_mean").alias("shuffled_mean"), rd("null_std").alias("shuffled_std"), rd("above").alias("p_value"))
 
 

@@ -64,3 +64,38 @@ def test_relabellings_summed_up_in_their_task(spark):
         for key, r in got.items():
             v = np.array(full[key].nulls)
             assert np.allclose([r.observed, r.null_n, r.null_mean, r.null_std, r.above], [full[key].observed, 50, v.mean(), v.std(), (v > r.observed + 1e-9).mean()])
+
+
+@pytest.mark.parametrize("rows", [37, 300, 1000])
+def test_shift_report_in_one_task(spark, rows):
+    """The report made in the task of a train is that of the shuffled scores, for sessions hot and not."""
+    from spikegrid.functions import map_scores
+    from spikegrid.functions.expr import Extent
+    from spikegrid.operators import maps as M, null_maps as NM, nulls as N
+    from spikegrid.operators.ordered import plan_chunks
+    from spikegrid.settings import DEFAULT
+
+    rng, ext = random.Random(2), Extent(0.0, 10.0, 0.0, 10.0)
+    trk = spark.createDataFrame([(s, k, k * 0.5, rng.random() * 10, rng.random() * 10) for s, n in ((1, 240), (2, 400)) for k in range(n)],
+                                "session_id int, i long, t double, x double, y double")
+    spk = spark.createDataFrame([(s, u, 1000 * s + 200 * j + k, rng.random() * 120) for s in (1, 2) for j, u in enumerate("xy") for k in range(40)] + [(1, "one", 9, 3.0)],
+                                "session_id int, unit string, i long, t double")
+    s = DEFAULT.but(rows_per_chunk=rows)
+    s = s.but(chunks=plan_chunks(trk.select("session_id", "t"), ["session_id"], "t", s))
+    occ, shares = M.occupancy(trk, ext, 6, 6), N.lattice_shares(60)
+    for names in (map_scores.NAMES, ["information"], ["selectivity", "sparsity"]):
+        want = NM.null_report(NM.map_null_scores(NM.shifted_counts(spk, trk, ext, 6, 6, shares, 20.0, s), occ, 6, 6, names, s), names)
+        got = NM.shifted_report(spk, trk, occ, ext, 6, 6, shares, 20.0, names, s)
+        a, b = ({(r.session_id, r.unit, r.score): r[3:] for r in d.collect()} for d in (want, got))
+        assert set(a) == set(b) and len(a) == 4 * len(names)
+        assert all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_kernels_are_spread_over_tasks(spark):
+    """Rows that lie by their keys already are still dealt to all tasks."""
+    from spikegrid.operators.maps import spread
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = spark.range(200).selectExpr("id AS k", "id AS v").groupBy("k").agg(F.collect_list("v").alias("v"))
+    places = {r.p for r in spread(small, ["k"]).mapInArrow(lambda it: it, "k long, v array<long>").select(F.spark_partition_id().alias("p")).collect()}
+    assert len(places) == n
