@@ -150,10 +150,11 @@ class StateFilter:
         self.B = b[1:] - a[1:] * b[0]
         self.d = b[0]
         m = self.block
-        power, self.out, self.inp = np.eye(n), np.zeros((m, n)), np.zeros((n, m))
+        power, self.out, self.inp, self.powers = np.eye(n), np.zeros((m, n)), np.zeros((n, m)), []
         h = np.zeros(m)
         for k in range(m):
             self.out[k] = power[0]
+            self.powers.append(power)
             self.inp[:, m - 1 - k] = power @ self.B
             power = self.A @ power
         self.step = power
@@ -178,7 +179,8 @@ class StateFilter:
         for k in range(full):
             y[k * m:(k + 1) * m] = direct[k] + self.out @ s
             s = self.step @ s + drive[k]
-        for i in range(full * m, len(x)):
-            y[i] = s[0] + self.d * x[i]
-            s = self.A @ s + self.B * x[i]
+        rest = x[full * m:]
+        if r := len(rest):
+            y[full * m:] = self.conv[:r, :r] @ rest + self.out[:r] @ s
+            s = self.powers[r] @ s + self.inp[:, m - r:] @ rest
         return y, s

@@ -44,7 +44,8 @@ def in_blocks(lfp: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
 
 
 def _chained(blocks: DataFrame, keys: Sequence[str], first: str, backward: bool, flt: StateFilter) -> DataFrame:
-    """Start state of every block: s' = A^len s + end, from ``first`` state on, in time or against it."""
+    """Start state of every block: s' = A^len s + end, from ``first`` state on, in time or against it.
+    A signal of one block starts from its first state; only longer ones are gathered."""
     kinds = dict(blocks.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block long, start array<double>"
 
@@ -61,7 +62,8 @@ def _chained(blocks: DataFrame, keys: Sequence[str], first: str, backward: bool,
         return out
 
     # one short row per block of samples
-    return blocks.select(*keys, "block", first, "end", "len").groupBy(*keys).applyInPandas(fold, schema)
+    longer = blocks.where("n_blocks > 1").select(*keys, "block", first, "end", "len").groupBy(*keys).applyInPandas(fold, schema)
+    return blocks.where("n_blocks = 1").select(*keys, "block", F.col(first).alias("start")).unionByName(longer)
 
 
 def zero_phase(lfp: DataFrame, keys: Sequence[str], b, a, settings: Settings = DEFAULT) -> DataFrame:
@@ -112,11 +114,11 @@ def zero_phase(lfp: DataFrame, keys: Sequence[str], b, a, settings: Settings = D
         return pd.Series(out)
 
     at = [*keys, "block"]
-    p = blocks.select(*at, probe("x", "block", "n_blocks").alias("_p")).select(*at, "_p.*")
+    p = blocks.select(*at, "n_blocks", probe("x", "block", "n_blocks").alias("_p")).select(*at, "n_blocks", "_p.*")
     y = blocks.join(_chained(p, keys, "zi", False, flt), at)
     # the forward pass feeds two branches: write it once instead of filtering twice
     y = computed_once(y.select(*at, "n_blocks", forward("x", "start", "block", "n_blocks").alias("y")))
-    q = y.select(*at, F.size("y").cast("long").alias("len"), probe_back("y").alias("_p")).select(*at, "len", "_p.*")
+    q = y.select(*at, "n_blocks", F.size("y").cast("long").alias("len"), probe_back("y").alias("_p")).select(*at, "n_blocks", "len", "_p.*")
     out = y.join(_chained(q, keys, "zi", True, flt), at).select(*at, backward("y", "start", "block", "n_blocks").alias("y"))
     return out.select(*keys, (F.col("block") * length).alias("_o"), F.posexplode_outer("y").alias("_i", "y")).where("_i IS NOT NULL").select(
         *keys, (F.col("_o") + F.col("_i")).alias("i"), "y")
@@ -252,19 +254,23 @@ def adaptive_rate(spk: DataFrame, keys: Sequence[str], window: float, settings:
     kinds = dict(d.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in group)
 
-    def ends_from(t: np.ndarray, start: int) -> list[int]:
-        out, at = [start], start
-        while True:
-            nxt = int(np.searchsorted(t, t[at] + window, side="right"))
-            if nxt >= len(t):
-                return out
-            out.append(nxt)
-            at = nxt
+    def following(t: np.ndarray) -> list[int]:
+        return np.searchsorted(t, t + window, side="right").tolist()
+
+    def ends_from(after: list[int], start: int) -> list[int]:
+        out = [start]
+        while after[out[-1]] < len(after):
+            out.append(after[out[-1]])
+        return out
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf.sort_values(["t", "i"])["t"].to_numpy()
+        after, leave = following(t), list(range(len(t)))
+        for e in range(len(t) - 1, -1, -1):             # the last end on the way from each spike
+            if e < after[e] < len(t):
+                leave[e] = leave[after[e]]
         entries = range(int(np.searchsorted(t, t[0] + window, side="right")) + 1)
-        rows = [(t[e], t[ends_from(t, e)[-1]]) for e in entries if e < len(t)]
+        rows = [(t[e], t[leave[e]]) for e in entries if e < len(t)]
         out = pd.DataFrame(rows, columns=["entry", "leave"])
         out["_n"] = np.arange(len(out))
         for c in group:
@@ -288,10 +294,9 @@ def adaptive_rate(spk: DataFrame, keys: Sequence[str], window: float, settings:
             out[c] = pdf[c].iloc[0]
         return out[[*keys, "_chunk", "_n"]]
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "i"])
-        ends = ends_from(pdf["t"].to_numpy(), int(pdf["_n"].iloc[0]))
-        return pdf.iloc[ends][[*group, "t", "_k"]]
+    @F.pandas_udf("array<int>")
+    def mark(t: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([ends_from(following(np.asarray(v, float)), int(n)) for v, n in zip(t, start)])
 
     if o.chunked:
         entries = d.select(*group, "t", "i").groupBy(*group).applyInPandas(table, f"{head}, _n long, entry double, leave double")
@@ -299,7 +304,12 @@ def adaptive_rate(spk: DataFrame, keys: Sequence[str], window: float, settings:
         d = d.join(start, group)
     else:
         d = d.withColumn("_n", F.lit(0).cast("long"))
-    ends = d.select(*group, "t", "i", "_k", "_n").groupBy(*group).applyInPandas(mark, f"{head}, t double, _k long")
+    # a chunk is one packed row, spikes without a time at its end
+    spikes = F.sort_array(F.collect_list(F.struct(F.col("t").isNull().alias("_none"), F.col("t").cast("double").alias("t"), "i", "_k")))
+    packed = d.groupBy(*group).agg(spikes.alias("_s"), F.first("_n").alias("_n"))
+    packed = packed.select(*group, "_s", mark(F.col("_s.t"), F.col("_n")).alias("_ends"))
+    ends = packed.select(*group, F.explode_outer(F.transform("_ends", lambda j: F.get("_s", j))).alias("_e")).where("_e IS NOT NULL")
+    ends = ends.select(*group, "_e.t", "_e._k")
     # ends are far fewer than spikes; their neighbours give counts and durations
     e = Ordered(ends.drop("_chunk").withColumn("i", F.col("_k")), keys, ["t", "i"], settings)
     e = e.lag_lead({"_pt": ("t", -1), "_pk": ("_k", -1)})
