@@ -42,9 +42,13 @@ def point_distances(maps: DataFrame, keys: Sequence[str], rows: int, cols: int,
     """Weighted mean distance of a map to each of a fixed list of points (name, y, x)."""
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(y)).alias("y"), F.lit(float(x)).alias("x")) for k, y, x in points])
     y, x = (F.col("r") + 0.5) * F.lit(height / rows), (F.col("c") + 0.5) * F.lit(width / cols)
-    d = maps.withColumn("_o", F.explode(table))
-    return d.groupBy(*keys, F.col("_o.k").alias("point")).agg(
-        safe_div(F.sum(F.col("v") * hypot2(x - F.col("_o.x"), y - F.col("_o.y"))), F.sum("v")).alias("distance"))
+    # a map is packed before it meets the points: what is shuffled are its bins, not one row a point
+    packed = maps.groupBy(*keys).agg(F.collect_list(F.struct(y.alias("y"), x.alias("x"), F.col("v").alias("v"))).alias("_m"), F.sum("v").alias("_w"))
+    d = packed.withColumn("_o", F.explode(table))
+    far = F.transform("_m", lambda m: m["v"] * hypot2(m["x"] - F.col("_o.x"), m["y"] - F.col("_o.y")))
+    d = d.select(*keys, "_w", F.col("_o.k").alias("point"), F.filter(far, lambda v: v.isNotNull()).alias("_d"))
+    total = F.when(F.size("_d") > 0, F.aggregate("_d", F.lit(0.0), lambda s, v: s + v))
+    return d.select(*keys, "point", safe_div(total, "_w").alias("distance"))
 
 
 # ---------------------------------------------------------- rotation, scaling

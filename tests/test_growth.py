@@ -99,3 +99,18 @@ def test_kernels_are_spread_over_tasks(spark):
     small = spark.range(200).selectExpr("id AS k", "id AS v").groupBy("k").agg(F.collect_list("v").alias("v"))
     places = {r.p for r in spread(small, ["k"]).mapInArrow(lambda it: it, "k long, v array<long>").select(F.spark_partition_id().alias("p")).collect()}
     assert len(places) == n
+
+
+def test_point_distances_shuffle_bins_alone(spark):
+    """A map with many points is one shuffle of its bins; bins without a place count in the weight alone."""
+    from spikegrid.operators import geometry as G
+
+    maps = spark.createDataFrame([(1, 0, 0, 2.0), (1, 1, 3, 1.0), (1, None, 3, 1.0), (2, None, None, 1.0), (3, 2, 2, 0.0)], "k int, r int, c int, v double")
+    points = [(str(j), j * 0.5, j * 0.25) for j in range(12)]
+    d = G.point_distances(maps, ["k"], 4, 4, 8.0, 4.0, points)
+    assert plan_of(d.groupBy("k").agg(F.collect_list("distance"))).count("exchange hashpartitioning") == 1
+    got = {(r.k, r.point): r.distance for r in d.collect()}
+    assert len(got) == 36
+    for name, y, x in points:
+        want = (2 * math.hypot(0.5 - x, 1 - y) + math.hypot(3.5 - x, 3 - y)) / 4
+        assert math.isclose(got[1, name], want) and got[2, name] is None and got[3, name] is None
