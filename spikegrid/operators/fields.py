@@ -7,10 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spikegrid.functions import grid_kernels as gk
+from spikegrid.functions.arrow_lists import end_to_end, lists_of
 from spikegrid.functions.expr import safe_div
 from spikegrid.operators.maps import spread
 from spikegrid.settings import DEFAULT, Settings
@@ -23,15 +25,13 @@ def blobs(packed: DataFrame, keys: Sequence[str], column: str, rows: int, cols:
     mats = None if no_filter else (gk.smoothing_matrix(rows, taps), gk.smoothing_matrix(cols, taps))
     s = settings
 
-    @F.pandas_udf("array<int>")
-    def run(rate: pd.Series) -> pd.Series:
-        out = []
-        for v in rate:
-            m = np.asarray(v, dtype=float).reshape(rows, cols)
-            out.append(gk.blob_labels(m, mats, s.blob_low, s.blob_high, s.blob_min_share).ravel())
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def run(rate: pa.Array) -> pa.Array:
+        maps = end_to_end(rate).reshape(-1, rows, cols)
+        return lists_of(gk.blob_labels(maps, mats, s.blob_low, s.blob_high, s.blob_min_share).reshape(-1, rows * cols))
 
-    return spread(packed, keys).select(*keys, column, run(column).alias("labels"))
+    # not repeatable to the planner, or a filter on the labels runs the kernel a second time
+    return spread(packed, keys).select(*keys, column, run.asNondeterministic()(column).alias("labels"))
 
 
 def place_fields(packed: DataFrame, keys: Sequence[str], column: str, rows: int, cols: int,
@@ -200,18 +200,20 @@ def wrap_fields(packed: DataFrame, keys: Sequence[str], column: str, rows: int,
     holes they leave refilled from the bins they cover; then blurred to a distribution."""
     left, right = gk.reflected_blur(rows, sigma), gk.reflected_blur(cols, sigma)
 
-    @F.pandas_udf("struct<raw: array<double>, blurred: array<double>>")
-    def run(rate: pd.Series, labels: pd.Series, salt: pd.Series) -> pd.DataFrame:
-        out = []
-        for v, l, s in zip(rate, labels, salt):
-            raw = gk.wrapped_fields(np.asarray(v, float).reshape(rows, cols), np.asarray(l).reshape(rows, cols), np.random.default_rng(int(s)))
-            total = raw.sum()
-            blur = left @ (raw / total) @ right.T if total > 0 else raw
-            out.append((raw.ravel(), (blur / blur.sum() if total > 0 else blur).ravel()))
-        return pd.DataFrame(out, columns=["raw", "blurred"])
+    @F.arrow_udf("struct<raw: array<double>, blurred: array<double>>")
+    def run(rate: pa.Array, labels: pa.Array, salt: pa.Array) -> pa.Array:
+        raw = end_to_end(rate).reshape(-1, rows, cols)
+        for k, (l, s) in enumerate(zip(end_to_end(labels).astype(int).reshape(raw.shape), salt.to_pylist())):
+            raw[k] = gk.wrapped_fields(raw[k], l, np.random.default_rng(s))
+        blur, total = raw.copy(), raw.sum(axis=(1, 2), keepdims=True)
+        full = total[:, 0, 0] > 0
+        blur[full] = left @ (raw[full] / total[full]) @ right.T
+        blur[full] /= blur[full].sum(axis=(1, 2), keepdims=True)
+        flat = lambda m: lists_of(m.reshape(-1, rows * cols))
+        return pa.StructArray.from_arrays([flat(raw), flat(blur)], ["raw", "blurred"])
 
     salt = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1 << 31))
-    return spread(packed, keys).select(*keys, column, "labels", run(column, "labels", salt).alias("_s")).select(*keys, column, "labels", "_s.raw", "_s.blurred")
+    return spread(packed, keys).select(*keys, column, "labels", run.asNondeterministic()(column, "labels", salt).alias("_s")).select(*keys, column, "labels", "_s.raw", "_s.blurred")
 
 
 def _place_anew(rate: np.ndarray, labels: np.ndarray, seed: int) -> np.ndarray:
