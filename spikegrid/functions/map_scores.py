@@ -66,7 +66,7 @@ def scores(counts: np.ndarray, occupancy: np.ndarray, rows: int, cols: int, floo
     if any(n.startswith("border") for n in names):
         out |= zip(NAMES[4:], _borders(_ratio(stack, np.broadcast_to(peak[:, None, None], stack.shape)), p, lengths_as_published))
     if "grid" in names:
-        found = [gk.grid_measures(m) if m.any() else None for m in stack]
+        found = [g if m.any() else None for part in gk.parts(stack) for m, g in zip(part, gk.grid_measures(part))]
         out["grid"] = np.array([f["score"] if f else math.nan for f in found])
     return np.where(mean[:, None] > 0, np.column_stack([out[n] for n in names]), np.nan)
 

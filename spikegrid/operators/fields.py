@@ -39,17 +39,13 @@ def place_fields(packed: DataFrame, keys: Sequence[str], column: str, rows: int,
     """Labels of the place fields as an int array ``labels`` per map."""
     s = settings
 
-    @F.pandas_udf("array<int>")
-    def run(rate: pd.Series) -> pd.Series:
-        out = []
-        for v in rate:
-            m = np.asarray(v, dtype=float).reshape(rows, cols)
-            lab = gk.place_field_labels(m, s.field_min_bins, s.field_min_mean, s.field_min_peak, s.field_high,
-                                        s.field_low, s.field_step, clearance=clearance)
-            out.append(lab.ravel())
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def run(rate: pa.Array) -> pa.Array:
+        found = [gk.place_field_labels(m, s.field_min_bins, s.field_min_mean, s.field_min_peak, s.field_high, s.field_low, s.field_step,
+                                       clearance=clearance) for m in gk.parts(end_to_end(rate).reshape(-1, rows, cols))]
+        return lists_of(np.concatenate([*found, np.zeros((0, rows, cols), np.int32)]).reshape(-1, rows * cols))
 
-    return spread(packed, keys).select(*keys, column, run(column).alias("labels"))
+    return spread(packed, keys).select(*keys, column, run.asNondeterministic()(column).alias("labels"))
 
 
 def field_bins(labelled: DataFrame, keys: Sequence[str], column: str, cols: int) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spikegrid.functions import grid_kernels as gk
+from spikegrid.functions.arrow_lists import end_to_end, lists_of
 from spikegrid.functions.expr import TWO_PI, hypot2, safe_corr, safe_div
 from spikegrid.operators import maps as M
 from spikegrid.operators.asof import asof_backward, asof_nearest
@@ -232,13 +233,13 @@ GRID_TYPE = "struct<score:double,spacing:double,orientation:double,orientation_s
 
 def grid_score(packed: DataFrame, keys: Sequence[str], column: str, rows: int, cols: int) -> DataFrame:
     """Grid score and grid geometry of packed dense rate maps."""
-    @F.pandas_udf(GRID_TYPE)
-    def run(rate: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(GRID_TYPE)
+    def run(rate: pa.Array) -> pa.Array:
+        found = [g or {} for m in gk.parts(end_to_end(rate).reshape(-1, rows, cols)) for g in gk.grid_measures(m)]
         names = ["score", "spacing", "orientation", "orientation_std", "aspect", "tilt"]
-        out = [gk.grid_measures(np.asarray(v, dtype=float).reshape(rows, cols)) or {} for v in rate]
-        return pd.DataFrame([{k: o.get(k) for k in names} for o in out], columns=names).astype(float)
+        return pa.StructArray.from_arrays([pa.array([g.get(n) for g in found], pa.float64()) for n in names], names)
 
-    g = M.spread(packed, keys).select(*keys, run(column).alias("_g"))
+    g = M.spread(packed, keys).select(*keys, run.asNondeterministic()(column).alias("_g"))
     clean = lambda f, n: F.when(~F.isnan(f"_g.{f}"), F.col(f"_g.{f}")).alias(n)
     return g.select(
         *keys, clean("score", "grid_score"), clean("spacing", "grid_spacing"), clean("orientation", "grid_orientation"),
@@ -250,8 +251,9 @@ def autocorrelation(packed: DataFrame, keys: Sequence[str], column: str, rows: i
     """Autocorrelogram of packed dense maps in long form (r, c, v)."""
     probe = gk.autocorrelogram(np.arange(rows * cols, dtype=float).reshape(rows, cols))
 
-    @F.pandas_udf("array<double>")
-    def run(m: pd.Series) -> pd.Series:
-        return pd.Series([gk.autocorrelogram(np.asarray(v, dtype=float).reshape(rows, cols)).ravel() for v in m])
+    @F.arrow_udf("array<double>")
+    def run(rate: pa.Array) -> pa.Array:
+        found = [gk.autocorrelogram(m) for m in gk.parts(end_to_end(rate).reshape(-1, rows, cols))]
+        return lists_of(np.concatenate([*found, np.zeros((0, *probe.shape))]).reshape(-1, probe.size))
 
     return M.unpack(M.spread(packed, keys).select(*keys, run(column).alias("_ac")), keys, "_ac", probe.shape[1])

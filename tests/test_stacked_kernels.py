@@ -67,3 +67,59 @@ def test_a_filter_does_not_run_a_kernel_twice(spark):
     for r in moved.collect():
         inside = sum(v for v, x in zip(r.rate, r.labels) if x > 0)
         assert sum(r.raw) >= inside - 1e-9 and np.isclose(sum(r.blurred), 1.0)
+
+
+def plain_region(image, peak, share):
+    """Bins that reach the peak through bins above its share, and whether a bin outside is shut in."""
+    inside = gk.grow(np.eye(1, image.size, peak[0] * image.shape[1] + peak[1]).reshape(image.shape) > 0, image >= image[tuple(peak)] * share)
+    return inside, bool(inside.any() and gk.enclosed(inside).any())
+
+
+def test_regions_of_all_shares_at_once():
+    """One pass gives the region of every share, holes and other peaks in it included."""
+    rng = np.random.default_rng(7)
+    images = gk.smoothing_matrix(12, gk.gaussian_taps(1.0)) @ rng.random((20, 12, 12)) - 0.3
+    images[:4] = images[:4].round(1)
+    peaks, others = rng.integers(0, 12, (20, 2)), rng.random(images.shape) < 0.02
+    search = gk._FieldSearch(images, np.zeros(images.shape, bool), peaks, others)
+    for k, (image, peak) in enumerate(zip(images, peaks)):
+        for share in (1.0, 0.9, 0.5, 0.2):
+            inside, holes = plain_region(image, peak, share)
+            assert search.region(k, share) == (inside.sum(), bool(inside.any() and not holes and not (inside & others[k]).any()))
+            assert search.closed(k, share) == bool(inside.any() and not holes)
+
+
+def test_maxima_of_a_stack():
+    """A maximum is a part of equal bins, no bin of which touches a higher one."""
+    rng = np.random.default_rng(8)
+    images = np.concatenate([rng.random((6, 9, 8)).round(1) + 0.1, np.ones((1, 9, 8)), rng.random((5, 9, 8))])
+    for img, got in zip(images, gk.plateaus(images, clearance=0)):
+        want = []
+        for value in np.unique(img):
+            lab = gk.components(img == value, True)
+            for k in range(1, lab.max() + 1):
+                part = lab == k
+                beside = gk._spread(part, True) & ~part
+                if beside.any() and (img[beside] < value).all():
+                    r, c = np.nonzero(part)
+                    want.append((int(r.mean()), int(c.mean())))
+        assert sorted(map(tuple, got.tolist())) == sorted(want)
+    masks = rng.random(images.shape) < 0.01
+    far = gk.plateaus(images, masks, 2)
+    assert all(np.array_equal(a, gk.plateaus(i[None], m[None], 2)[0]) for a, i, m in zip(far, images, masks))
+    assert all(not m[max(0, r - 2):r + 3, max(0, c - 2):c + 3].any() for at, m in zip(gk.plateaus(images[7:], masks[7:], 2), masks[7:]) for r, c in at)
+
+
+def test_grid_and_fields_of_a_stack():
+    rng = np.random.default_rng(9)
+    y, x = np.mgrid[:16, :16]
+    hexa = [sum(np.cos(2 * np.pi / s * (x * np.cos(t) + y * np.sin(t))) for t in (0, np.pi / 3, 2 * np.pi / 3)) + 3 for s in (5, 6, 7)]
+    maps = np.concatenate([hexa, rng.random((5, 16, 16)), np.zeros((1, 16, 16)), np.ones((1, 16, 16))])
+    ours, alone = gk.grid_measures(maps), [gk.grid_measures(m) for m in maps]
+    assert ours[-2:] == [None, None] and ours[0]["score"] > 0.5
+    for a, b in zip(ours, alone):
+        assert (a is None) == (b is None)
+        assert a is None or all((a[k] is None) == (b[k] is None) and (a[k] is None or np.isclose(a[k], b[k])) for k in a)
+    options = dict(min_bins=3, min_mean=0.01, min_peak=0.1, clearance=0)
+    assert np.array_equal(gk.place_field_labels(maps, **options), [gk.place_field_labels(m, **options) for m in maps])
+    assert np.array_equal(np.concatenate(list(gk.parts(maps))), maps)
