@@ -77,13 +77,49 @@ def _least_positive(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
     x, y = (np.stack(t["v"].to_numpy(zero_copy_only=False)) for t in (left, right))
+    out = least_positive(x, y)
+    return pa.table([left["id"], pa.array(out, from_pandas=False, mask=np.isinf(out))], schema=schema)
+
+
+def least_positive(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least positive squared distance from each row of ``x`` to the rows of ``y``; infinite if there is none.
+
+    A matrix product gives all distances but for rounding; those that may be zero or least are
+    computed anew from the differences, so the result is theirs."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    if not np.isfinite(x2).all() or not np.isfinite(y2).all() or x2.max() > 1e300 or y2.max() > 1e300:
+        return _least_plain(x, y)
+    y = np.unique(y, axis=0)                        # copies would all be computed anew
+    y2 = (y * y).sum(axis=1)
+    slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (x2 + y2.max())
+    right = np.vstack([-2 * y.T, np.ones(len(y)), y2])
+    out = np.full(len(x), np.inf)
+    step = max(1, (1 << 21) // len(y))
+    for at in range(0, len(x), step):
+        part, room = x[at:at + step], slack[at:at + step, None]
+        d = np.hstack([part, x2[at:at + step, None], np.ones((len(part), 1))]) @ right
+        rows, columns = np.nonzero(d <= room)
+        d[rows, columns] = np.inf
+        more = np.nonzero(d <= d.min(axis=1, keepdims=True) + 3 * room)
+        rows, columns = np.concatenate([rows, more[0]]), np.concatenate([columns, more[1]])
+        for k in range(0, len(rows), 1 << 14):
+            r, c = rows[k:k + (1 << 14)], columns[k:k + (1 << 14)]
+            exact = ((part[r] - y[c]) ** 2).sum(axis=1)
+            exact[exact == 0] = np.inf
+            np.minimum.at(out, at + r, exact)
+    return out
+
+
+def _least_plain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same from all differences, for values whose squares are not finite."""
     out = np.empty(len(x))
     step = max(1, (1 << 20) // max(1, y.size))
     for at in range(0, len(x), step):
         d = ((x[at:at + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
         d[d == 0] = np.inf
         out[at:at + step] = d.min(axis=1)
-    return pa.table([left["id"], pa.array(out, from_pandas=False, mask=np.isinf(out))], schema=schema)
+    return out
 
 
 def _visited(points: DataFrame, stored: DataFrame, blocks: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
