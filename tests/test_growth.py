@@ -114,3 +114,38 @@ def test_point_distances_shuffle_bins_alone(spark):
     for name, y, x in points:
         want = (2 * math.hypot(0.5 - x, 1 - y) + math.hypot(3.5 - x, 3 - y)) / 4
         assert math.isclose(got[1, name], want) and got[2, name] is None and got[3, name] is None
+
+
+def test_shuffles_start_with_partitions_for_the_rows(spark, monkeypatch):
+    """A long table is not sorted in as few tasks as a short one; a short one changes nothing."""
+    from spikegrid import session
+    from spikegrid.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    run = lambda: QUERIES["sequential_labels"](spark, folder)
+    assert session.SQL_OPTIONS["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "8m"
+    before = spark.conf.get(session.FIRST_PARTITIONS, None)
+    few = sorted(map(tuple, run().collect()))
+    assert spark.conf.get(session.FIRST_PARTITIONS, None) == before
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 100)
+    try:
+        wide = run()
+        n = -(-lines // 100)
+        assert spark.conf.get(session.FIRST_PARTITIONS) == str(n) and f", {n})" in plan_of(wide)
+        assert sorted(map(tuple, wide.collect())) == few
+    finally:
+        spark.conf.unset(session.FIRST_PARTITIONS)
+
+
+def test_frames_of_a_report_are_not_held_together(spark):
+    """Frames that lie by the same keys reach their union through a shuffle each."""
+    from spikegrid.operators import reports as RP
+
+    rows = [(k, u, float(k)) for k in range(40) for u in ("a", None)]
+    df = spark.createDataFrame([*rows, (None, "a", 2.0)], "session_id int, unit string, x double")
+    frames = {n: df.groupBy("session_id", "unit").agg(F.max("x").alias(n)) for n in ("p", "q", "r")}
+    long = RP.score_table(frames, ["session_id", "unit"])
+    assert plan_of(long).count("exchange hashpartitioning(xxhash64(") == 3
+    wide = RP.wide_report(long, ["session_id", "unit"], list(frames))
+    assert sorted(map(str, wide.collect())) == sorted(f"Row(session_id={s}, unit={u!r}, p={x}, q={x}, r={x})" for s, u, x in [*rows, (None, "a", 2.0)])
