@@ -78,10 +78,14 @@ def share_of_total(rows: DataFrame, group: Sequence[str], part: Sequence[str]) -
 
 
 def score_table(scores: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Long (keys, score, value) table of several score frames."""
+    """Long (keys, score, value) table of several score frames.
+
+    The rows of each frame are dealt before the union: a union is one stage, which adaptive
+    execution gives about a task a core for all its frames, so each would have one or two."""
     out = None
     for df in scores.values():
         cols = [c for c in df.columns if c not in keys]
+        df = df.repartition(F.xxhash64(*keys))
         pairs = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in cols])
         long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.score", "_p.value")
         out = long if out is None else out.unionByName(long)

@@ -138,8 +138,8 @@ def test_shuffles_start_with_partitions_for_the_rows(spark, monkeypatch):
         spark.conf.unset(session.FIRST_PARTITIONS)
 
 
-def test_frames_of_a_report_are_not_held_together(spark):
-    """Frames that lie by the same keys reach their union through a shuffle each."""
+def test_frames_of_a_report_have_a_stage_each(spark):
+    """Each frame reaches the union through a shuffle, so its tasks are not shared with the others."""
     from spikegrid.operators import reports as RP
 
     rows = [(k, u, float(k)) for k in range(40) for u in ("a", None)]
