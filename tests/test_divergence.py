@@ -98,7 +98,7 @@ def test_least_distance_by_matrix_product():
     spent = []
     for least in (DV.least_positive, DV._least_plain):
         least(x[:10], x)
-        begin = time.process_time()
+        begin = time.thread_time()
         least(x, x)
-        spent.append(time.process_time() - begin)
+        spent.append(time.thread_time() - begin)
     assert spent[0] < spent[1] / 2
