@@ -196,9 +196,9 @@ def write_files(docs: DataFrame, folder: str, end_id: int = 1, path: str | None
 
         for batch in batches:
             keys = batch.column(0)
-            for k in range(0, batch.num_rows, 256):
-                coded = encode([t or "" for t in batch.column(1).slice(k, 256).to_pylist()])
-                for key, ids in zip(keys.slice(k, 256).to_pylist(), coded):
+            for k in range(0, batch.num_rows, 1024):
+                coded = encode([t or "" for t in batch.column(1).slice(k, 1024).to_pylist()])
+                for key, ids in zip(keys.slice(k, 1024).to_pylist(), coded):
                     held[0].append(key)
                     held[1].append(len(ids) // 4 + 1)
                     held[2].extend((ids, end))
