@@ -71,29 +71,75 @@ def scores(counts: np.ndarray, occupancy: np.ndarray, rows: int, cols: int, floo
     return np.where(mean[:, None] > 0, np.column_stack([out[n] for n in names]), np.nan)
 
 
-def of_counts(row: np.ndarray, b: np.ndarray, n: np.ndarray, maps: int, occupancy: np.ndarray, rows: int, cols: int, floor: float, p: float = 0.75,
-              names: Sequence[str] = NAMES) -> np.ndarray:
-    """:func:`scores` of ``maps`` maps given as counts ``n`` of bin ``b`` in map ``row``. Where only sums
-    over the occupied bins are asked for, no map is filled in."""
-    if not set(names) <= {"information", "sparsity", "selectivity"}:
-        found = []
-        for at in range(0, maps, STACK):
-            mine = (row >= at) & (row < at + STACK)
-            stack = np.bincount((row[mine] - at) * rows * cols + b[mine], n[mine], min(STACK, maps - at) * rows * cols)
-            found.append(scores(stack.reshape(-1, rows * cols), occupancy, rows, cols, floor, p, names=names))
-        return np.concatenate(found)
-    share = occupancy / occupancy.sum()
-    v = np.divide(n, occupancy[b], out=np.zeros(len(n)), where=occupancy[b] >= floor)
-    total = lambda x: np.bincount(row, x, maps)
-    mean = total(v * share[b])
-    out = {}
+def _neighbours(bins: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For some bins: which are neighbours, how many bins two of them have as common neighbours, how many neighbours each has."""
+    r, c = np.divmod(bins, cols)
+
+    def along(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.minimum(x[:, None], x), np.maximum(x[:, None], x)
+        return high - low, np.maximum(np.minimum(low + 1, size - 1) - np.maximum(high - 1, 0) + 1, 0)
+
+    (down, both_down), (across, both_across) = along(r, rows), along(c, cols)
+    far = np.maximum(down, across)
+    common = both_down * both_across - 2 * (far == 1) - (far == 0)      # a bin is not its own neighbour
+    return (far == 1).astype(float), common.astype(float), np.diagonal(common).astype(float)
+
+
+def of_bins(counts: np.ndarray, bins: np.ndarray, occupancy: np.ndarray, rows: int, cols: int, floor: float, p: float = 0.75,
+            lengths_as_published: bool = True, names: Sequence[str] = NAMES) -> np.ndarray:
+    """:func:`scores` of maps with spikes in the given bins only: ``counts`` has a column for each.
+
+    Sums over a map are sums over these bins, those of the neighbours' means quadratic forms. Only
+    maps where that would lose digits, or that fill so many bins that a percentile is needed, are
+    filled in, or all if the bins are many."""
+    size, maps = rows * cols, len(counts)
+
+    def filled(v: np.ndarray) -> np.ndarray:
+        whole = np.zeros((len(v), size))
+        whole[:, bins] = v
+        return whole
+
+    def stacks(which: np.ndarray) -> list[np.ndarray]:
+        rows_of = np.flatnonzero(which)
+        return [rows_of[at:at + STACK] for at in range(0, len(rows_of), STACK)]
+
+    if "grid" in names or len(bins) ** 2 > 64 * size:
+        return np.concatenate([scores(filled(counts[at:at + STACK]), occupancy, rows, cols, floor, p, lengths_as_published, names)
+                               for at in range(0, maps, STACK)])
+    room = np.where(occupancy[bins] >= floor, occupancy[bins], np.inf)
+    v = counts / room
+    share = (occupancy / occupancy.sum())[bins]
+    r, c = np.divmod(bins, cols)
+    beside, common, around = _neighbours(bins, rows, cols)
+    down, across = (cols, rows) if lengths_as_published else (rows, cols)
+    # all sums over a map that are linear in its rates, by one product
+    sums = v @ np.hstack([beside / 8, common / 64, np.stack([share, np.ones(len(bins)), around / 8, r, down - r, c, across - c], axis=1)])
+    mean, x, y, *far = sums[:, 2 * len(bins):].T.copy()
+    peak, out = v.max(axis=1), {}
     if "information" in names:
-        ratio = _ratio(v, mean[row])
-        out["information"] = _ratio(total(np.where(ratio > 1, v * np.log2(np.where(ratio > 1, ratio, 1)), 0) * share[b]), mean)
+        above = np.flatnonzero(v > mean[:, None])
+        of, at = np.divmod(above, len(bins))
+        some, own = v.ravel()[above], mean[of]
+        out["information"] = _ratio(np.bincount(of, some * np.log2(some / own, out=np.zeros(len(own)), where=own > 0) * share[at], maps), mean)
     if "sparsity" in names:
-        out["sparsity"] = _ratio(mean * mean, total(v * v * share[b]))
+        out["sparsity"] = _ratio(mean * mean, np.einsum("ij,ij,j->i", v, v, share))
     if "selectivity" in names:
-        peak = np.zeros(maps)
-        np.maximum.at(peak, row, v)
         out["selectivity"] = _ratio(peak, mean)
-    return np.where(mean[:, None] > 0, np.column_stack([out[k] for k in names]), np.nan)
+    if "coherence" in names:
+        dot = lambda a: np.einsum("ij,ij->i", a, v)
+        xx, xy, yy = dot(v), dot(sums[:, :len(bins)]), dot(sums[:, len(bins):2 * len(bins)])
+        cxx, cyy = xx - x * x / size, yy - y * y / size
+        safe = (cxx > 1e-3 * xx) & (cyy > 1e-3 * yy)
+        out["coherence"] = np.divide(xy - x * y / size, np.sqrt(np.where(safe, cxx * cyy, 1)), out=np.zeros(maps), where=safe)
+        for at in stacks(~safe & (peak > 0)):
+            out["coherence"][at] = _coherence(filled(v[at]).reshape(-1, rows, cols))
+    if any(n.startswith("border") for n in names):
+        # every bin is active unless the percentile is above 0: a wall is then filled, and the distances are a sum
+        apart = [_ratio(d, peak) / size / (min(rows, cols) / 2) for d in far]
+        found = [_ratio(1 - d, 1 + d) for d in apart]
+        for at in stacks(np.count_nonzero(v, axis=1) >= size - 1 - math.ceil(p * (size - 1))):
+            whole = filled(v[at])
+            for score, of_full in zip(found, _borders(_ratio(whole, np.broadcast_to(peak[at, None], whole.shape)).reshape(-1, rows, cols), p, lengths_as_published)):
+                score[at] = of_full
+        out |= zip(NAMES[4:], found)
+    return np.where(mean > 0, np.stack([out[n] for n in names]), np.nan).T

@@ -55,29 +55,38 @@ def _pieces(moving: DataFrame, ext: Extent, rows: int, cols: int, settings: Sett
     return packed.join(ends, o.group).withColumn("whole", F.col("before").isNull() & F.col("after").isNull()).drop(*[c for c in o.group if c not in SESSION]), True
 
 
+def _landed(ts, t0, t1, lim, times, before, after, shares: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(iterations, nearest sample of each spike in each of them) for some iterations at a time; a sample
+    outside this piece is -1 or the number of its samples. Iteration 0 is the train itself, k the shift
+    by ``shares[k - 1]``."""
+    known = np.concatenate([[-np.inf if before is None else before], times, [np.inf if after is None else after]])
+    move = np.concatenate([[0.0], lim + shares * (t1 - 2 * lim)])
+    step = max(1, CELLS // max(1, len(ts)))
+    for at in range(0, len(move), step):
+        x = ts[:, None] + move[at:at + step]
+        np.subtract(x, t1 - t0, out=x, where=x > t1)
+        choose = np.searchsorted(times, x, side="right")
+        choose -= x - known[choose] <= known[choose + 1] - x
+        yield np.arange(at, min(at + step, len(move))), choose
+
+
+def _first_of_instant(times: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of several samples at one instant the first counts."""
+    keep = np.concatenate([[True], np.diff(times) > 0])
+    return times[keep], bins[keep]
+
+
 def _counted(ts, t0, t1, lim, times, bins, before, after, shares: np.ndarray, cells: int):
-    """(iteration, bin, count) of the shifted spikes whose nearest sample lies in this piece.
-    Iteration 0 is the train itself, k the shift by ``shares[k - 1]``."""
-    keep = np.concatenate([[True], np.diff(times) > 0])         # of several samples at one instant the first counts
-    times, bins = times[keep], bins[keep]
-    before, after = -np.inf if before is None else before, np.inf if after is None else after
+    """(iteration, bin, count) of the shifted spikes whose nearest sample lies in this piece."""
+    times, bins = _first_of_instant(times, bins)
     found = []
-    step = max(1, CELLS // max(1, len(ts)))
-    for at in range(0, len(shares) + 1, step):
-        k = np.arange(at, min(at + step, len(shares) + 1))
-        move = np.where(k > 0, lim + shares[np.maximum(k - 1, 0)] * (t1 - 2 * lim), 0.0)
-        x = ts[:, None] + move[None, :]
-        x = np.where(x > t1, x - (t1 - t0), x)
-        left = np.searchsorted(times, x, side="right") - 1
-        back = x - np.where(left >= 0, times[np.maximum(left, 0)], before)
-        ahead = np.where(left + 1 < len(times), times[np.minimum(left + 1, len(times) - 1)], after) - x
-        choose = np.where(back <= ahead, left, left + 1)
+    for k, choose in _landed(ts, t0, t1, lim, times, before, after, shares):
         mine = (choose >= 0) & (choose < len(times))
-        key = (np.broadcast_to(k, x.shape) * cells + bins[np.clip(choose, 0, len(times) - 1)])[mine]
+        key = (np.broadcast_to(k, choose.shape) * cells + bins[np.clip(choose, 0, len(times) - 1)])[mine]
         if len(k) * cells <= 32 * key.size:
-            n = np.bincount(key - at * cells, minlength=len(k) * cells)
+            n = np.bincount(key - k[0] * cells, minlength=len(k) * cells)
             own = np.flatnonzero(n)
-            key, n = own + at * cells, n[own]
+            key, n = own + k[0] * cells, n[own]
         else:
             key, n = np.unique(key, return_counts=True)
         found.append((key, n))
@@ -85,6 +94,32 @@ def _counted(ts, t0, t1, lim, times, bins, before, after, shares: np.ndarray, ce
     return key // cells, key % cells, n
 
 
+def _counted_whole(ts, t0, t1, lim, times, bins, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bins, counts) of a session in one piece: the bins of its samples, and a row of counts for each iteration."""
+    times, bins = _first_of_instant(times, bins)
+    own, column = np.unique(bins, return_inverse=True)
+    counts = np.empty((len(shares) + 1, len(own)))
+    for k, choose in _landed(ts, t0, t1, lim, times, None, None, shares):
+        key = column[choose] + (k - k[0]) * len(own)
+        counts[k] = np.bincount(key.ravel(), minlength=len(k) * len(own)).reshape(len(k), -1)
+    return own, counts
+
+
+def _compared(values: np.ndarray, margin: float) -> np.ndarray:
+    """For each column (observed, null_n, null_mean, null_std, below, above) of the first row against the others; a
+    column without others has a null_n of 0."""
+    first, null = values[0], np.ascontiguousarray(values[1:].T)
+    known = ~np.isnan(null)
+    n = known.sum(axis=1)
+    slack = margin * np.maximum(1.0, np.abs(first))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.sum(null, axis=1, where=known) / n
+        std = np.sqrt(np.sum((null - mean[:, None]) ** 2, axis=1, where=known) / n)
+        below = np.count_nonzero(null < (first - slack)[:, None], axis=1) / n       # never true of NaN
+        above = np.count_nonzero(null > (first + slack)[:, None], axis=1) / n
+    return np.vstack([first, n, mean, std, *(np.where(np.isnan(first), np.nan, x) for x in (below, above))])
+
+
 def shifted_counts(spk: DataFrame, moving: DataFrame, ext: Extent, rows: int, cols: int, shares: Sequence[float], limit: float,
                    settings: Settings = DEFAULT) -> DataFrame:
     """(session_id, unit, part, iters, bins, counts): occupied bins of the maps of each train
@@ -157,24 +192,16 @@ def shifted_report(spk: DataFrame, moving: DataFrame, occ: DataFrame, ext: Exten
             for k in range(batch.num_rows):
                 ts, times, bins, seen, v = (np.asarray(col[c][k].values.to_numpy(zero_copy_only=False)) for c in ("ts", "times", "bins", "_b", "_v"))
                 t0, t1, lim = (col[c][k].as_py() for c in ("t0", "t1", "lim"))
-                it, b, n = _counted(ts, t0, t1, lim, times, bins, None, None, given, cells)
-                if not len(it) or it[0] != 0:
-                    continue
                 occupancy = np.zeros(cells)
                 occupancy[seen] = v
-                made, row = np.unique(it, return_inverse=True)
-                values = map_scores.of_counts(row, b, n, len(made), occupancy, rows, cols, floor, p, names)
-                for j, name in enumerate(names):
-                    first, null = values[0, j], values[1:, j]
-                    null = null[~np.isnan(null)]
-                    if len(null):
-                        slack = margin * max(1.0, abs(first))
-                        shares_of = (np.nan, np.nan) if np.isnan(first) else ((null < first - slack).mean(), (null > first + slack).mean())
-                        own.append(k)
-                        score.append(name)
-                        found.append((first, len(null), null.mean(), null.std(), *shares_of))
-            if found:
-                numbers = np.array(found, float).T
+                used, counts = _counted_whole(ts, t0, t1, lim, times, bins, given)
+                numbers = _compared(map_scores.of_bins(counts, used, occupancy, rows, cols, floor, p, names=names), margin)
+                some = np.flatnonzero(numbers[1])
+                own += [k] * len(some)
+                score += [names[j] for j in some]
+                found.append(numbers[:, some])
+            if score:
+                numbers = np.concatenate(found, axis=1)
                 columns = [pa.array(c, mask=np.isnan(c)) for c in numbers]
                 columns[1] = pa.array(numbers[1].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*[col[c].take(pa.array(own)) for c in UNIT], pa.array(score), *columns],
