@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spikegrid.operators import divergence as DV
 
@@ -78,6 +79,51 @@ def test_mixture_and_divergence(spark):
             assert math.isclose(value, max(want, 0), rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_units_that_fill_many_blocks_and_slices(spark):
+    """The same value for units above a slice and a block, with copies of points, and in the middle of three sessions."""
+    _, df = samples(spark, {1: {0: 4500, 1: 30}, 2: {0: 700, 2: 4300}, 3: {1: 50}})
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "site int, prev_no int, session_no int")
+    mixed = DV.mixtures(df, pairs, ["site"]).drop("first", "draw").where("side = 'a' OR side = 'b'")
+    by = {}
+    for r in mixed.collect():
+        by.setdefault(tuple(r[c] for c in PAIR[1:]), {}).setdefault(r.side, []).append((r.features, r.in_mixture))
+    got = {tuple(r[c] for c in PAIR[1:]): r for r in DV.neighbour_divergence(DV.mixtures(df, pairs, ["site"]), PAIR, 2, 1500).collect()}
+    assert set(got) == set(by) and len(got) == 6
+    positive = 0
+    for pair, sides in by.items():
+        whole = np.array([v for side in sides.values() for v, taken in side if taken])
+        for s, points in sides.items():
+            x = np.array([v for v, _ in points])
+            r, q = plain_nearest(x, x), plain_nearest(x, whole)
+            want = 2 / len(x) * np.log2(q / r).sum() + math.log2(len(whole) / (len(x) - 1))
+            assert math.isclose(got[pair][f"kl_{s}"], max(want, 0), rel_tol=1e-9, abs_tol=1e-9)
+            positive += want > 0
+    assert positive
+
+
+def test_a_point_travels_once_for_each_block(spark):
+    """Not once for each pair of its unit and each cell."""
+    _, df = samples(spark, {s: {u: 20 + u for u in range(6)} for s in (1, 2)})
+    pairs = spark.createDataFrame([(1, 1, 2)], "site int, prev_no int, session_no int")
+    mixed = DV.mixtures(df, pairs, ["site"])
+    assert mixed.count() == 6 * df.count() and mixed.where("first").count() == df.count()
+    sizes = mixed.groupBy(*PAIR, "side").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_mixture").alias("_in"))
+    for rows, most in ((1000, 2), (50, 6)):
+        left, right, tile = DV._sent(mixed, sizes, PAIR, rows)
+        copies = left.where("draw IS NOT NULL").unionByName(right, allowMissingColumns=True)
+        assert copies.count() <= most * df.count()
+        assert copies.groupBy(*tile, "no").count().agg(F.max("count")).first()[0] <= (rows if rows < 1000 else df.count())
+
+
+def test_least_distance_through_cells():
+    """Cells of points far apart are left out, and the least distance is the same to the last bit."""
+    rng = np.random.default_rng(8)
+    x = np.round(np.vstack([rng.normal(c, 0.3, (400, 3)) for c in range(0, 60, 6)]), 2)
+    rng.shuffle(x)
+    for a, b in ((x, x), (x[:500] + 0.005, x), (x, x[:300]), (np.ones((5, 3)), np.ones((3000, 3))), (np.vstack([x[:50], [[np.nan, 0, 0]]]), x)):
+        assert np.array_equal(DV.least_in_cells(a, b, 100), DV._least_plain(a, b), equal_nan=True)
+
+
 def test_points_at_one_place(spark):
     rows = [(1, s, 0, 10 * s + k, [1.0, 2.0]) for s in (1, 2) for k in range(4)]
     df = spark.createDataFrame(rows, "site int, session_no int, label int, spike_idx long, features array<double>")
